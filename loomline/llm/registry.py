@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup
+from . import decontaminate, exact_dedup, html_extract, warc
 
 
 def queries() -> dict:
     return {
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op7_warc": warc.op7_warc,
+        "op8_html_extract": html_extract.op8_html_extract,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
@@ -15,5 +17,6 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op4_exact_dedup": exact_dedup.SQL,
+        "op7_warc": warc.SQL,
         "op10_decontaminate": decontaminate.SQL,
     }
