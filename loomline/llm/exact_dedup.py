@@ -65,11 +65,11 @@ def content_sort(
         src = src.join(F.broadcast(salts), "_h", "left").withColumn(
             "_salt", F.when(F.col("_k").isNull(), -1).otherwise(F.pmod(F.xxhash64("_id"), F.col("_k")).cast("int"))
         )
-    else:
-        src = src.withColumn("_salt", F.lit(-1))
-
-    ranged = src.withColumn("_p", F.substring("_t", 1, 16)).repartitionByRange("_p", "_h", "_salt")
-    run = Window.partitionBy("_p", "_h", "_salt", "_t")
+    # A constant salt would be folded out of the window's keys but not out of the
+    # partitioning, and the window would then shuffle again: so no salt without hot texts.
+    key = ["_p", "_h", *(["_salt"] if hot else [])]
+    ranged = src.withColumn("_p", F.substring("_t", 1, 16)).repartitionByRange(*key)
+    run = Window.partitionBy(*key, "_t")
     order = F.col("_id").asc_nulls_last() if keep == "min" else F.col("_id").desc_nulls_last()
     ordered = run.orderBy(order)
     rows = ranged.select(
@@ -78,7 +78,7 @@ def content_sort(
         F.first("_id").over(ordered).alias("_best"),
         F.count(F.lit(1)).over(run).alias("_n"),
         F.sha2(F.col("_t"), 256).alias("_sha"),
-        (F.col("_salt") >= 0).alias("_hot"),
+        (F.col("_salt") >= 0 if hot else F.lit(False)).alias("_hot"),
         "_t",
         *(["_row"] if carry else []),
     ).withColumn("_head", F.when(F.col("_hot") & (F.col("_rn") == 1), F.col("_t")))
