@@ -76,7 +76,7 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         if text:
             n = text.count(" ") + 1
-            names = {x for _, f in stack for x in f}
+            names = {x for t, f in stack if t not in ("html", "body") for x in f}
             names.add("links" if 2 * links > n else "plain")
             out.append(Block(frozenset(names), text, n, tags, start, end, label))
             tags = 0
@@ -125,7 +125,7 @@ def blocks(page: str) -> list[Block]:
 class Weights:
     """Log-odds by feature, and the score of a tag; learned from labelled pages."""
 
-    def __init__(self, pages: Sequence[str] = PAGES, l2: float = 0.05, steps: int = 20):
+    def __init__(self, pages: Sequence[str] = PAGES, l2: float = 0.005, steps: int = 20):
         seen = [b for p in pages for b in blocks(p)]
         names = sorted({f for b in seen for f in b.features})
         at = {f: i for i, f in enumerate(names)}

@@ -48,11 +48,11 @@ def _noise_pages():
     inner = ("<p>Some words that are not of the text</p>", "<ul><li><a href='/a'>Words</a></li><li><a href='/b'>More words</a></li></ul>", "Plain words", "<h2>Words</h2><p>And some more of them</p>")
     outer = ("article", "main", "div class='content'", "div", "section", "body")
     marks = [(f'div class="{c}"', "div") for c in NOISE_CLASSES] + [(f'section id="{c}"', "section") for c in NOISE_CLASSES[::2]]
-    marks += [(e, e) for e in NOISE_ELEMENTS] * 4
-    for k, (mark, element) in enumerate(marks):
+    marks += [(e, e) for e in NOISE_ELEMENTS] * 2
+    for k, (mark, element) in enumerate(m for m in marks for _ in inner):
         noise = f"<{mark}>{inner[k % len(inner)]}</{element}>"
         deep = f"<{mark}>{inner[(k + 1) % len(inner)]}</{element}>"
-        box = outer[k % len(outer)]
+        box = outer[(k + k // 4) % len(outer)]
         text = "<!--+--><h1>The title of it</h1><p>Some text of the page.</p><p>And there is more.</p><!---->"
         yield f"<body>{noise}<{box}>{text}{deep}<!--+--><p>Here it goes on and ends.</p><!----></{box.split()[0]}>{deep}</body>"
 
