@@ -143,7 +143,7 @@ class Weights:
         self.bias = float(w[-1])
         # Tags are denser outside the main text: the log ratio of both densities, below 0.
         inside, outside = ([sum(v) for v in zip(*[(b.tags, b.n_words) for b in seen if b.label == k], strict=True)] for k in (True, False))
-        self.tag = min(-0.05, max(-0.5, math.log((inside[0] / inside[1]) / (outside[0] / outside[1])) / 2))
+        self.tag = min(-0.02, max(-0.1, math.log((inside[0] / inside[1]) / (outside[0] / outside[1])) / 2))
         self.cache: dict[frozenset, float] = {}
 
     def word(self, features: frozenset) -> float:
