@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, warc
+from . import decontaminate, exact_dedup, html_extract, quality, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.op1_quality,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op7_warc": warc.op7_warc,
         "op8_html_extract": html_extract.op8_html_extract,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
