@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, quality, toxicity, warc
+from . import decontaminate, exact_dedup, html_extract, license_scan, packing, quality, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_license_scan": license_scan.op5_license_scan,
+        "op6_packing": packing.op6_packing,
         "op7_warc": warc.op7_warc,
         "op8_html_extract": html_extract.op8_html_extract,
         "op9_toxicity": toxicity.op9_toxicity,
