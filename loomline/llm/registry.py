@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, license_scan, lm_score, packing, quality, toxicity, warc
+from . import decontaminate, exact_dedup, html_extract, license_scan, lm_score, ngram_join, packing, quality, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
+        "op2_ngram_join": ngram_join.op2_ngram_join,
         "op3_lm_score": lm_score.op3_lm_score,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_license_scan": license_scan.op5_license_scan,
@@ -21,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op2_ngram_join": ngram_join.SQL,
         "op4_exact_dedup": exact_dedup.SQL,
         "op7_warc": warc.SQL,
         "op10_decontaminate": decontaminate.SQL,
