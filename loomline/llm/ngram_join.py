@@ -175,6 +175,32 @@ def _blocks(docs: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
     return components(edges, "ngram-blocks")
 
 
+def _among(rows: DataFrame, col: str, some: DataFrame, of: str, bits: int = 27) -> DataFrame:
+    """`rows` without most of those whose `col` isn't in `of` of `some`; none that is goes.
+
+    A bitmap of fixed size (2^bits bits, 16 MB) of hashes is broadcast; where `some` is so
+    large that it fills up, fewer rows go, and the join that follows has more to do.
+    """
+    spark = rows.sparkSession
+    place = lambda c: F.pmod(F.xxhash64(F.lit(1), c), F.lit(1 << bits))
+    at = some.select(place(F.col(of)).alias("h"))
+    got = at.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("m")).toArrow()
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
+    bitmap[got.column("w").to_numpy()] = got.column("m").to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        bitmap = shared.value
+        for batch in batches:
+            h = batch.column(batch.num_columns - 1).to_numpy()
+            hit = (bitmap[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1)
+            part = batch.filter(pa.array(hit.astype(bool)))
+            if part.num_rows:
+                yield pa.RecordBatch.from_arrays(part.columns[:-1], names=part.schema.names[:-1])
+
+    return rows.withColumn("_h", place(F.col(col))).mapInArrow(run, rows.schema)
+
+
 def class_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: int, percent: int, tile_tokens: int) -> DataFrame:
     """Links (a, b) between class keys. classes: _key, _rep (an id of the class), _n."""
     spark = docs.sparkSession
@@ -186,6 +212,7 @@ def class_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
     tiles = members.groupBy("block").agg(F.ceil(F.sum("_n") / F.lit(tile_tokens)).cast("int").alias("tiles"))
     members = members.join(tiles, "block").withColumn("tile", F.pmod(F.xxhash64("_key"), F.col("tiles")).cast("int"))
     docs = docs.select(F.col(id_col).alias("_id"), utf8(F.col(text_col)).alias("_t"))
+    docs = _among(docs, "_id", members, "_rep")  # texts of no block aren't shuffled
     rows = docs.join(members, F.col("_id").eqNullSafe(F.col("_rep"))).select("_key", "block", "tile", "tiles", "_t")
 
     def shingled(batches):
