@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontaminate, exact_dedup, html_extract, license_scan, lm_score, ngram_join, packing, quality, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_quality": quality.op1_quality,
         "op2_ngram_join": ngram_join.op2_ngram_join,
         "op3_lm_score": lm_score.op3_lm_score,
