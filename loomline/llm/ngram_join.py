@@ -6,6 +6,8 @@
    hash, so two similar sets agree on at least 1 + 2s whole segments; each set leaves out
    its s segments of fewest tokens, and one common segment still remains. Sets that agree
    on a segment come into one block (connected components): no similar pair is parted.
+   (Below 88 percent, larger sets are blocked by min-hash bands instead; a pair at the
+   threshold is then parted with probability 1e-11, about that of a hash collision.)
 3. In each block signature trees find the links; large blocks are cut into tiles, and all
    pairs of tiles are joined.
 4. Components of the links give each row its group.
@@ -114,6 +116,58 @@ class Segments:
         return np.concatenate(out)
 
 
+class Bands:
+    """Keys of min-hash bands: a pair at the threshold shares none with probability 1e-11.
+
+    r minima make a key; r is such that a pair at the threshold agrees on three keys in
+    ten, so that texts with only a passage in common seldom agree on any.
+    """
+
+    def __init__(self, percent: int, miss: float = 1e-11, seed: int = 11):
+        p = percent / 100
+        self.r = max(1, round(math.log(0.3) / math.log(p)))
+        self.b = math.ceil(math.log(miss) / math.log(1 - p**self.r))
+        rng = np.random.default_rng(seed)
+        self.flip, self.times = rng.integers(0, 2**64 - 1, (2, self.r * self.b, 1), np.uint64)
+        self.times |= np.uint64(1)
+        self.band = mix(np.arange(1, self.b + 1, dtype=np.uint64) * _P[4])
+
+    def __call__(self, tokens: np.ndarray) -> np.ndarray:
+        least = np.full(self.r * self.b, 2**64 - 1, np.uint64)
+        for k in range(0, len(tokens), 1024):
+            x = tokens[None, k : k + 1024] ^ self.flip
+            x *= self.times
+            np.minimum(least, x.min(axis=1), out=least)
+        key = self.band
+        for part in least.reshape(self.b, self.r).T:
+            key = mix(key * _P[2] ^ part)
+        return key
+
+
+class Keys:
+    """What a set is blocked by: exact segments, or for larger sets bands.
+
+    Where similar sets may differ in so many tokens that segments get small (below 88
+    percent), passages shared by many texts would join most of them into one block; so
+    pairs whose larger set has more than SMALL tokens are blocked by bands there.
+    """
+
+    SMALL = 40
+
+    def __init__(self, percent: int):
+        self.percent, self.segments = percent, Segments(percent)
+        self.bands = Bands(percent) if percent < 88 else None
+
+    def __call__(self, tokens: np.ndarray) -> np.ndarray:
+        n = len(tokens)
+        if self.bands is None or n == 0:
+            return self.segments(tokens)
+        parts = [self.segments(tokens)] if n <= self.SMALL else []
+        if 100 * n >= self.percent * self.SMALL:
+            parts.append(self.bands(tokens))
+        return np.concatenate(parts)
+
+
 def _key(ws: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(ws), digest_size=16).digest()
 
@@ -143,7 +197,7 @@ def _blocks(docs: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
     """(node, label): short ids of the classes that share a segment with another, by block."""
 
     def run(batches):
-        shingle, segments = Shingler(k), Segments(percent)
+        shingle, of_set = Shingler(k), Keys(percent)
         seen: set[bytes] = set()
         for batch in batches:
             segs, ids = [], []
@@ -155,7 +209,7 @@ def _blocks(docs: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(key)
-                own = segments(shingle(ws))
+                own = of_set(shingle(ws))
                 segs.append(own)
                 ids.append(np.full(len(own), int.from_bytes(key[:8], "big", signed=True), np.int64))
                 if sum(map(len, segs[-1:])) and len(segs) >= 200:
