@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, tune, utf8
+from .common import lean, table, tune, utf8
 
 #: ASCII bytes that are no letter or digit end a word; A-Z become a-z; other bytes stay.
 FOLD = bytes(
@@ -132,7 +132,7 @@ def _pass(docs: DataFrame, text_col: str, block, window: int) -> DataFrame:
                 hits.append(row)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, kind)], names=batch.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def _merged(a: dict, b: dict, raw: bytes) -> dict:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, table, tune, utf8
+from .common import discard, lean, materialise, table, tune, utf8
 from .components import components
 from .signature_tree import join
 
@@ -56,7 +56,7 @@ class Shingler:
             return np.zeros(0, np.uint64)
         if len(ws) < k:  # the whole sequence as one
             return np.array([xxhash.xxh64_intdigest(b" ".join(ws), 1)], np.uint64)
-        if len(of) > 500_000:
+        if len(of) > 150_000:
             of.clear()
         h = []
         for w in ws:
@@ -190,7 +190,7 @@ def keyed(docs: DataFrame, text_col: str, k: int) -> DataFrame:
             columns = [*batch.columns[:-1], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "_key", "_n"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _blocks(docs: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
@@ -206,7 +206,7 @@ def _blocks(docs: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
                 key = _key(ws)
                 if not ws or key in seen:  # a copy, as far as this task remembers
                     continue
-                if len(seen) > 200_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 seen.add(key)
                 own = of_set(shingle(ws))
@@ -223,7 +223,7 @@ def _blocks(docs: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
 
     from pyspark.sql import Window
 
-    rows = docs.select(utf8(F.col(text_col)).alias("t")).mapInArrow(run, "seg long, id long")
+    rows = docs.select(utf8(F.col(text_col)).alias("t")).mapInArrow(lean(run), "seg long, id long")
     hub = F.min("id").over(Window.partitionBy("seg"))
     edges = rows.select(F.col("id").alias("a"), hub.alias("b")).where("a <> b").distinct()
     return components(edges, "ngram-blocks")
@@ -252,7 +252,7 @@ def _among(rows: DataFrame, col: str, some: DataFrame, of: str, bits: int = 27)
             if part.num_rows:
                 yield pa.RecordBatch.from_arrays(part.columns[:-1], names=part.schema.names[:-1])
 
-    return rows.withColumn("_h", place(F.col(col))).mapInArrow(run, rows.schema)
+    return rows.withColumn("_h", place(F.col(col))).mapInArrow(lean(run), rows.schema)
 
 
 def class_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: int, percent: int, tile_tokens: int) -> DataFrame:
@@ -281,7 +281,7 @@ def class_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
             part = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sets, pa.list_(pa.int64()))], names=["_key", "block", "tile", "tiles", "tokens"])
 
-    sets = rows.mapInArrow(shingled, "_key binary, block long, tile int, tiles int, tokens array<long>")
+    sets = rows.mapInArrow(lean(shingled), "_key binary, block long, tile int, tiles int, tokens array<long>")
     # Each tile meets each tile of its block, itself included; a block of one tile has one task group.
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     dealt = sets.select("*", other).select("_key", "block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "tokens")
@@ -324,7 +324,7 @@ def class_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
         a, b = zip(*links, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    out = materialise(dealt.mapInArrow(joined, "a binary, b binary"), "ngram-links")
+    out = materialise(dealt.mapInArrow(lean(joined), "a binary, b binary"), "ngram-links")
     tune(spark)
     return out
 

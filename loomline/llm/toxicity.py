@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_fold, table, tune
+from .common import doc_fold, lean, table, tune
 
 #: Letters stay, all other ASCII bytes end a word.
 LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -31,6 +31,8 @@ LANGS = (*STOPWORDS, "other")
 _OF = {w.encode(): tuple(w in STOPWORDS[x].split() for x in STOPWORDS) for v in STOPWORDS.values() for w in v.split()}
 _NONE = (False,) * len(STOPWORDS)
 SLICE = 1 << 15
+#: Words that a task remembers.
+WORDS = 150_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -270,16 +272,16 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text", out_col: str
         model = shared.value
         vocabulary, by_word = Vocabulary(model.bits), [np.zeros((0, sum(model.widths) * len(model.b[0])), np.float32)]
         for batch in batches:
-            if len(vocabulary.of) > 300_000:
-                vocabulary, by_word = Vocabulary(model.bits), [by_word[0][:0]]
             columns = list(batch.columns)
             texts, scores = batch.column(at), []
             for k in range(0, len(texts), 100):
+                if len(vocabulary.of) > WORDS:
+                    vocabulary, by_word = Vocabulary(model.bits), [by_word[0][:0].copy()]
                 scores.append(model.scores(texts.slice(k, 100).to_pylist(), vocabulary, by_word))
             columns[put] = pa.array(np.concatenate(scores) if scores else [], pa.float64())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return out.mapInArrow(run, out.schema)
+    return out.mapInArrow(lean(run), out.schema)
 
 
 def op9_toxicity(spark, sf_dir):
