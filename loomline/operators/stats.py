@@ -74,8 +74,9 @@ def average_rank(value: str, by: list[str]) -> Column:
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """rho, n and interpretation by group; fewer than three pairs are insufficient."""
     ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", average_rank(x, by)).withColumn("_y", average_rank(y, by))
-    flat = (F.stddev_pop("_x") == 0) | (F.stddev_pop("_y") == 0)
-    g = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(~flat, F.corr("_x", "_y")).alias("rho"))
+    # corr() divides by zero for constant ranks; here they give null.
+    rho = F.covar_pop("_x", "_y") / F.nullif(F.stddev_pop("_x") * F.stddev_pop("_y"), F.lit(0.0))
+    g = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), rho.alias("rho"))
     rho = F.when(F.col("n") >= 3, F.col("rho"))
     label = F.when(F.col("n") < 3, "insufficient").when(rho >= 0.8, "strong").when(rho >= 0.7, "good").when(rho >= 0.6, "moderate").otherwise("weak")
     return g.select(*by, "n", rho.alias("rho"), label.alias("interpretation"))
