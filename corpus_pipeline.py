@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import decontaminate, exact_dedup, ngram_join, packing, toxicity
-from loomline.llm.common import materialise, table
+from loomline.llm.common import fresh, materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels of `docs`, doesn't reject."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold=None)
-    scored = toxicity.toxicity(docs, model, out_col="_toxicity")
-    return scored.where(F.col("_toxicity") < 0.5).select(*[F.col(c) for c in docs.columns])
+    score = fresh(docs, "_toxicity")
+    scored = toxicity.toxicity(docs, model, out_col=score)
+    return scored.where(F.col(score) < 0.5).select(*[F.col(c) for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +33,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a ten-word window of a benchmark item (or a whole shorter item)."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.col("hits.n_hit") == 0).select(*[F.col(c) for c in docs.columns])
+    hits = fresh(docs, "_hits")
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), out_col=hits)
+    return found.where(F.col(hits)["n_hit"] == 0).select(*[F.col(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

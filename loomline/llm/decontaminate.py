@@ -89,22 +89,25 @@ def decontaminate(
     item_text_col: str = "text",
     window: int = 10,
     block_bytes: int = 16 << 20,
+    out_col: str = "hits",
 ) -> DataFrame:
-    """Rows of `docs` with a struct column `hits` in place of a clashing name.
+    """Rows of `docs` with a struct column out_col added; `docs` must not have it yet.
 
-    hits: n_words, n_hit (words inside any occurrence of a window), items (ids as strings,
+    out_col: n_words, n_hit (words inside any occurrence of a window), items (ids as strings,
     sorted, of items with an occurring window), spans (start, end: characters of the
-    original text, merged), or null where the texts hold no match of a later block.
+    original text, merged).
 
     The automaton is broadcast; its items are cut into blocks of about block_bytes, each
     scanned by an automaton of its own, so what is broadcast at once has a bound. Null and
     empty texts have no words; items without words or id match nothing; repeated items
     count by id; rows and other columns pass unchanged; empty tables give empty results.
     """
+    if out_col in docs.columns:
+        raise ValueError(f"docs has a column {out_col}; name another out_col")
     spark = docs.sparkSession
     tune(spark)
     out = docs.withColumn(
-        "hits", F.lit(None).cast("struct<n_words:long,n_hit:long,items:array<string>,spans:array<struct<start:int,end:int>>>")
+        out_col, F.lit(None).cast("struct<n_words:long,n_hit:long,items:array<string>,spans:array<struct<start:int,end:int>>>")
     )
     for block in _blocks(bench, item_id_col, item_text_col, block_bytes):
         out = _pass(out, text_col, spark.sparkContext.broadcast(block), window)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, lean, materialise, table, tune, utf8
+from .common import discard, fresh, lean, materialise, table, tune, utf8
 from .components import components
 from .signature_tree import join
 
@@ -172,10 +172,12 @@ def _key(ws: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(ws), digest_size=16).digest()
 
 
-def keyed(docs: DataFrame, text_col: str, k: int) -> DataFrame:
-    """`docs` with _key (of the word sequence, null if it has no words) and _n (set size)."""
-    rows = docs.withColumn("_text", utf8(F.col(text_col)))
-    schema = docs.withColumns({"_key": F.lit(b""), "_n": F.lit(0).cast("long")}).schema
+def keyed(docs: DataFrame, text_col: str, k: int) -> tuple[DataFrame, str, str]:
+    """`docs` with a key of the word sequence (null if it has no words) and the set size,
+    and the names of these two columns, which no column of `docs` has."""
+    key_name, n_name, text = (fresh(docs, f"_ngram_{x}") for x in ("key", "n", "text"))
+    rows = docs.withColumn(text, utf8(F.col(text_col)))
+    schema = docs.withColumns({key_name: F.lit(b""), n_name: F.lit(0).cast("long")}).schema
     for f in schema.fields:
         f.nullable = True
 
@@ -188,9 +190,9 @@ def keyed(docs: DataFrame, text_col: str, k: int) -> DataFrame:
                 keys.append(_key(ws) if ws else None)
                 sizes.append(len(shingle(ws)))
             columns = [*batch.columns[:-1], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "_key", "_n"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], key_name, n_name])
 
-    return rows.mapInArrow(lean(run), schema)
+    return rows.mapInArrow(lean(run), schema), key_name, n_name
 
 
 def _blocks(docs: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
@@ -352,7 +354,8 @@ def jaccard_groups(
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     tune(docs.sparkSession)
-    rows = materialise(keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_x")), "_x", k).drop("_x"), "ngram-keys")
+    rows, key, n = keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_x")), "_x", k)
+    rows = materialise(rows.select("_id", F.col(key).alias("_key"), F.col(n).alias("_n")), "ngram-keys")
     classes = rows.where("_key is not null").groupBy("_key").agg(F.min("_id").alias("_rep"), F.first("_n").alias("_n"))
     classes = materialise(classes, "ngram-classes")
     links = class_links(docs, classes, id_col, text_col, k, percent, tile_tokens)
@@ -374,10 +377,12 @@ def jaccard_groups(
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` that jaccard_groups keeps, with the columns of `docs`."""
-    gone = jaccard_groups(docs, id_col, text_col, k, percent).where("not kept").select(F.col(id_col).alias("_gone"), F.col("_key").alias("_gone_key"))
-    gone = materialise(gone.distinct(), "ngram-gone")
-    own = keyed(docs, text_col, k)
-    return own.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_gone_key")), "left_anti").select(*[F.col(c) for c in docs.columns])
+    own, key, _ = keyed(docs, text_col, k)
+    gone = jaccard_groups(docs, id_col, text_col, k, percent).where("not kept")
+    gone_id, gone_key = fresh(own, "_gone_id"), fresh(own, "_gone_key")
+    gone = materialise(gone.select(F.col(id_col).alias(gone_id), F.col("_key").alias(gone_key)).distinct(), "ngram-gone")
+    out = own.join(gone, F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_key)), "left_anti")
+    return out.select(*[F.col(c) for c in docs.columns])
 
 
 def op2_ngram_join(spark, sf_dir):

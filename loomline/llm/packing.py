@@ -105,7 +105,7 @@ def pack(
 
     histogram = [(r["_len"], r["n"]) for r in seq.groupBy("_len").agg(F.count(F.lit(1)).alias("n")).collect()]  # max_tokens + 1 at most
     bounds = best_boundaries(histogram, buckets)
-    sizes = [sum(c for x, c in histogram if low < x <= high) for low, high in zip([-1, *bounds[:-1]], bounds, strict=True)]
+    sizes = [sum(c for x, c in histogram if low < x <= high) for low, high in zip([-1, *bounds], bounds, strict=False)]
 
     def by_bucket(values):
         if not bounds:

@@ -213,6 +213,7 @@ class Model:
                 for j in range(1, wide):
                     z += part[j : b - a + j, at + j * nf : at + (j + 1) * nf]
                 at += wide * nf
+                z[ids[a:b] == 0] = -np.inf  # windows begin at words
                 own = m[first : last + 1, w * nf : (w + 1) * nf]
                 np.maximum(own, np.maximum.reduceat(z, cut, axis=0), out=own)
         m[~np.isfinite(m)] = 0
