@@ -51,7 +51,7 @@ def ngrams(tok: Column, n: int) -> Column:
     """Joined n-grams; none where the text is shorter than n."""
     if n == 1:
         return tok
-    each = F.transform(F.sequence(F.lit(1), F.size(tok) - (n - 1)), lambda i: F.array_join(F.slice(tok, i, n), " "))
+    each = F.transform(F.sequence(F.lit(1), F.size(tok) - (n - 1)), lambda i: F.concat_ws(" ", *[F.element_at(tok, i + j) for j in range(n)]))
     return F.when(F.size(tok) >= n, each).otherwise(F.array().cast("array<string>"))
 
 
