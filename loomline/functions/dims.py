@@ -7,7 +7,7 @@ USER_TEMPLATES = {
     "cross_domain_analogist": "Extract the transferable mechanism from this research idea and explain how it could inspire an analogy:\n\n",
     "minimalist": "Generate a concise minimalist counter-argument to this claim:\n\n",
 }
-METHODS = ["base", "prompt_only", "single_lora", "mop_sft", "mop_divpo", "mop_divpo_v2"]
+METHODS = ["base", "prompt_only", "single_lora", "mixture_sft", "mixture_divpo", "mixture_divpo_v2"]
 #: metric, display name, lower is better
 METRICS = [
     ("self_bleu", "Self-BLEU", True),

@@ -56,3 +56,15 @@ def select_pairs(df: DataFrame, group: list[str], order: str, min_quality: float
     g = fit.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), best.alias("chosen"), worst.alias("rejected")).where("n >= 2")
     margin = F.round(F.col("chosen.rarity") - F.col("rejected.rarity"), 9)
     return g.where((F.col("chosen.text") != F.col("rejected.text")) & (margin >= min_margin))
+
+
+def select_pairs_any(df: DataFrame, group: list[str], order: str, min_quality: float, quality_weight: float, rarity_weight: float) -> DataFrame:
+    """The older rule: chosen is the best candidate over the floor, rejected the worst of
+    all others, those under the floor first. Groups of fewer than two candidates, or with
+    none over the floor, give no pair; the first in `order` wins ties."""
+    scored = df.withColumn("combined", F.round(quality_weight * F.col("quality") + rarity_weight * F.col("rarity"), 9)).withColumn("_fit", F.col("quality") >= min_quality)
+    row = F.struct("combined", order, "text", "quality", "rarity")
+    best = scored.where("_fit").groupBy(*group).agg(F.min(F.struct((-F.col("combined")).alias("c"), F.col(order).alias("o"), row.alias("r")))["r"].alias("chosen"))
+    rest = scored.join(best, group).where(F.col(order) != F.col("chosen")[order])
+    worst = F.min(F.struct("_fit", F.col("combined").alias("c"), F.col(order).alias("o"), row.alias("r")))["r"]
+    return rest.groupBy(*group, "chosen").agg(worst.alias("rejected"))

@@ -46,15 +46,16 @@ def silhouette(df: DataFrame, label: str, dim: int) -> DataFrame:
     return rows.withColumn("silhouette", (F.col("_b") - F.col("_a")) / F.greatest("_a", "_b")).drop("_a", "_b")
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, k: int, block_rows: int = 2_000) -> DataFrame:
     """The k rows of `right` (ref_id, ru) most similar to each of `left` (id, u).
 
-    `right`, a stated reference set, is sent to the tasks in blocks of fixed size; each
-    block's best k are kept, then the best k of all.
+    `right`, a stated reference set, is sent to the tasks in blocks of about block_rows
+    rows; each block's best k are kept, then the best k of all.
     """
     from pyspark.sql import Window
 
-    block = right.withColumn("_b", F.pmod(F.xxhash64("ref_id"), F.lit(64))).groupBy("_b").agg(F.collect_list(F.struct("ref_id", "ru")).alias("refs"))
+    blocks = max(1, -(-right.count() // block_rows))
+    block = right.withColumn("_b", F.pmod(F.xxhash64("ref_id"), F.lit(blocks))).groupBy("_b").agg(F.collect_list(F.struct("ref_id", "ru")).alias("refs"))
     sims = F.transform("refs", lambda r: F.struct((-F.round(V.dot(F.col("u"), r["ru"]), 9)).alias("d"), r["ref_id"].alias("ref_id")))
     some = left.join(block).select("id", F.explode(F.slice(F.array_sort(sims), 1, k)).alias("x"))
     rn = F.row_number().over(Window.partitionBy("id").orderBy("x.d", "x.ref_id"))
@@ -103,3 +104,31 @@ def verdicts(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
         pick((F.col("mean_diff") < 0) & (F.col("p_value") < alpha)).alias("worse_reference"),
         pick((F.col("mean_diff") < 0) & (F.col("p_loss") < alpha)).alias("worse"),
     )
+
+
+def significance_markdown(tests: DataFrame, reference: str) -> str:
+    """Reference against each method: difference, stars by p, and a line of verdicts.
+
+    tests: metric, method, mean_diff, p_value; as many rows as methods times metrics.
+    """
+    rows = {(r["method"], r["metric"]): r for r in tests.collect()}
+    shown = [(m, name, low) for m, name, low in dims.METRICS if any(k[1] == m for k in rows)]
+    lines = ["| Comparison | " + " | ".join(f"{name}{'↓' if low else '↑'}" for _, name, low in shown) + " |", "|" + "---|" * (len(shown) + 1)]
+    told = []
+    for x in sorted({k[0] for k in rows}):
+        got = [(name, rows.get((x, m))) for m, name, _ in shown]
+        stars = lambda p: "**" if p < 0.01 else "*" if p < 0.05 else ""
+        cells = [f"{r['mean_diff']:+.3f}{stars(r['p_value'])} (p={r['p_value']:.3f})" if r else "—" for _, r in got]
+        lines.append(f"| {reference} vs {x} | " + " | ".join(cells) + " |")
+        good, bad = ([name for name, r in got if r and s * r["mean_diff"] > 0 and r["p_value"] < 0.05] for s in (1, -1))
+        told.append(f"- **vs {x}**: better on {len(good)} ({', '.join(good) or 'none'}); worse on {len(bad)} ({', '.join(bad) or 'none'})")
+    return "\n".join([*lines, "", *told])
+
+
+def append_examples(rows: DataFrame, order: str, title: str, path: str, n: int = 3) -> None:
+    """The first n records' messages, as markdown at the end of a file on the driver."""
+    parts = [f"\n# {title}\n"]
+    for k, r in enumerate(rows.orderBy(order).limit(n).collect(), 1):
+        parts += [f"\n## {k}\n", *[f"\n**{m['role']}:**\n```\n{m['content']}\n```\n" for m in r["messages"]]]
+    with open(path, "a", encoding="utf-8") as f:
+        f.write("".join(parts))

@@ -6,35 +6,20 @@ and its lang its persona; embeddings are text vectors; conversations hold thread
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions import dims
 from loomline.functions import text as T
 from loomline.functions import vectors as V
 from loomline.operators import cascade, diversity, judge, pairs, records, reports, stats
+from loomline.plans import extended  # noqa: F401  (registers its queries)
+from loomline.plans.registry import QUERIES, SQL, query, read
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
 KEEP_LIMIT = 200
 REFERENCE_LABEL = 0
 RUBRIC = "Rate this answer from 1 to 5.\nQuestion: {prompt}\nAnswer: {output}\nOthers:\n{peers}"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 _TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 _WORDS = lambda c: rf"len(regexp_extract_all(coalesce({c}, ''), '\S+'))"
 

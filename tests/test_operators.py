@@ -178,7 +178,7 @@ def test_stats(spark):
 
 
 def test_tables_and_classes(spark):
-    df = spark.createDataFrame([("base", "self_bleu", 0.5), ("mop_divpo", "self_bleu", 0.2)], "method string, metric string, mean double")
+    df = spark.createDataFrame([("base", "self_bleu", 0.5), ("mixture_divpo", "self_bleu", 0.2)], "method string, metric string, mean double")
     md = reports.markdown_table(df, dims.METHODS)
     assert "Self-BLEU ↓" in md and "0.200" in md and "—" in md
     assert reports.csv_table(df, ["base"]).split("\n") == ["method,self_bleu", "base,0.5000"]
