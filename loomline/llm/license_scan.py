@@ -4,10 +4,8 @@ A multinomial logistic regression over the presence of word n-grams, sparse by a
 is learned from notices of each family, licence-like paragraphs of no family ("unknown")
 and ordinary ones ("none"); its probabilities are calibrated by a temperature on the
 variants held out. A predicted family must be confirmed by the share of one of its
-templates' word pairs that the paragraph holds. Only paragraphs with an anchor word (a few
-words chosen so that every notice learned from has one and ordinary paragraphs seldom do) are
-classified; all others are ordinary. Scoring is a column expression: it runs
-without a shuffle.
+templates' word pairs that the paragraph holds. Every paragraph is scored, none is left
+out for the words it lacks. Scoring is a column expression: it runs without a shuffle.
 """
 
 from __future__ import annotations
@@ -61,23 +59,6 @@ class Model:
         z = xh @ np.vstack([self.weights, self.bias])
         self.temperature = min(np.geomspace(0.25, 4, 33), key=lambda t: -np.log(_softmax(z / t)[np.arange(len(yh)), yh] + 1e-12).mean())
         self.templates = {c: [sorted({f"{a} {b}" for a, b in zip(t, t[1:], strict=False)}) for t in map(tokens, v)] for c, v in TEMPLATES.items()}
-        self.anchors = _cover([set(tokens(t)) for c in CLASSES[:-1] for t in TEMPLATES.get(c, UNKNOWN)], [set(tokens(t)) for t in OTHER])
-
-
-def _cover(notices: list[set[str]], ordinary: list[set[str]]) -> list[str]:
-    """A few words, rare in ordinary paragraphs, of which every notice holds at least one."""
-    left, out = list(notices), []
-    while left:
-        count = {}
-        for n in left:
-            for w in n - COMMON:
-                if len(w) > 2 and not w.isdigit():
-                    count[w] = count.get(w, 0) + 1
-        if not count:
-            raise ValueError(f"no distinctive word in {left[0]}")
-        out.append(max(count, key=lambda w: (count[w] / (1 + sum(w in o for o in ordinary)), len(w), w)))
-        left = [n for n in left if out[-1] not in n]
-    return sorted(out)
 
 
 def _variants(words: list[str], rng) -> list[list[str]]:
@@ -140,25 +121,23 @@ def license_scan(docs: DataFrame, text_col: str = "text", out_col: str = "licenc
     m = model or Model()
     text = F.col(text_col)
     scale = 1 / m.temperature
-    weighted = F.array(*[F.struct(F.lit(g).alias("g"), F.array(*[F.lit(float(v) * scale) for v in w]).alias("w")) for g, w in zip(m.grams, m.weights, strict=True)])
+    weights = F.create_map(*[x for g, w in zip(m.grams, m.weights, strict=True) for x in (F.lit(g), F.array(*[F.lit(float(v) * scale) for v in w]))])
     bias = F.array(*[F.lit(float(b) * scale) for b in m.bias])
     families, n = _array(CLASSES), len(CLASSES)
     none = CLASSES.index("none") + 1
     pairs = F.array(*[F.array(*[_array(t) for t in m.templates[c]]) if c in m.templates else F.array(_array([])) for c in CLASSES])
 
     def adjacent(w):
-        return F.when(
-            F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))
-        ).otherwise(F.array().cast("array<string>"))
+        return F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
 
-    def judge(line):
-        w = F.regexp_extract_all(F.lower(line["t"]), F.lit(WORD), F.lit(0))
-        with_grams = F.transform(F.array(F.struct(w.alias("w"), adjacent(w).alias("p"))), _score)
+    def judge(line):  # each step in a transform of its own, so that none is evaluated again for every word
+        words = F.array(F.regexp_extract_all(F.lower(line["t"]), F.lit(WORD), F.lit(0)))
+        with_grams = F.transform(F.transform(words, lambda w: F.struct(w.alias("w"), adjacent(w).alias("p"))), _score)
         return F.transform(with_grams, lambda s: F.struct(line["i"].alias("i"), line["t"].alias("t"), s["p"].alias("p"), s["z"].alias("z")))
 
     def _score(s):
-        held = F.filter(weighted, lambda g: F.array_contains(s["w"], g["g"]) | F.array_contains(s["p"], g["g"]))
-        z = F.aggregate(held, bias, lambda acc, g: F.zip_with(acc, g["w"], lambda a, b: a + b))
+        held = F.array_intersect(_array(m.grams), F.concat(s["w"], s["p"]))
+        z = F.aggregate(held, bias, lambda acc, g: F.zip_with(acc, F.element_at(weights, g), lambda a, b: a + b))
         return F.struct(s["p"].alias("p"), z.alias("z"))
 
     def decide(s):
@@ -173,20 +152,17 @@ def license_scan(docs: DataFrame, text_col: str = "text", out_col: str = "licenc
         family = F.when((s["k"] <= n - 2) & sure, F.element_at(families, s["k"])).otherwise(F.lit("unknown"))
         return F.struct(s["paragraph"].alias("paragraph"), family.alias("family"), s["probability"].alias("probability"), s["similarity"].alias("similarity"), s["text"].alias("text"))
 
-    anchored = rf"(?i)(?<![a-z0-9])(?:{'|'.join(m.anchors)})(?![a-z0-9])"
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda x: x["t"].rlike(anchored))
+    lines = F.transform(F.split(text, "\n"), lambda t, i: F.struct(i.alias("i"), t.alias("t")))
     scored = F.flatten(F.transform(lines, judge))
     found = F.filter(F.transform(scored, decide), lambda s: s["k"] != none)
     named = F.transform(found, name)
     kind = "array<struct<paragraph:int,family:string,probability:double,similarity:double,text:string>>"
-    return docs.withColumn(out_col, F.when(text.rlike(anchored), named).otherwise(F.array().cast(kind)).cast(kind))
+    return docs.withColumn(out_col, F.coalesce(named, F.array().cast(kind)).cast(kind))
 
 
 def classify(paragraph: str, m: Model) -> tuple[str, float, float] | None:
     """The same decision for one paragraph, in Python: the tests' brute force."""
     words = tokens(paragraph)
-    if not set(words) & set(m.anchors):
-        return None
     own, pairs = grams(words) | set(words), {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
     z = m.bias / m.temperature + sum((w / m.temperature for g, w in zip(m.grams, m.weights, strict=True) if g in own or g in pairs), np.zeros(len(CLASSES)))
     k = int(z.argmax())

@@ -248,3 +248,12 @@ def test_license_scan_against_python(spark, some_docs, edge_docs, no_docs):
     assert found > 3 and license_scan.classify("Licensed under the Foo License.", m)[0] == "unknown"
     assert license_scan.license_scan(edge_docs, model=m).count() == edge_docs.count()
     assert license_scan.license_scan(no_docs, model=m).count() == 0
+
+
+def test_license_scan_of_notices_not_learned_from(spark):
+    m = license_scan.Model()
+    rows = [("Published under the GNU GPL, version 2 or later.", "gpl"), ("Released under CC BY 4.0.", "cc-by"), ("Text available under CC BY-SA 4.0.", "cc-by"), ("You may redistribute it and/or modify it under the terms of the GNU GPL as published by the Free Software Foundation.", None), ("The cat sat on the mat.", "")]
+    docs = spark.createDataFrame([(t, want) for t, want in rows], "text string, want string")
+    for r in license_scan.license_scan(docs, model=m).collect():
+        got = [x["family"] for x in r["licences"]]
+        assert got == ([r["want"]] if r["want"] else []) if r["want"] is not None else len(got) == 1
