@@ -112,10 +112,13 @@ def _array(values) -> Column:
 def license_scan(docs: DataFrame, text_col: str = "text", out_col: str = "licences", model: Model | None = None) -> DataFrame:
     """Rows of `docs` with out_col added, or in its place: the licence paragraphs of each.
 
-    An array of struct(paragraph: its place among the text's lines, from 0; family;
+    An array of struct(paragraph: its first line's place among the text's lines, from 0; family;
     probability; similarity to the family's best template; text). family is "unknown" for
     a paragraph that is licence-like but whose family is not probable enough or not
-    confirmed by a template. Paragraphs are lines; whole texts are scanned. Null and empty
+    confirmed by a template. Each line is classified by itself, and with the lines after it up
+    to an empty one (without letters or digits), so that wrapped notices are seen whole; of
+    lines together only confirmed families count, and take the place of lines that are a
+    part of them. Whole texts are scanned. Null and empty
     texts have none; repeated rows get equal results; an empty table gives no rows.
     """
     m = model or Model()
@@ -130,10 +133,9 @@ def license_scan(docs: DataFrame, text_col: str = "text", out_col: str = "licenc
     def adjacent(w):
         return F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
 
-    def judge(line):  # each step in a transform of its own, so that none is evaluated again for every word
-        words = F.array(F.regexp_extract_all(F.lower(line["t"]), F.lit(WORD), F.lit(0)))
-        with_grams = F.transform(F.transform(words, lambda w: F.struct(w.alias("w"), adjacent(w).alias("p"))), _score)
-        return F.transform(with_grams, lambda s: F.struct(line["i"].alias("i"), line["t"].alias("t"), s["p"].alias("p"), s["z"].alias("z")))
+    def judge(i, t, words):  # each step in a transform of its own, so that none is evaluated again for every word
+        with_grams = F.transform(F.transform(F.array(words), lambda w: F.struct(w.alias("w"), adjacent(w).alias("p"))), _score)
+        return F.element_at(F.transform(F.transform(with_grams, lambda s: F.struct(i.alias("i"), t.alias("t"), s["p"].alias("p"), s["z"].alias("z"))), decide), 1)
 
     def _score(s):
         held = F.array_intersect(_array(m.grams), F.concat(s["w"], s["p"]))
@@ -144,18 +146,65 @@ def license_scan(docs: DataFrame, text_col: str = "text", out_col: str = "licenc
         top = F.array_max(s["z"])
         k = F.array_position(s["z"], top).cast("int")
         total = F.aggregate(s["z"], F.lit(0.0), lambda a, b: a + F.exp(b - top))
-        similar = F.array_max(F.transform(F.element_at(pairs, k), lambda t: F.size(F.array_intersect(t, s["p"])) / F.greatest(F.size(t), F.lit(1))))
-        return F.struct(s["i"].alias("paragraph"), k.alias("k"), (1 / total).alias("probability"), F.round(similar, 6).alias("similarity"), s["t"].alias("text"))
+        held = F.transform(F.element_at(pairs, k), lambda t: F.struct((F.size(F.array_intersect(t, s["p"])) / F.greatest(F.size(t), F.lit(1))).alias("share"), t.alias("pairs")))
+        return F.struct(s["i"].alias("i"), k.alias("k"), (1 / total).alias("probability"), _best(held).alias("best"), s["t"].alias("text"), s["p"].alias("p"))
+
+    def _best(held):  # the best share, and the word pairs of all templates that the words confirm
+        return F.struct(F.array_max(F.transform(held, lambda t: t["share"])).alias("share"), F.flatten(F.transform(F.filter(held, lambda t: t["share"] >= m.similarity), lambda t: t["pairs"])).alias("pairs"))
+
+    def confirmed(s):
+        return (s["k"] <= n - 2) & (s["probability"] >= m.threshold) & (s["best"]["share"] >= m.similarity)
 
     def name(s):
-        sure = (s["probability"] >= m.threshold) & (s["similarity"] >= m.similarity)
-        family = F.when((s["k"] <= n - 2) & sure, F.element_at(families, s["k"])).otherwise(F.lit("unknown"))
-        return F.struct(s["paragraph"].alias("paragraph"), family.alias("family"), s["probability"].alias("probability"), s["similarity"].alias("similarity"), s["text"].alias("text"))
-
-    lines = F.transform(F.split(text, "\n"), lambda t, i: F.struct(i.alias("i"), t.alias("t")))
-    scored = F.flatten(F.transform(lines, judge))
-    found = F.filter(F.transform(scored, decide), lambda s: s["k"] != none)
-    named = F.transform(found, name)
+        family = F.when(confirmed(s), F.element_at(families, s["k"])).otherwise(F.lit("unknown"))
+        return F.struct(s["i"].alias("paragraph"), family.alias("family"), s["probability"].alias("probability"), F.round(s["best"]["share"], 6).alias("similarity"), s["text"].alias("text"))
+
+    # A window: a line and those after it, to the paragraph's end or until they hold as many
+    # words as the longest template, so that each wrapped notice lies whole in the window of its
+    # first line.
+    longest = max(len(tokens(t)) for own in TEMPLATES.values() for t in own)
+
+    def window(lines, x):
+        after = F.slice(lines, x["i"] + 2, longest)
+        start = F.struct(F.lit(1).alias("k"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+        def take(acc, y):
+            more = acc["open"] & (F.size(y["w"]) > 0) & (acc["n"] < longest)
+            return F.struct((acc["k"] + more.cast("int")).alias("k"), (acc["n"] + F.size(y["w"])).alias("n"), more.alias("open"))
+
+        k = F.when(F.size(x["w"]) > 0, F.aggregate(after, start, take)["k"]).otherwise(F.lit(1))
+        return F.transform(F.array(k), lambda k: F.slice(lines, x["i"] + 1, k))
+
+    def joined(ys):
+        return judge(F.element_at(ys, 1)["i"], F.array_join(F.transform(ys, lambda y: y["t"]), "\n"), F.flatten(F.transform(ys, lambda y: y["w"])))
+
+    def with_windows(lines):
+        single = F.filter(F.transform(lines, lambda x: judge(x["i"], x["t"], x["w"])), lambda s: s["k"] != none)
+        groups = F.filter(F.flatten(F.transform(lines, lambda x: window(lines, x))), lambda ys: F.size(ys) > 1)
+        wrapped = F.filter(F.transform(groups, joined), confirmed)
+        return F.transform(F.array(F.struct(single.alias("single"), wrapped.alias("wrapped"))), chosen)
+
+    def end(s):
+        return s["i"] + F.size(F.split(s["text"], "\n"))
+
+    def chosen(b):
+        def overlap(x, y):
+            return (x["i"] < end(y)) & (y["i"] < end(x))
+
+        def better(x, y):  # of a family's windows over the same notice the best, and of those the last to start
+            return (y["best"]["share"] > x["best"]["share"]) | ((y["best"]["share"] == x["best"]["share"]) & (y["i"] > x["i"]))
+
+        def fragment(x, y):  # most of what speaks for x is part of y's templates
+            own = F.when(confirmed(x), F.array_intersect(x["best"]["pairs"], x["p"])).otherwise(x["p"])
+            return (y["best"]["share"] > F.when(confirmed(x), x["best"]["share"]).otherwise(0.0)) & (2 * F.size(F.array_intersect(own, y["best"]["pairs"])) > F.size(F.array_distinct(own)))
+
+        new = F.filter(b["wrapped"], lambda x: ~F.exists(b["single"], lambda y: confirmed(y) & overlap(x, y) & (x["k"] == y["k"])))
+        kept = F.filter(new, lambda x: ~F.exists(new, lambda y: overlap(x, y) & F.when(x["k"] == y["k"], better(x, y)).otherwise(fragment(x, y))))
+        lone = F.filter(b["single"], lambda x: ~F.exists(b["wrapped"], lambda y: overlap(x, y) & fragment(x, y) & ~(confirmed(x) & (x["k"] == y["k"]))))
+        return F.array_sort(F.transform(F.concat(lone, kept), name))
+
+    lines = F.transform(F.split(text, "\n"), lambda t, i: F.struct(i.alias("i"), t.alias("t"), F.regexp_extract_all(F.lower(t), F.lit(WORD), F.lit(0)).alias("w")))
+    named = F.element_at(F.flatten(F.transform(F.array(lines), with_windows)), 1)
     kind = "array<struct<paragraph:int,family:string,probability:double,similarity:double,text:string>>"
     return docs.withColumn(out_col, F.coalesce(named, F.array().cast(kind)).cast(kind))
 

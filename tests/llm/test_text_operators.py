@@ -257,3 +257,18 @@ def test_license_scan_of_notices_not_learned_from(spark):
     for r in license_scan.license_scan(docs, model=m).collect():
         got = [x["family"] for x in r["licences"]]
         assert got == ([r["want"]] if r["want"] else []) if r["want"] is not None else len(got) == 1
+
+
+def test_license_scan_of_wrapped_notices(spark):
+    import textwrap
+
+    rows = []
+    for c, own in license_scan.TEMPLATES.items():
+        for t in own:
+            wrapped = "\n".join("# " + x for x in textwrap.wrap(t, 76))
+            if "\n" in wrapped:
+                rows += [(wrapped, [c]), ("The first line of a file.\n" + wrapped + "\nand more of it", [c])]
+    gpl, mit = ("\n".join(textwrap.wrap(license_scan.TEMPLATES[c][k], 60)) for c, k in (("gpl", 1), ("mit", 3)))
+    rows += [(gpl + "\n\n" + mit, ["gpl", "mit"]), (gpl + "\n" + mit, ["gpl", "mit"]), ("Licensed under the Foo License.\n\n" + gpl, ["gpl", "unknown"])]
+    got = license_scan.license_scan(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "k int, text string").repartition(4)).collect()
+    assert len(got) == len(rows) and {r["k"]: sorted({x["family"] for x in r["licences"]}) for r in got} == {k: want for k, (_, want) in enumerate(rows)}
