@@ -63,9 +63,10 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def tune(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows, so that very long texts don't make huge batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def tune(spark: SparkSession) -> None:
+    """Arrow batches bounded by bytes, so that very long texts don't make huge ones. The
+    bound is the same for all operators, so it doesn't matter which sets it last."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def utf8(col) -> object:

@@ -192,7 +192,7 @@ def html_extract(pages: DataFrame, html_col: str = "html", labelled: Sequence[st
     text. Broken markup is read as browsers do, roughly; whole pages are read whatever
     their length. Repeated rows give repeated results; an empty table gives no rows.
     """
-    tune(pages.sparkSession, 200)
+    tune(pages.sparkSession)
     weights = Weights(labelled)
     out = pages.withColumn("main", F.lit(None).cast("struct<text:string,n_chars:long,start:long,end:long,score:double>"))
     at, put = pages.columns.index(html_col), out.columns.index("main")

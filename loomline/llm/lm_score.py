@@ -1,33 +1,41 @@
-"""Language-model scores by a weighted backoff automaton.
-
-Counts of all tokens of all training documents give the unigram model, whose table grows
-with the corpus and stays distributed. Tokens of at least `share` of all, and word pairs
-and triples of at least `gram_share`, become the automaton: a state for each context that
-has continuations, arcs with smoothed log-probabilities, and failure arcs with backoff
-weights. As the thresholds are shares of all tokens, the automaton has at most
-1/share + 2/gram_share arcs, however large the corpus. One left-to-right traversal of a
-text carries the state and adds up log-probabilities; a token outside the automaton leads
-through the failure arcs to the root, and its unigram probability comes from a join with
-the full table.
+"""Language-model scores by a weighted backoff automaton over every n-gram of the corpus.
+
+1. Texts become slices of about `slice_tokens` tokens (numbers of a vocabulary of their
+   own), written once to the shared folder.
+2. Each slice asks for the counts of its distinct words, pairs and triples: sorted keys,
+   with the slice's own counts, cut by key range into shards. A shard adds up the counts of
+   all slices and answers each with an array in the order of its keys; of the slices that
+   hold an n-gram one is told to speak for it. In the same way slices then ask for how many
+   different words follow each context. No n-gram is left out, however rare; what is
+   gathered grows with the corpus and stays distributed.
+3. A slice and its answers meet again. Its n-grams become automata, one for each window of
+   its tokens: a state for each context, arcs with smoothed log-probabilities, failure arcs
+   with backoff weights. One left-to-right traversal carries the state, also from one window
+   to the next, and adds up log-probabilities.
+
+Smoothing (interpolated absolute discounting, by one): P(w|h) = max(c(hw) - 1, 0)/c(h) +
+N(h)/c(h) P(w|h'), where N(h) different words follow h, h' is h without its first word, and
+P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)). So a text that is learned from can't vouch for itself:
+what it alone holds is discounted to nothing. As the counts of what follows h sum up to c(h),
+the probabilities of a context sum up to what P(w) sums up to.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_fold, materialise, table, tune, utf8
+from .common import doc_fold, lean, materialise, table, tune, utf8
 
-#: A token by itself; no word holds white space.
+#: A token by itself; no word holds white space. Its number is 0 in each slice.
 END = b"\n"
-DISCOUNT = 0.75
-FLUSH = 400_000
+_P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 def words(text: bytes) -> list[bytes]:
@@ -35,80 +43,230 @@ def words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def _summed(docs: DataFrame, column: str, count) -> DataFrame:
-    """Sums by key over what `count` yields for each task: (keys, counts) arrays."""
-    kind = pa.binary() if column == "binary" else pa.int64()
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def run(batches):
-        for keys, n in count(b.column(0) for b in batches):
-            for k in range(0, len(keys), 50_000):
-                part = [pa.array(keys[k : k + 50_000], kind), pa.array(n[k : k + 50_000], pa.int64())]
-                yield pa.RecordBatch.from_arrays(part, names=["k", "n"])
 
-    return docs.mapInArrow(run, f"k {column}, n long").groupBy("k").agg(F.sum("n").alias("n"))
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned integers as byte planes, compressed: planes of zeros take no room."""
+    raw = np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    raw = pa.decompress(blob[8:], n, "zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+# Keys: 62 bits of a hash; bit 1 says that the key is of a single word, bit 0 is left 0.
+def word_keys(hashes: np.ndarray) -> np.ndarray:
+    return _mix(hashes) & ~np.uint64(3) | np.uint64(2)
+
+
+def gram_keys(hashes: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the pairs that end at tokens 1, 2, ..., of the triples that end at tokens 2,
+    3, ..., and which of these are triples of one text (none has an end in its middle)."""
+    h = hashes[tokens]
+    two = _mix(h[:-1] * _P[0] + _mix(h[1:] ^ _P[2]))
+    three = _mix(two[:-1] * _P[1] + h[2:])
+    return two & ~np.uint64(3), three & ~np.uint64(3), tokens[1:-1] != 0
+
 
+@dataclass
+class Grams:
+    """Distinct keys in order, how often each occurs in texts that count, and the places among
+    them of each vocabulary word, of each token's pair and of each token's triple (-1: none)."""
+
+    keys: np.ndarray
+    own: np.ndarray
+    one: np.ndarray
+    two: np.ndarray
+    three: np.ndarray
+
+    def contexts(self, tokens: np.ndarray) -> np.ndarray:
+        """The place of each key's context: of a pair its first word's, of a triple its first
+        pair's; of a word -1."""
+        out = np.full(len(self.keys), -1, np.int32)
+        out[self.two] = self.one[tokens[:-1]]
+        whole = self.three >= 0
+        out[self.three[whole]] = self.two[:-1][whole]
+        return out
+
+    def asked(self, counts: np.ndarray) -> np.ndarray:
+        """Places of the contexts that may have an n-gram seen twice."""
+        can = np.zeros(len(self.keys), bool)
+        can[self.one] = can[self.two] = True
+        return np.flatnonzero(can & (counts > 1))
+
+
+@dataclass
+class Slice:
+    """Texts as one run of tokens: an end, then the words and the end of each text."""
+
+    hashes: np.ndarray  # of the vocabulary, END first
+    tokens: np.ndarray
+    starts: np.ndarray  # where each text's first token is; one more for the last text's end
+    learn: np.ndarray  # of each text: 0 is scored, 1 counts and is scored, 2 counts
+
+    def grams(self) -> Grams:
+        one = word_keys(self.hashes)
+        two, three, whole = gram_keys(self.hashes, self.tokens)
+        counts = np.repeat(np.minimum(self.learn, 1), np.diff(self.starts))
+        all_ = np.concatenate([one, two, three[whole]])
+        weight = np.concatenate([np.bincount(self.tokens[1:], counts, len(one)).astype(np.int64), counts, counts[1:][whole]])
+        order = np.argsort(all_)
+        all_ = all_[order]
+        new = np.concatenate([[True], all_[1:] != all_[:-1]])
+        place = np.empty(len(order), np.int32)
+        place[order] = np.cumsum(new, dtype=np.int32) - 1
+        first = np.flatnonzero(new)
+        a, b = len(one), len(one) + len(two)
+        at3 = np.full(len(three), -1, np.int32)
+        at3[whole] = place[b:]
+        return Grams(all_[first], np.add.reduceat(weight[order], first), place[:a], place[a:b], at3)
+
+
+def _slices(docs: DataFrame, slice_tokens: int) -> DataFrame:
+    """docs (_id, _learn, _t) as rows of one slice each."""
+    kind = docs.schema["_id"].dataType.simpleString()
+    schema = f"slice long, n long, ids array<{kind}>, vocabulary binary, tokens binary, lengths binary, learn binary"
+
+    def run(batches):
+        from pyspark import TaskContext
 
-def unigrams(docs: DataFrame) -> DataFrame:
-    """Counts (k, n) of all tokens, the ends included. docs: one column of UTF-8 bytes."""
+        number, task = 0, TaskContext.get().partitionId() << 32
+        of, tokens, lengths, learn, ids = {END: 0}, [], [], [], []
+
+        def done(ids_kind):
+            nonlocal of, tokens, lengths, learn, ids, number
+            hashes = np.array([xxhash.xxh64_intdigest(w) for w in of], np.uint64)
+            columns = [[task + number], [len(tokens)], None, [pack(hashes)], [pack(np.array(tokens, np.int64))], [pack(np.array(lengths, np.int64))], [pack(np.array(learn, np.int64))]]
+            values = pa.concat_arrays(ids)
+            columns[2] = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            kinds = [pa.int64(), pa.int64(), None, *[pa.binary()] * 4]
+            out = pa.RecordBatch.from_arrays([c if k is None else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=schema_names)
+            of, tokens, lengths, learn, ids, number = {END: 0}, [], [], [], [], number + 1
+            return out
+
+        schema_names = ["slice", "n", "ids", "vocabulary", "tokens", "lengths", "learn"]
+        for batch in batches:
+            from_row = 0
+            for row, (t, counts) in enumerate(zip(batch.column(2), batch.column(1).to_pylist(), strict=True)):
+                before = len(tokens)
+                for w in words(t.as_py()):
+                    k = of.get(w)
+                    if k is None:
+                        k = of[w] = len(of)
+                    tokens.append(k)
+                tokens.append(0)
+                lengths.append(len(tokens) - before)
+                learn.append(counts)
+                if len(tokens) >= slice_tokens:
+                    ids.append(batch.column(0).slice(from_row, row + 1 - from_row))
+                    from_row = row + 1
+                    yield done(batch.column(0).type)
+            if from_row < batch.num_rows:
+                ids.append(batch.column(0).slice(from_row))
+        if lengths:
+            yield done(ids[0].type)
+
+    return docs.mapInArrow(lean(run), schema)
+
+
+def _read(vocabulary: bytes, tokens: bytes, lengths: bytes, learn: bytes) -> Slice:
+    run = np.concatenate([[0], unpack(tokens).astype(np.int64)])
+    starts = np.concatenate([[1], 1 + np.cumsum(unpack(lengths).astype(np.int64))])
+    return Slice(unpack(vocabulary), run, starts, unpack(learn).astype(np.int64))
+
+
+def _ask(slice_: int, keys: np.ndarray, own: np.ndarray, shards: int):
+    """The slice's sorted keys and its own counts, cut by key range into shards."""
+    shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(keys) else [0]
+    rows = []
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        part = keys[a:b]
+        rows.append((slice_, int(shard[a]), pack(np.concatenate([part[:1], np.diff(part)])), pack(own[a:b])))
+        if len(rows) == 64 or b == len(keys):
+            yield _batch(rows, [pa.int64(), pa.int32(), pa.binary(), pa.binary()], ["slice", "shard", "keys", "own"])
+            rows = []
+
+
+def _answers(asked: DataFrame, what: str) -> DataFrame:
+    """(slice, answers: an array of blobs, n, v): for the keys that the slice asked for, in
+    their order, twice the sum of all slices' counts, and one more for the one slice that
+    speaks for the key; n, v: sum of the counts of words, and number of words counted, of
+    the shards whose first slice it is."""
+
+    def answer(batches):
+        held: list[tuple] = []
+        shard = None
+
+        def done():
+            held.sort(key=lambda x: x[0])
+            keys = np.concatenate([np.cumsum(k, dtype=np.uint64) for _, k, _ in held])
+            own = np.concatenate([c for _, _, c in held]).astype(np.int64)
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            new = np.concatenate([[True], keys[1:] != keys[:-1]])
+            first = np.flatnonzero(new)
+            total = np.add.reduceat(own[order], first)
+            single = (keys[first] & np.uint64(2)) > 0
+            n, v = int(total[single].sum()), int((total[single] > 0).sum())
+            out = np.empty(len(order), np.int64)
+            out[order] = 2 * total[np.cumsum(new) - 1] + new
+            at, rows = 0, []
+            for slice_, k, _ in held:
+                rows.append((slice_, shard, pack(out[at : at + len(k)]), n, v))
+                at, n, v = at + len(k), 0, 0
+            return _batch(rows, [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()], ["slice", "shard", "counts", "n", "v"])
 
-    def count(columns):
-        c: Counter = Counter()
-        for texts in columns:
-            for t in texts:
-                c.update(words(t.as_py()))
-            c[END] += len(texts)
-            if len(c) > FLUSH:
-                yield list(c), list(c.values())
-                c.clear()
-        if c:
-            yield list(c), list(c.values())
+        for batch in batches:
+            for slice_, of, keys, own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if of != shard:
+                    if held:
+                        yield done()
+                    held, shard = [], of
+                held.append((slice_, unpack(keys), unpack(own)))
+        if held:
+            yield done()
 
-    return _summed(docs, "binary", count)
+    dealt = asked.repartition("shard").sortWithinPartitions("shard")
+    rows = dealt.mapInArrow(lean(answer), "slice long, shard int, counts binary, n long, v long")
+    # A slice's answers hold no more than what it asked, which slice_tokens bounds.
+    own = rows.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("shard", "counts"))).alias("a"), F.sum("n").alias("n"), F.sum("v").alias("v"))
+    out = materialise(own.select("slice", F.col("a.counts").alias("answers"), "n", "v"), what)
+    asked.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the files of the shuffles that ended here
+    return out
 
 
-def _pairs(docs: DataFrame, known, of_tokens) -> DataFrame:
-    """Counts of the integer keys that of_tokens(ids) makes of each text's token numbers."""
+def _joined(answers: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *[unpack(x).astype(np.int64) for x in answers]])
 
-    def count(columns):
-        number = {w: i for i, w in enumerate(known.value)}
-        end, get = number.get(END, -1), number.get
-        held, n = [], 0
-        for texts in columns:
-            for t in texts:
-                ids = np.array([end, *[get(w, -1) for w in words(t.as_py())], end], np.int64)
-                held.append(of_tokens(ids))
-                n += len(held[-1])
-                if n > 5 * FLUSH:
-                    yield np.unique(np.concatenate(held), return_counts=True)
-                    held, n = [], 0
-        if n:
-            yield np.unique(np.concatenate(held), return_counts=True)
 
-    return _summed(docs, "long", count)
+def _batch(rows, kinds, names):
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 @dataclass
 class Automaton:
     """State 0 is the root. arcs: state * size + token to (log10 probability, next state)."""
 
-    words: list[bytes]
-    uni: np.ndarray  # log10 probabilities of the tokens
+    size: int
+    uni: list[float]  # log10 probabilities of the tokens
     first: list[int]  # state after a token read at the root
     arcs: dict[int, tuple[float, int]] = field(default_factory=dict)
     fail: list[int] = field(default_factory=lambda: [0])
     weight: list[float] = field(default_factory=lambda: [0.0])  # of the failure arc, log10
-    to_root: list[float] = field(default_factory=lambda: [0.0])
-    start: int = 0
-
-    def score(self, ids: list[int]) -> float:
-        """One traversal; -1 stands for a token outside, whose own probability isn't added."""
-        size, arcs, fail, weight, uni, first = len(self.words), self.arcs, self.fail, self.weight, self.uni_list, self.first
-        s, total = self.start, 0.0
-        for w in ids:
-            if w < 0:
-                total += self.to_root[s]
-                s = 0
-                continue
+
+    def score(self, tokens: list[int], s: int) -> tuple[float, int]:
+        """One traversal from state s: the log10 probability, and the state it ends in."""
+        size, arcs, fail, weight, uni, first = self.size, self.arcs, self.fail, self.weight, self.uni, self.first
+        total = 0.0
+        for w in tokens:
             while s:
                 arc = arcs.get(s * size + w)
                 if arc is not None:
@@ -121,176 +279,160 @@ class Automaton:
             else:
                 total += uni[w]
                 s = first[w]
-        return total
-
-    @property
-    def uni_list(self):
-        if not hasattr(self, "_uni"):
-            self._uni = self.uni.tolist()
-        return self._uni
-
-
-def automaton(names: list[bytes], counts: np.ndarray, n: int, v: int, pairs: dict[tuple[int, int], int], triples: dict[tuple[int, int, int], int]) -> Automaton:
-    """Interpolated absolute discounting: P(w|h) = (c(hw)-D)/c(h) + g(h) P(w|h'), where
-    g(h), the failure arc's weight, gives back what the discounted arcs leave."""
-    p1 = (counts + 0.1) / (n + 0.1 * (v + 1))
-    a = Automaton(names, np.log10(p1), [0] * len(names))
-    end = names.index(END) if END in names else -1
-    by: dict[int, list[tuple[int, int]]] = {}
-    for (h, w), c in pairs.items():
-        by.setdefault(h, []).append((w, c))
-    state: dict[tuple, int] = {}
-
-    def add(key, fail, g):
-        state[key] = s = len(a.fail)
-        a.fail.append(fail)
-        a.weight.append(math.log10(g))
-        a.to_root.append(a.weight[s] + a.to_root[fail])
-        return s
-
-    gamma = {}
-    for h in sorted(by):
-        g = gamma[h] = 1 - sum((c - DISCOUNT) / counts[h] for _, c in by[h])
-        a.first[h] = add((h,), 0, g)
-    p2 = {(h, w): (c - DISCOUNT) / counts[h] + gamma[h] * p1[w] for (h, w), c in pairs.items()}
-    by3: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for (x, h, w), c in triples.items():
-        if h != end and (x, h) in pairs:
-            by3.setdefault((x, h), []).append((w, c))
-    for x, h in sorted(by3):
-        add((x, h), a.first[h], 1 - sum((c - DISCOUNT) / pairs[x, h] for _, c in by3[x, h]))
-    size = len(names)
-    for (h, w), p in p2.items():
-        a.arcs[a.first[h] * size + w] = (math.log10(p), state.get((h, w), a.first[w]))
-    for (x, h), own in by3.items():
-        s = state[x, h]
-        for w, c in own:
-            below = p2.get((h, w), (gamma.get(h, 1.0)) * p1[w])
-            p = (c - DISCOUNT) / pairs[x, h] + 10 ** a.weight[s] * below
-            a.arcs[s * size + w] = (math.log10(p), state.get((h, w), a.first[w]))
-    a.start = a.first[end] if end >= 0 else 0
-    return a
-
-
-def fit(docs: DataFrame, share: float = 1e-6, gram_share: float = 1e-5) -> tuple[DataFrame, int, int, Automaton]:
-    """Unigram table, number of tokens, number of distinct tokens, and automaton.
-
-    docs: training texts, one column of UTF-8 bytes. Grams must occur twice at least.
+        return total, s
+
+
+def automaton(tokens: np.ndarray, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, f1: np.ndarray, f2: np.ndarray, n: int, v: int) -> tuple[Automaton, np.ndarray, int]:
+    """The automaton of a run of tokens (two at least), the run in the automaton's numbers,
+    and the state after its first two tokens.
+
+    c1[i], c2[i], c3[i]: counts of the token at place i and of the pair and the triple that
+    end there (0 where there is none); f1[i], f2[i]: the number of words that follow the
+    token, and the pair. A state is there for each context of the run that some word
+    follows twice or more, an arc for each of its n-grams that was seen twice or more.
     """
-    spark = docs.sparkSession
-    uni = materialise(unigrams(docs), "lm-unigrams")
-    total = uni.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n, v = total["n"], total["v"]
-    least = max(2, math.ceil(gram_share * n))
-    top = uni.where((F.col("n") >= F.lit(share * n)) | (F.col("k") == F.lit(END))).toArrow()  # at most 1/share + 1 rows
-    order = sorted(zip(top.column("k").to_pylist(), top.column("n").to_pylist(), strict=True))
-    names, counts = [k for k, _ in order], np.array([c for _, c in order], float)
-    known = spark.sparkContext.broadcast(names)
-    size = max(1, len(names))
-    frequent = counts >= least
-
-    def two(ids):  # a pair can't be more frequent than its words
-        ok = (ids >= 0) & frequent[ids] if len(frequent) else ids < -1
-        both = ok[:-1] & ok[1:]
-        return ids[:-1][both] * size + ids[1:][both]
-
-    def collected(df):  # at most 1/gram_share rows
-        t = df.where(F.col("n") >= least).toArrow()
-        return dict(zip(t.column("k").to_pylist(), t.column("n").to_pylist(), strict=True))
-
-    pair = collected(_pairs(docs, known, two))
-    kept = np.array(sorted(pair), np.int64)
-
-    def three(ids):  # a triple can't be more frequent than its pairs
-        if not len(kept) or len(ids) < 3:
-            return np.zeros(0, np.int64)
-        key = ids[:-1] * size + ids[1:]
-        key[(ids[:-1] < 0) | (ids[1:] < 0)] = -1
-        place = np.minimum(np.searchsorted(kept, key), len(kept) - 1)
-        ok = kept[place] == key
-        both = ok[:-1] & ok[1:]
-        return place[:-1][both] * size + ids[2:][both]
-
-    triple = collected(_pairs(docs, known, three)) if len(kept) else {}
-    pairs = {divmod(k, size): c for k, c in pair.items()}
-    triples = {(*divmod(int(kept[k // size]), size), k % size): c for k, c in triple.items()}
-    return uni, n, v, automaton(names, counts, n, v, pairs, triples)
-
-
-def lm_score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 1e-6, gram_share: float = 1e-5) -> DataFrame:
-    """Score each text of `docs` under the model of the texts of `train`.
+    own, at, run = np.unique(tokens, return_index=True, return_inverse=True)
+    m = len(own)
+    c1, f1 = c1[at].astype(float), f1[at].astype(float)
+    p1 = (c1 + 0.1) / (n + 0.1 * (v + 1))
+    live = c1 > f1
+    back1 = np.where(live, f1 / np.maximum(c1, 1), 1.0)
+    state1 = np.where(live, np.cumsum(live), 0)
+    states = 1 + int(live.sum())
+    # Pairs (h, w): probability of w after h.
+    pair, at, pair_of = np.unique(run[:-1] * m + run[1:], return_index=True, return_inverse=True)
+    h, w = pair // m, pair % m
+    n2, f2 = c2[1:][at].astype(float), f2[1:][at].astype(float)
+    p2 = np.where(live[h], np.maximum(n2 - 1, 0) / np.maximum(c1[h], 1), 0.0) + back1[h] * p1[w]
+    arc2 = (n2 > 1) & live[h]
+    # As contexts: pairs that don't end in an end; the end's state is that of one word.
+    context = (n2 > f2) & (own[w] != 0)
+    back2 = np.where(context, f2 / np.maximum(n2, 1), 1.0)
+    state2 = np.where(context, states - 1 + np.cumsum(context), 0)
+    ends_in = np.where(context, state2, state1[w])
+    # Triples: the pair of the first two words, then w.
+    _, at = np.unique(pair_of[:-1] * m + run[2:], return_index=True)
+    before, then = pair_of[:-1][at], pair_of[1:][at]
+    n3 = c3[2:][at].astype(float)
+    p3 = np.maximum(n3 - 1, 0) / np.maximum(n2[before], 1) + back2[before] * p2[then]
+    arc3 = (n3 > 1) & context[before]
+    keys = np.concatenate([(state1[h] * m + w)[arc2], state2[before[arc3]] * m + w[then[arc3]]])
+    logs = np.log10(np.concatenate([p2[arc2], p3[arc3]]))
+    nexts = np.concatenate([ends_in[arc2], ends_in[then[arc3]]])
+    a = Automaton(m, np.log10(p1).tolist(), state1.tolist())
+    a.arcs = dict(zip(keys.tolist(), zip(logs.tolist(), nexts.tolist(), strict=True), strict=True))
+    a.fail = [0, *[0] * int(live.sum()), *state1[w[context]].tolist()]
+    a.weight = [0.0, *np.log10(back1[live]).tolist(), *np.log10(back2[context]).tolist()]
+    return a, run, int(ends_in[pair_of[0]])
+
+
+def _scored(s: Slice, g: Grams, counts: np.ndarray, follow: np.ndarray, n: int, v: int, window: int):
+    """n_tokens, n_known, base and score of each text of a slice; counts and follow by key."""
+    zero = np.zeros(1, np.int64)
+    c1, f1 = counts[g.one][s.tokens], follow[g.one][s.tokens]
+    c2, f2 = np.concatenate([zero, counts[g.two]]), np.concatenate([zero, follow[g.two]])
+    c3 = np.concatenate([zero, zero, np.where(g.three >= 0, counts[np.maximum(g.three, 0)], 0)])
+    size, starts = np.diff(s.starts), s.starts[:-1]
+    known = np.add.reduceat((c1 > 0).astype(np.int64), starts)
+    base = np.add.reduceat(np.log10((c1 + 0.1) / (n + 0.1 * (v + 1))), starts)
+    score = np.zeros(len(size))
+    text, left = 0, int(size[0])
+    for a in range(1, len(s.tokens), window):
+        back = min(a, 2)  # the tokens before, from which the state is found again
+        part = slice(a - back, min(a + window, len(s.tokens)))
+        auto, run, met = automaton(s.tokens[part], c1[part], c2[part], c3[part], f1[part], f2[part], n, v)
+        state = auto.first[int(run[0])] if back == 1 else met
+        run, k = run[back:].tolist(), 0
+        while k < len(run):
+            own = run[k : k + left]
+            got, state = auto.score(own, state)
+            score[text] += got
+            k, left = k + len(own), left - len(own)
+            if not left and text + 1 < len(size):
+                text += 1
+                left = int(size[text])
+    return size, known, base, score
+
+
+def lm_score(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", train: DataFrame | None = None, slice_tokens: int = 2_000_000, shard_tokens: int = 500_000, window: int = 250_000) -> DataFrame:
+    """Score each text of `docs` under the model of the texts that `learn` holds for.
+
+    learn: a condition on `docs`; null counts as false; by default all rows. train: more
+    texts to learn from (column text_col), which aren't scored.
 
     Columns: id_col, n_tokens, n_known (tokens that occur in training), train_tokens,
     base_score (sum of the additively smoothed unigram log10 probabilities), score (the
     automaton's log10 probability of the text). Tokens are words and one end.
 
+    slice_tokens and shard_tokens set what a task holds at a time (a slice is one text at
+    least), window what one automaton is made from; results don't depend on them. The
+    number of blobs that slices and shards exchange is at most the product of both
+    numbers, and at most that of the keys. n-grams are told apart by 62-bit hashes.
+
     Null texts are empty: one end token. Rows are scored each by itself, repeated ids or
-    not. Without training texts every probability is the unigram model's 1. An empty
-    table gives no rows; other columns are not read. Whole texts are read.
+    not, null ids too. Without training texts every probability is the unigram model's 1.
+    An empty table gives no rows; other columns are not read. Whole texts are read.
     """
     spark = docs.sparkSession
     tune(spark)
-    uni, n, v, model = fit(train.select(utf8(F.col(text_col)).alias("t")), share, gram_share)
-    shared = spark.sparkContext.broadcast(model)
-    fields = "n_tokens long, n_known long, base double, score double, rare array<struct<w:binary,n:long>>, row long"
-    names = [f.split()[0] for f in fields.split(", ")]
-    rows = docs.select(F.col(id_col).alias("_id"), utf8(F.col(text_col)).alias("_t"))
-    rare_kind = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())]))
+    learns = F.lit(1) if learn is None else F.coalesce(learn, F.lit(False)).cast("int")
+    rows = docs.select(F.col(id_col).alias("_id"), learns.alias("_learn"), utf8(F.col(text_col)).alias("_t"))
+    if train is not None:  # 2: learned from, not scored
+        rows = rows.union(train.select(F.lit(None).cast(rows.schema["_id"].dataType), F.lit(2), utf8(F.col(text_col))))
+    slices = materialise(_slices(rows, slice_tokens), "lm-slices")
+    total = slices.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shards = max(1, math.ceil(total / shard_tokens))
+    blobs = ["vocabulary", "tokens", "lengths", "learn"]
+    asked = "slice long, shard int, keys binary, own binary"
+
+    def ask_counts(batches):
+        for batch in batches:
+            for slice_, *own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                g = _read(*own).grams()
+                yield from _ask(slice_, g.keys, g.own, shards)
 
-    def run(batches):
-        from pyspark import TaskContext
+    counts = _answers(slices.select("slice", *blobs).mapInArrow(lean(ask_counts), asked), "lm-counts")
+    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    counts = counts.select("slice", F.col("answers").alias("counts"))
 
-        a: Automaton = shared.value
-        number = {w: i for i, w in enumerate(a.words)}
-        get, end, row = number.get, number.get(END, -1), TaskContext.get().partitionId() << 36
-        uni_log = np.append(a.uni, 0.0)
+    def ask_follow(batches):
         for batch in batches:
-            out = []
-            for t in batch.column(1):
-                tokens = words(t.as_py())
-                ids = [get(w, -1) for w in tokens]
-                rare = Counter(w for w, i in zip(tokens, ids, strict=True) if i < 0)
-                ids.append(end)
-                if end < 0:
-                    rare[END] += 1
-                unknown = sum(rare.values())
-                out.append((len(ids), len(ids) - unknown, float(uni_log[ids].sum()), a.score(ids), [{"w": w, "n": c} for w, c in rare.items()], row))
-                row += 1
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_kind, pa.int64()]
-            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["_id", *names])
-
-    # Written once, so that the row numbers hold whatever task is run again.
-    id_type = rows.schema["_id"].dataType.simpleString()
-    scored = materialise(rows.mapInArrow(run, f"_id {id_type}, {fields}"), "lm-scored")
-    denominator = n + 0.1 * (v + 1)
-    c = F.coalesce(F.col("c"), F.lit(0))
-    rare = (
-        scored.select("row", F.explode("rare").alias("r"))
-        .select("row", F.col("r.w").alias("w"), F.col("r.n").alias("tf"))
-        .join(uni.select(F.col("k").alias("w"), F.col("n").alias("c")), "w", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.col("tf") * F.log10((c + 0.1) / F.lit(denominator))).alias("rare_log"),
-            F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("rare_known"),
-        )
-    )
-    extra = F.coalesce(F.col("rare_log"), F.lit(0.0))
-    return (
-        scored.drop("rare")
-        .join(rare, "row", "left")
-        .select(
-            F.col("_id").alias(id_col),
-            "n_tokens",
-            (F.col("n_known") + F.coalesce(F.col("rare_known"), F.lit(0))).alias("n_known"),
-            F.lit(int(n)).cast("long").alias("train_tokens"),
-            (F.col("base") + extra).alias("base_score"),
-            (F.col("score") + extra).alias("score"),
-        )
+            for slice_, *own, answers in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                s = _read(*own)
+                g, got = s.grams(), _joined(answers)
+                context = g.contexts(s.tokens)
+                spoken = context[(got & 1 > 0) & (got > 1) & (context >= 0)]
+                at = g.asked(got >> 1)
+                yield from _ask(slice_, g.keys[at], np.bincount(spoken, minlength=len(g.keys))[at], shards)
+
+    met = slices.join(counts, "slice").select("slice", *blobs, "counts")
+    follow = _answers(met.mapInArrow(lean(ask_follow), asked), "lm-follow").select("slice", F.col("answers").alias("follow"))
+    met = slices.join(counts, "slice").join(follow, "slice", "left").select("ids", *blobs, "counts", "follow")
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, *own, answers, follow = (batch.column(k)[row] for k in range(7))
+                s = _read(*[x.as_py() for x in own])
+                g, got = s.grams(), _joined(answers.as_py()) >> 1
+                after = np.zeros(len(got), np.int64)
+                after[g.asked(got)] = _joined(follow.as_py() or []) >> 1
+                after[got == 1] = 1
+                keep = s.learn < 2
+                columns = [ids.values, *_scored(s, g, got, after, n, v, window)]
+                kinds = [None, pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+                columns = [c if k is None else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+                out = pa.RecordBatch.from_arrays(columns, names=["_id", "n_tokens", "n_known", "base_score", "score"])
+                yield out if keep.all() else out.filter(pa.array(keep))
+
+    kind = rows.schema["_id"].dataType.simpleString()
+    return met.mapInArrow(lean(run), f"_id {kind}, n_tokens long, n_known long, base_score double, score double").select(
+        F.col("_id").alias(id_col), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
 
 def op3_lm_score(spark, sf_dir):
+    """Scores of all documents, learned from those whose crc32 of the id isn't divisible by 10."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = doc_fold(F.col("doc_id"), 10) == 0
-    return lm_score(docs, docs.where(~held)).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return lm_score(docs, ~held).select("doc_id", (doc_fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

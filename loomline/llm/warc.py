@@ -117,7 +117,7 @@ def write_warc(
     than any other, so its record revisits any equal payload; if all ids of a payload are
     null, or rows tie on the smallest id, each such row is a response. No rows, no files.
     """
-    tune(pages.sparkSession, 200)
+    tune(pages.sparkSession)
     rows = pages.select(
         F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), utf8(F.col(payload_col)).alias("_body")
     ).select("*", F.sha2("_body", 256).alias("_sha"), F.length("_body").cast("long").alias("_n"))
@@ -179,7 +179,7 @@ def read_warc(manifest: DataFrame, path_col: str = "path", payload: bool = True)
     (string), payload (empty for a revisit; left out if payload is False). A record that
     breaks its framing or digests fails the job. An empty manifest gives no rows.
     """
-    tune(manifest.sparkSession, 200)
+    tune(manifest.sparkSession)
     names = ["path", "seq", "record_type", "page_id", "url", "payload_bytes", "payload_digest", "refers_to"]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
     schema = "path string, seq long, record_type string, page_id string, url string, payload_bytes long, payload_digest string, refers_to string"

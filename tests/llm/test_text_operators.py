@@ -151,43 +151,67 @@ def test_pack(some_docs, edge_docs, no_docs, shard):
 
 
 # --- language model
-def test_lm_score_against_brute_force(spark, some_docs):
-    docs = some_docs.select("doc_id", "text")
+def interpolated(texts, learned):
+    """The model by its formula, from plain counts of all n-grams: score(tokens), counts, n, v."""
     c = Counter()
-    for r in docs.collect():
-        c.update([*(r["text"] or "").encode().lower().split(), b"\n"])
-    n, v = sum(c.values()), len(c)
-    _, n2, v2, a = lm_score.fit(docs.select(F.encode("text", "utf-8").alias("t")), share=1e-4, gram_share=1e-3)
-    assert (n2, v2) == (n, v) and len(a.words) < v and max(a.fail) > 0
-    number, size = {w: i for i, w in enumerate(a.words)}, len(a.words)
-
-    def probability(state, word):
-        back = 0.0
-        i = number.get(word, -1)
-        while state and (i < 0 or state * size + i not in a.arcs):
-            back, state = back + a.weight[state], a.fail[state]
-        if state:
-            return back + a.arcs[state * size + i][0], a.arcs[state * size + i][1]
-        return back + math.log10((c[word] + 0.1) / (n + 0.1 * (v + 1))), a.first[i] if i >= 0 else 0
-
-    for s in list(range(0, len(a.fail), 9)):  # each state's probabilities add up to 1
-        unseen = 10 ** a.to_root[s] * 0.1 / (n + 0.1 * (v + 1))
-        assert sum(10 ** probability(s, w)[0] for w in c) + unseen == pytest.approx(1)
-    for r in lm_score.lm_score(docs, docs, share=1e-4, gram_share=1e-3).join(docs, "doc_id").collect():
-        tokens = [*(r["text"] or "").encode().lower().split(), b"\n"]
-        s, total = a.start, 0.0
-        for w in tokens:
-            p, s = probability(s, w)
-            total += p
-        assert r["score"] == pytest.approx(total) and r["n_known"] == r["n_tokens"] == len(tokens)
-        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens))
-
-
-def test_lm_edges(edge_docs, no_docs):
-    out = lm_score.lm_score(edge_docs, edge_docs).collect()
-    assert len(out) == edge_docs.count() and all(r["score"] < 0 or r["n_tokens"] for r in out)
-    assert {r["score"] for r in lm_score.lm_score(edge_docs, no_docs).collect()} == {0.0}
-    assert lm_score.lm_score(no_docs, edge_docs).count() == 0
+    for t in learned:
+        x = [b"\n", *t, b"\n"]
+        c.update((w,) for w in x[1:])
+        c.update(zip(x, x[1:], strict=False))
+        c.update(zip(x, x[1:], x[2:], strict=False))
+    n, v = sum(k for g, k in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+
+    follow = Counter(g[:-1] for g in c)
+
+    def p(w, *h):
+        if not h:
+            return (c[(w,)] + 0.1) / (n + 0.1 * (v + 1))
+        if h[-1] == b"\n" and len(h) > 1 or not c[h]:
+            return p(w, *h[1:])
+        return (max(c[(*h, w)] - 1, 0) + follow[h] * p(w, *h[1:])) / c[h]
+
+    def score(t):
+        x = [b"\n", *t, b"\n"]
+        return sum(math.log10(p(x[i], *x[max(0, i - 2) : i])) for i in range(1, len(x)))
+
+    return score, c, n, v, p
+
+
+@pytest.mark.parametrize("sizes", [{}, {"slice_tokens": 500, "shard_tokens": 700, "window": 37}, {"window": 1}])
+def test_lm_score_against_brute_force(spark, some_docs, sizes):
+    docs = some_docs.select("doc_id", "text").limit(60 if sizes.get("window") == 1 else 10**6)
+    texts = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in docs.collect()}
+    score, c, n, v, p = interpolated(texts.values(), [t for i, t in texts.items() if i % 3])
+    for h in [g for g in list(c)[:3000:30] if len(g) < 3 and g[-1] != b"\n"]:  # what a context leaves to words not seen is P(w)'s
+        seen = [w for (w,) in (g for g in c if len(g) == 1)]
+        assert sum(p(w, *h) for w in seen) == pytest.approx(1 - p(b'not seen', *h))
+    out = lm_score.lm_score(docs, F.col("doc_id") % 3 > 0, **sizes).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(texts)
+    for r in out:
+        t = texts[r["doc_id"]]
+        assert r["score"] == pytest.approx(score(t), rel=1e-9)
+        assert (r["n_tokens"], r["train_tokens"]) == (len(t) + 1, n)
+        assert r["n_known"] == sum(c[(w,)] > 0 for w in [*t, b"\n"])
+        assert r["base_score"] == pytest.approx(sum(math.log10(p(w)) for w in [*t, b"\n"]))
+
+
+def test_lm_probabilities_sum_to_one():
+    texts = [b"a b a b c".split(), b"a b d".split(), b"a b".split(), b"c c c c".split()]
+    _, c, n, v, p = interpolated(texts, texts)
+    for h in [(), (b"a",), (b"b",), (b"c",), (b"\n",), (b"a", b"b"), (b"c", b"c"), (b"\n", b"a")]:
+        assert sum(p(w, *h) for (w,) in (g for g in c if len(g) == 1)) + p(b"unseen", *h) == pytest.approx(1)
+
+
+def test_lm_edges(spark, edge_docs, no_docs):
+    out = lm_score.lm_score(edge_docs).collect()
+    texts = [((r["text"] or "").encode().lower().split(), r["doc_id"]) for r in edge_docs.collect()]
+    score, *_ = interpolated(*[[t for t, _ in texts]] * 2)
+    assert sorted((str(r["doc_id"]), round(r["score"], 6)) for r in out) == sorted((str(i), round(score(t), 6)) for t, i in texts)
+    assert {r["score"] for r in lm_score.lm_score(edge_docs, F.lit(False)).collect()} == {0.0}
+    assert {r["score"] for r in lm_score.lm_score(edge_docs, F.lit(None).cast("boolean")).collect()} == {0.0}
+    assert lm_score.lm_score(no_docs, train=edge_docs).count() == 0
+    apart = lm_score.lm_score(edge_docs.where("doc_id = 5"), F.lit(False), train=edge_docs).collect()
+    assert [round(r["score"], 6) for r in apart] == [round(score(b"one two three four five six seven".split()), 6)] * 2
 
 
 # --- classifiers
