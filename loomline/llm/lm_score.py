@@ -61,27 +61,35 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
-# Keys: 62 bits of a hash; bit 1 says that the key is of a single word, bit 0 is left 0.
-def word_keys(hashes: np.ndarray) -> np.ndarray:
-    return _mix(hashes) & ~np.uint64(3) | np.uint64(2)
+# Keys: the first `bits` bits of a hash; bit 1 then says that the key is of a single word, bit 0
+# is left 0.
+def key_bits(tokens: int) -> int:
+    """Bits of a key: 24 more than number all n-grams of so many tokens, and two for the kind.
+    So at any size an n-gram shares its key with another with probability 2^-24 at most (beyond
+    2^36 tokens, where 64 bits are all there are, with tokens / 2^60)."""
+    return min(64, tokens.bit_length() + 2 + 24 + 2)
 
 
-def gram_keys(hashes: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_keys(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return _mix(hashes) >> np.uint64(64 - bits) & ~np.uint64(3) | np.uint64(2)
+
+
+def gram_keys(hashes: np.ndarray, tokens: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the pairs that end at tokens 1, 2, ..., of the triples that end at tokens 2,
     3, ..., and which of these are triples of one text (none has an end in its middle)."""
     h = hashes[tokens]
     two = _mix(h[:-1] * _P[0] + _mix(h[1:] ^ _P[2]))
     three = _mix(two[:-1] * _P[1] + h[2:])
-    return two & ~np.uint64(3), three & ~np.uint64(3), tokens[1:-1] != 0
+    cut, kind = np.uint64(64 - bits), ~np.uint64(3)
+    return two >> cut & kind, three >> cut & kind, tokens[1:-1] != 0
 
 
 @dataclass
 class Grams:
-    """Distinct keys in order, how often each occurs in texts that count, and the places among
-    them of each vocabulary word, of each token's pair and of each token's triple (-1: none)."""
+    """Distinct keys in order, and the places among them of each vocabulary word, of each
+    token's pair and of each token's triple (-1: none)."""
 
     keys: np.ndarray
-    own: np.ndarray
     one: np.ndarray
     two: np.ndarray
     three: np.ndarray
@@ -111,22 +119,41 @@ class Slice:
     starts: np.ndarray  # where each text's first token is; one more for the last text's end
     learn: np.ndarray  # of each text: 0 is scored, 1 counts and is scored, 2 counts
 
-    def grams(self) -> Grams:
-        one = word_keys(self.hashes)
-        two, three, whole = gram_keys(self.hashes, self.tokens)
-        counts = np.repeat(np.minimum(self.learn, 1), np.diff(self.starts))
+    def counted(self) -> np.ndarray:
+        """For each token whether its text counts."""
+        return np.repeat(np.minimum(self.learn, 1), np.diff(self.starts))
+
+    def asks(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and counts as in grams(), by a faster way: whether it counts is sorted with
+        each key, as its bit 0."""
+        counts = self.counted().astype(np.uint64)
+        two, three, whole = gram_keys(self.hashes, self.tokens, bits)
+        both = np.concatenate([two | counts, (three | counts[1:])[whole]])
+        both.sort()
+        keys = both & ~np.uint64(1)
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        own = np.add.reduceat((both & np.uint64(1)).astype(np.int64), first)
+        word = word_keys(self.hashes, bits)
+        keys = np.concatenate([keys[first], word])
+        own = np.concatenate([own, np.bincount(self.tokens[1:], self.counted(), len(word)).astype(np.int64)])
+        order = np.argsort(keys, kind="stable")
+        keys, own = keys[order], own[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))  # words may share a key
+        return keys[first], np.add.reduceat(own, first)
+
+    def grams(self, bits: int) -> Grams:
+        one = word_keys(self.hashes, bits)
+        two, three, whole = gram_keys(self.hashes, self.tokens, bits)
         all_ = np.concatenate([one, two, three[whole]])
-        weight = np.concatenate([np.bincount(self.tokens[1:], counts, len(one)).astype(np.int64), counts, counts[1:][whole]])
         order = np.argsort(all_)
         all_ = all_[order]
         new = np.concatenate([[True], all_[1:] != all_[:-1]])
         place = np.empty(len(order), np.int32)
         place[order] = np.cumsum(new, dtype=np.int32) - 1
-        first = np.flatnonzero(new)
         a, b = len(one), len(one) + len(two)
         at3 = np.full(len(three), -1, np.int32)
         at3[whole] = place[b:]
-        return Grams(all_[first], np.add.reduceat(weight[order], first), place[:a], place[a:b], at3)
+        return Grams(all_[new], place[:a], place[a:b], at3)
 
 
 def _slices(docs: DataFrame, slice_tokens: int) -> DataFrame:
@@ -182,9 +209,9 @@ def _read(vocabulary: bytes, tokens: bytes, lengths: bytes, learn: bytes) -> Sli
     return Slice(unpack(vocabulary), run, starts, unpack(learn).astype(np.int64))
 
 
-def _ask(slice_: int, keys: np.ndarray, own: np.ndarray, shards: int):
+def _ask(slice_: int, keys: np.ndarray, own: np.ndarray, shards: int, bits: int):
     """The slice's sorted keys and its own counts, cut by key range into shards."""
-    shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    shard = ((keys >> np.uint64(bits - 28)) * np.uint64(shards) >> np.uint64(28)).astype(np.int64)
     cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(keys) else [0]
     rows = []
     for a, b in zip(cut[:-1], cut[1:], strict=True):
@@ -238,9 +265,7 @@ def _answers(asked: DataFrame, what: str) -> DataFrame:
     rows = dealt.mapInArrow(lean(answer), "slice long, shard int, counts binary, n long, v long")
     # A slice's answers hold no more than what it asked, which slice_tokens bounds.
     own = rows.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("shard", "counts"))).alias("a"), F.sum("n").alias("n"), F.sum("v").alias("v"))
-    out = materialise(own.select("slice", F.col("a.counts").alias("answers"), "n", "v"), what)
-    asked.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the files of the shuffles that ended here
-    return out
+    return materialise(own.select("slice", F.col("a.counts").alias("answers"), "n", "v"), what)
 
 
 def _joined(answers: list[bytes]) -> np.ndarray:
@@ -282,45 +307,61 @@ class Automaton:
         return total, s
 
 
-def automaton(tokens: np.ndarray, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, f1: np.ndarray, f2: np.ndarray, n: int, v: int) -> tuple[Automaton, np.ndarray, int]:
+class Numbering:
+    """Numbers the distinct values of arrays of small integers, without sorting."""
+
+    def __init__(self, size: int):
+        self.at, self.number = np.empty(size, np.int32), np.empty(size, np.int32)
+
+    def __call__(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A place of each distinct value, and the number of each place's value."""
+        places = np.arange(len(values), dtype=np.int32)
+        self.at[values] = places
+        some = np.flatnonzero(self.at[values] == places)
+        self.number[values[some]] = np.arange(len(some), dtype=np.int32)
+        return some, self.number[values].astype(np.int64)
+
+
+def automaton(keys: np.ndarray, ends: np.ndarray, counts: np.ndarray, follow: np.ndarray, numbering: Numbering, n: int, v: int) -> tuple[Automaton, np.ndarray, int]:
     """The automaton of a run of tokens (two at least), the run in the automaton's numbers,
     and the state after its first two tokens.
 
-    c1[i], c2[i], c3[i]: counts of the token at place i and of the pair and the triple that
-    end there (0 where there is none); f1[i], f2[i]: the number of words that follow the
-    token, and the pair. A state is there for each context of the run that some word
-    follows twice or more, an arc for each of its n-grams that was seen twice or more.
+    keys: three rows, the places of each token's word, of the pair and of the triple that end
+    there, in counts and in follow (the number of words that follow the word or pair); ends:
+    whether the token is an end. A state is there for each context of the run that some
+    word follows twice or more, an arc for each of its n-grams that was seen twice or more.
     """
-    own, at, run = np.unique(tokens, return_index=True, return_inverse=True)
-    m = len(own)
-    c1, f1 = c1[at].astype(float), f1[at].astype(float)
+    at, run = numbering(keys[0])
+    m, word = len(at), keys[0][at]
+    c1, f1 = counts[word].astype(float), follow[word].astype(float)
     p1 = (c1 + 0.1) / (n + 0.1 * (v + 1))
     live = c1 > f1
     back1 = np.where(live, f1 / np.maximum(c1, 1), 1.0)
     state1 = np.where(live, np.cumsum(live), 0)
     states = 1 + int(live.sum())
     # Pairs (h, w): probability of w after h.
-    pair, at, pair_of = np.unique(run[:-1] * m + run[1:], return_index=True, return_inverse=True)
-    h, w = pair // m, pair % m
-    n2, f2 = c2[1:][at].astype(float), f2[1:][at].astype(float)
+    at, pair_of = numbering(keys[1][1:])
+    h, w, pair = run[:-1][at], run[1:][at], keys[1][1:][at]
+    n2, f2 = counts[pair].astype(float), follow[pair].astype(float)
     p2 = np.where(live[h], np.maximum(n2 - 1, 0) / np.maximum(c1[h], 1), 0.0) + back1[h] * p1[w]
     arc2 = (n2 > 1) & live[h]
     # As contexts: pairs that don't end in an end; the end's state is that of one word.
-    context = (n2 > f2) & (own[w] != 0)
+    context = (n2 > f2) & ~ends[1:][at]
     back2 = np.where(context, f2 / np.maximum(n2, 1), 1.0)
     state2 = np.where(context, states - 1 + np.cumsum(context), 0)
     ends_in = np.where(context, state2, state1[w])
     # Triples: the pair of the first two words, then w.
-    _, at = np.unique(pair_of[:-1] * m + run[2:], return_index=True)
+    whole = np.flatnonzero(keys[2][2:] >= 0)
+    at = whole[numbering(keys[2][2:][whole])[0]]
     before, then = pair_of[:-1][at], pair_of[1:][at]
-    n3 = c3[2:][at].astype(float)
+    n3 = counts[keys[2][2:][at]].astype(float)
     p3 = np.maximum(n3 - 1, 0) / np.maximum(n2[before], 1) + back2[before] * p2[then]
     arc3 = (n3 > 1) & context[before]
-    keys = np.concatenate([(state1[h] * m + w)[arc2], state2[before[arc3]] * m + w[then[arc3]]])
+    arcs = np.concatenate([(state1[h] * m + w)[arc2], state2[before[arc3]] * m + w[then[arc3]]])
     logs = np.log10(np.concatenate([p2[arc2], p3[arc3]]))
     nexts = np.concatenate([ends_in[arc2], ends_in[then[arc3]]])
     a = Automaton(m, np.log10(p1).tolist(), state1.tolist())
-    a.arcs = dict(zip(keys.tolist(), zip(logs.tolist(), nexts.tolist(), strict=True), strict=True))
+    a.arcs = dict(zip(arcs.tolist(), zip(logs.tolist(), nexts.tolist(), strict=True), strict=True))
     a.fail = [0, *[0] * int(live.sum()), *state1[w[context]].tolist()]
     a.weight = [0.0, *np.log10(back1[live]).tolist(), *np.log10(back2[context]).tolist()]
     return a, run, int(ends_in[pair_of[0]])
@@ -328,19 +369,18 @@ def automaton(tokens: np.ndarray, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray
 
 def _scored(s: Slice, g: Grams, counts: np.ndarray, follow: np.ndarray, n: int, v: int, window: int):
     """n_tokens, n_known, base and score of each text of a slice; counts and follow by key."""
-    zero = np.zeros(1, np.int64)
-    c1, f1 = counts[g.one][s.tokens], follow[g.one][s.tokens]
-    c2, f2 = np.concatenate([zero, counts[g.two]]), np.concatenate([zero, follow[g.two]])
-    c3 = np.concatenate([zero, zero, np.where(g.three >= 0, counts[np.maximum(g.three, 0)], 0)])
+    none = np.full(2, -1, np.int32)
+    keys = np.stack([g.one[s.tokens], np.concatenate([none[:1], g.two]), np.concatenate([none, g.three])])
+    c1, ends, numbering = counts[keys[0]], s.tokens == 0, Numbering(len(counts))
     size, starts = np.diff(s.starts), s.starts[:-1]
-    known = np.add.reduceat((c1 > 0).astype(np.int64), starts)
-    base = np.add.reduceat(np.log10((c1 + 0.1) / (n + 0.1 * (v + 1))), starts)
+    known = np.add.reduceat((c1[1:] > 0).astype(np.int64), starts - 1)
+    base = np.add.reduceat(np.log10((c1[1:] + 0.1) / (n + 0.1 * (v + 1))), starts - 1)
     score = np.zeros(len(size))
     text, left = 0, int(size[0])
     for a in range(1, len(s.tokens), window):
         back = min(a, 2)  # the tokens before, from which the state is found again
         part = slice(a - back, min(a + window, len(s.tokens)))
-        auto, run, met = automaton(s.tokens[part], c1[part], c2[part], c3[part], f1[part], f2[part], n, v)
+        auto, run, met = automaton(keys[:, part], ends[part], counts, follow, numbering, n, v)
         state = auto.first[int(run[0])] if back == 1 else met
         run, k = run[back:].tolist(), 0
         while k < len(run):
@@ -367,7 +407,7 @@ def lm_score(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id
     slice_tokens and shard_tokens set what a task holds at a time (a slice is one text at
     least), window what one automaton is made from; results don't depend on them. The
     number of blobs that slices and shards exchange is at most the product of both
-    numbers, and at most that of the keys. n-grams are told apart by 62-bit hashes.
+    numbers, and at most that of the keys. n-grams are told apart by hashes (key_bits).
 
     Null texts are empty: one end token. Rows are scored each by itself, repeated ids or
     not, null ids too. Without training texts every probability is the unigram model's 1.
@@ -381,17 +421,17 @@ def lm_score(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id
         rows = rows.union(train.select(F.lit(None).cast(rows.schema["_id"].dataType), F.lit(2), utf8(F.col(text_col))))
     slices = materialise(_slices(rows, slice_tokens), "lm-slices")
     total = slices.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = max(1, math.ceil(total / shard_tokens))
+    shards, bits = max(1, math.ceil(total / shard_tokens)), key_bits(total)
     blobs = ["vocabulary", "tokens", "lengths", "learn"]
     asked = "slice long, shard int, keys binary, own binary"
 
     def ask_counts(batches):
         for batch in batches:
             for slice_, *own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                g = _read(*own).grams()
-                yield from _ask(slice_, g.keys, g.own, shards)
+                yield from _ask(slice_, *_read(*own).asks(bits), shards, bits)
 
     counts = _answers(slices.select("slice", *blobs).mapInArrow(lean(ask_counts), asked), "lm-counts")
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the files of the shuffles that ended here
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     counts = counts.select("slice", F.col("answers").alias("counts"))
 
@@ -399,14 +439,15 @@ def lm_score(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id
         for batch in batches:
             for slice_, *own, answers in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 s = _read(*own)
-                g, got = s.grams(), _joined(answers)
+                g, got = s.grams(bits), _joined(answers)
                 context = g.contexts(s.tokens)
                 spoken = context[(got & 1 > 0) & (got > 1) & (context >= 0)]
                 at = g.asked(got >> 1)
-                yield from _ask(slice_, g.keys[at], np.bincount(spoken, minlength=len(g.keys))[at], shards)
+                yield from _ask(slice_, g.keys[at], np.bincount(spoken, minlength=len(g.keys))[at], shards, bits)
 
     met = slices.join(counts, "slice").select("slice", *blobs, "counts")
     follow = _answers(met.mapInArrow(lean(ask_follow), asked), "lm-follow").select("slice", F.col("answers").alias("follow"))
+    spark.sparkContext._jvm.System.gc()
     met = slices.join(counts, "slice").join(follow, "slice", "left").select("ids", *blobs, "counts", "follow")
 
     def run(batches):
@@ -414,7 +455,7 @@ def lm_score(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id
             for row in range(batch.num_rows):
                 ids, *own, answers, follow = (batch.column(k)[row] for k in range(7))
                 s = _read(*[x.as_py() for x in own])
-                g, got = s.grams(), _joined(answers.as_py()) >> 1
+                g, got = s.grams(bits), _joined(answers.as_py()) >> 1
                 after = np.zeros(len(got), np.int64)
                 after[g.asked(got)] = _joined(follow.as_py() or []) >> 1
                 after[got == 1] = 1
