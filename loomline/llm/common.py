@@ -39,11 +39,21 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/loomline-{what}-{uuid.uuid4().hex}"
 
 
+#: Lets Spark delete the files of an execution's shuffles when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write to the shared folder and reread: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write to the shared folder and reread: cuts lineage, survives lost executors. What was
+    shuffled for it isn't needed any more, and its files are deleted."""
+    spark = df.sparkSession
+    path, before = scratch(spark, what), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:

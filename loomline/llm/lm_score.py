@@ -431,7 +431,6 @@ def lm_score(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id
                 yield from _ask(slice_, *_read(*own).asks(bits), shards, bits)
 
     counts = _answers(slices.select("slice", *blobs).mapInArrow(lean(ask_counts), asked), "lm-counts")
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the files of the shuffles that ended here
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     counts = counts.select("slice", F.col("answers").alias("counts"))
 
@@ -447,7 +446,6 @@ def lm_score(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id
 
     met = slices.join(counts, "slice").select("slice", *blobs, "counts")
     follow = _answers(met.mapInArrow(lean(ask_follow), asked), "lm-follow").select("slice", F.col("answers").alias("follow"))
-    spark.sparkContext._jvm.System.gc()
     met = slices.join(counts, "slice").join(follow, "slice", "left").select("ids", *blobs, "counts", "follow")
 
     def run(batches):
