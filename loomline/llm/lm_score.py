@@ -50,15 +50,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Unsigned integers as byte planes, compressed: planes of zeros take no room."""
-    raw = np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
-    return len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+    """Unsigned integers as planes of bytes, as many as the largest needs, compressed."""
+    width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    raw = np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    return bytes([width]) + len(values).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    n = int.from_bytes(blob[:8], "little")
-    raw = pa.decompress(blob[8:], n, "zstd", asbytes=True) if n else b""
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    """The integers, as uint64 if they need over four bytes, else as uint32."""
+    width, n = blob[0], int.from_bytes(blob[1:9], "little")
+    out = np.zeros((n, 8 if width > 4 else 4), np.uint8)
+    if n:
+        out[:, :width] = np.frombuffer(pa.decompress(blob[9:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.view(np.uint64 if width > 4 else np.uint32).ravel()
 
 
 # Keys: the first `bits` bits of a hash; bit 1 then says that the key is of a single word, bit 0
@@ -144,14 +148,15 @@ class Slice:
     def grams(self, bits: int) -> Grams:
         one = word_keys(self.hashes, bits)
         two, three, whole = gram_keys(self.hashes, self.tokens, bits)
+        a, b, n3 = len(one), len(one) + len(two), len(three)
         all_ = np.concatenate([one, two, three[whole]])
+        del one, two, three
         order = np.argsort(all_)
         all_ = all_[order]
         new = np.concatenate([[True], all_[1:] != all_[:-1]])
         place = np.empty(len(order), np.int32)
         place[order] = np.cumsum(new, dtype=np.int32) - 1
-        a, b = len(one), len(one) + len(two)
-        at3 = np.full(len(three), -1, np.int32)
+        at3 = np.full(n3, -1, np.int32)
         at3[whole] = place[b:]
         return Grams(all_[new], place[:a], place[a:b], at3)
 
@@ -204,9 +209,9 @@ def _slices(docs: DataFrame, slice_tokens: int) -> DataFrame:
 
 
 def _read(vocabulary: bytes, tokens: bytes, lengths: bytes, learn: bytes) -> Slice:
-    run = np.concatenate([[0], unpack(tokens).astype(np.int64)])
+    run = np.concatenate([np.zeros(1, np.int32), unpack(tokens).astype(np.int32)])
     starts = np.concatenate([[1], 1 + np.cumsum(unpack(lengths).astype(np.int64))])
-    return Slice(unpack(vocabulary), run, starts, unpack(learn).astype(np.int64))
+    return Slice(unpack(vocabulary).astype(np.uint64), run, starts, unpack(learn).astype(np.int64))
 
 
 def _ask(slice_: int, keys: np.ndarray, own: np.ndarray, shards: int, bits: int):
@@ -268,8 +273,10 @@ def _answers(asked: DataFrame, what: str) -> DataFrame:
     return materialise(own.select("slice", F.col("a.counts").alias("answers"), "n", "v"), what)
 
 
-def _joined(answers: list[bytes]) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int64), *[unpack(x).astype(np.int64) for x in answers]])
+def _joined(answers: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of a slice's answers: halved, as int32 where they fit; and who speaks for each."""
+    got = np.concatenate([np.zeros(0, np.uint32), *[unpack(x) for x in answers]])
+    return (got >> np.uint8(1)).astype(np.int32 if got.dtype == np.uint32 else np.int64), (got & np.uint8(1)).astype(bool)
 
 
 def _batch(rows, kinds, names):
@@ -394,7 +401,7 @@ def _scored(s: Slice, g: Grams, counts: np.ndarray, follow: np.ndarray, n: int,
     return size, known, base, score
 
 
-def lm_score(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", train: DataFrame | None = None, slice_tokens: int = 2_000_000, shard_tokens: int = 500_000, window: int = 250_000) -> DataFrame:
+def lm_score(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", train: DataFrame | None = None, slice_tokens: int = 1_500_000, shard_tokens: int = 500_000, window: int = 125_000) -> DataFrame:
     """Score each text of `docs` under the model of the texts that `learn` holds for.
 
     learn: a condition on `docs`; null counts as false; by default all rows. train: more
@@ -438,10 +445,10 @@ def lm_score(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id
         for batch in batches:
             for slice_, *own, answers in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 s = _read(*own)
-                g, got = s.grams(bits), _joined(answers)
+                g, (got, speaks) = s.grams(bits), _joined(answers)
                 context = g.contexts(s.tokens)
-                spoken = context[(got & 1 > 0) & (got > 1) & (context >= 0)]
-                at = g.asked(got >> 1)
+                spoken = context[speaks & (got > 0) & (context >= 0)]
+                at = g.asked(got)
                 yield from _ask(slice_, g.keys[at], np.bincount(spoken, minlength=len(g.keys))[at], shards, bits)
 
     met = slices.join(counts, "slice").select("slice", *blobs, "counts")
@@ -453,9 +460,9 @@ def lm_score(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id
             for row in range(batch.num_rows):
                 ids, *own, answers, follow = (batch.column(k)[row] for k in range(7))
                 s = _read(*[x.as_py() for x in own])
-                g, got = s.grams(bits), _joined(answers.as_py()) >> 1
-                after = np.zeros(len(got), np.int64)
-                after[g.asked(got)] = _joined(follow.as_py() or []) >> 1
+                g, (got, _) = s.grams(bits), _joined(answers.as_py())
+                after = np.zeros_like(got)
+                after[g.asked(got)] = _joined(follow.as_py() or [])[0]
                 after[got == 1] = 1
                 keep = s.learn < 2
                 columns = [ids.values, *_scored(s, g, got, after, n, v, window)]
