@@ -260,7 +260,7 @@ def test_convolution_slices_agree():
 
 
 def test_license_scan_against_python(spark, some_docs, edge_docs, no_docs):
-    m = license_scan.Model()
+    m = license_scan.default_model()
     extra = ["All rights reserved.\nx\nLicensed under the Foo License.", "The licensed driver\n\nReleased under the MIT License. ", "THIS WORK IS LICENSED UNDER THE GNU GENERAL PUBLIC LICENSE, VERSION 3.", None, ""]
     docs = some_docs.select("doc_id", "text").union(spark.createDataFrame([(1000 + k, t) for k, t in enumerate(extra)], "doc_id long, text string"))
     found = 0
@@ -270,12 +270,13 @@ def test_license_scan_against_python(spark, some_docs, edge_docs, no_docs):
         assert [x["probability"] for x in r["licences"]] == pytest.approx([w[2] for w in want])
         found += len(want)
     assert found > 3 and license_scan.classify("Licensed under the Foo License.", m)[0] == "unknown"
-    assert license_scan.license_scan(edge_docs, model=m).count() == edge_docs.count()
+    edges = license_scan.license_scan(edge_docs, model=m, out_col="_t").collect()
+    assert len(edges) == edge_docs.count() and all(r["_t"] == [] for r in edges)
     assert license_scan.license_scan(no_docs, model=m).count() == 0
 
 
 def test_license_scan_of_notices_not_learned_from(spark):
-    m = license_scan.Model()
+    m = license_scan.default_model()
     rows = [("Published under the GNU GPL, version 2 or later.", "gpl"), ("Released under CC BY 4.0.", "cc-by"), ("Text available under CC BY-SA 4.0.", "cc-by"), ("You may redistribute it and/or modify it under the terms of the GNU GPL as published by the Free Software Foundation.", None), ("The cat sat on the mat.", "")]
     docs = spark.createDataFrame([(t, want) for t, want in rows], "text string, want string")
     for r in license_scan.license_scan(docs, model=m).collect():
@@ -283,6 +284,48 @@ def test_license_scan_of_notices_not_learned_from(spark):
         assert got == ([r["want"]] if r["want"] else []) if r["want"] is not None else len(got) == 1
 
 
+def test_license_scan_of_wordings_and_names_held_out():
+    m = license_scan.default_model()
+    right = seen = 0
+    by = Counter()
+    for c in license_scan.NAMES:
+        for t in license_scan.notices(c, license_scan.HELD_WORDINGS):
+            got = license_scan.classify(t, m)
+            by[(got or ("none",))[0], c] += 1
+            right, seen = right + (got is not None and got[0] == c), seen + 1
+    assert right >= 0.97 * seen
+    for c in license_scan.TEMPLATES:  # precision and recall by family
+        assert by[c, c] >= 0.9 * sum(n for (_, want), n in by.items() if want == c) and by[c, c] >= 0.9 * sum(n for (got, _), n in by.items() if got == c)
+    for t in ("Licensed under the Bar License.", "SPDX-License-Identifier: Acme-1.0", "Published under the Acme Public License.", "Released under the Quux license", "Made available under the Hippocratic License"):
+        assert license_scan.classify(t, m)[0] == "unknown"
+    for t in ("Nur mit ihm und mit dem Hund ging er unter der Brücke durch", "The only way to see the project is under the bridge", "The licensed driver", "the public walked in the garden"):
+        assert license_scan.classify(t, m) is None
+
+
+def test_license_triggers_lose_nothing(some_docs):
+    """Texts without a trigger are ordinary, whatever known grams they are made of."""
+    m = license_scan.default_model()
+    triggers, rng = set(m.triggers), np.random.default_rng(3)
+    free = [g for g in m.grams if not triggers & set(g.split())]
+    for n in (1, 3, 10, len(free)):
+        for _ in range(30):
+            text = " . ".join(rng.permutation(free)[:n])
+            assert license_scan.classify(text, m) is None
+    for own in m.templates.values():
+        for pairs in own:  # the pairs without a trigger are too few to confirm
+            assert sum(not triggers & set(p.split()) for p in pairs) < m.similarity * len(pairs)
+    words = sorted(triggers)
+    import re
+
+    pattern = re.compile("(?<![a-z0-9])" + license_scan.alternatives(words) + "(?![a-z0-9])")
+    assert all(pattern.search(f"x {w}.") for w in words) and not any(pattern.search(f"{w}s0") or pattern.search("q" + w) for w in words)
+
+
+def test_license_scan_plan_is_native(spark, some_docs):
+    plan = license_scan.license_scan(some_docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
 def test_license_scan_of_wrapped_notices(spark):
     import textwrap
 
