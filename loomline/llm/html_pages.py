@@ -43,18 +43,53 @@ comment comments reply replies respond discussion responses disqus feedback tool
 NOISE_ELEMENTS = "nav aside footer form dialog menu noscript button".split()
 
 
+LONG = "In the first days of the year the river rose by more than a metre, and the people of the valley had to leave their houses"
+
+
 def _noise_pages():
-    """Each kind of noise before, inside and after main text, in the usual containers."""
-    inner = ("<p>Some words that are not of the text</p>", "<ul><li><a href='/a'>Words</a></li><li><a href='/b'>More words</a></li></ul>", "Plain words", "<h2>Words</h2><p>And some more of them</p>")
-    outer = ("article", "main", "div class='content'", "div", "section", "body")
+    """Each kind of noise before, inside and after main text, in the usual containers. What is
+    said, how long it is and how it ends tells nothing: only how it is marked."""
+    inner = ("<p>Some words that are not of the text.</p>", "<ul><li><a href='/a'>Words</a></li><li><a href='/b'>More words</a></li></ul>", "Plain words", f"<h2>Words</h2><p>{LONG}.</p>", f"<p>{LONG}</p><p>And some more of them!</p>")
+    text = (("The title of it", "Some text of the page.", "And there is more.", "Here it goes on and ends."), ("Title", LONG + ".", LONG, "The end"), ("What has been said on that day", "Text without a stop", LONG + ".", LONG + "!"))
+    outer = ("article", "main", "article", "div class='content'", "div", "article", "section", "body")
     marks = [(f'div class="{c}"', "div") for c in NOISE_CLASSES] + [(f'section id="{c}"', "section") for c in NOISE_CLASSES[::2]]
     marks += [(e, e) for e in NOISE_ELEMENTS] * 2
     for k, (mark, element) in enumerate(m for m in marks for _ in inner):
         noise = f"<{mark}>{inner[k % len(inner)]}</{element}>"
         deep = f"<{mark}>{inner[(k + 1) % len(inner)]}</{element}>"
-        box = outer[(k + k // 4) % len(outer)]
-        text = "<!--+--><h1>The title of it</h1><p>Some text of the page.</p><p>And there is more.</p><!---->"
-        yield f"<body>{noise}<{box}>{text}{deep}<!--+--><p>Here it goes on and ends.</p><!----></{box.split()[0]}>{deep}</body>"
+        box, h = outer[k % len(outer)], ("h1", "h1", "h2")[k % 3]
+        title, a, b, c = text[(k // 2) % len(text)]
+        yield f"<body>{noise}<{box}><!--+--><{h}>{title}</{h}><p>{a}</p><p>{b}</p><!---->{deep}<!--+--><p>{c}</p><!----></{box.split()[0]}>{deep}</body>"
+
+
+def _misnamed_pages():
+    """Main text in containers whose names are those of noise, among others."""
+    for k, c in enumerate(NOISE_CLASSES[::4]):
+        name = ("post", "page", "entry", "story", "text")[k % 5]
+        yield f"<body><nav><a href='/'>Start</a></nav><div class='{name}-{c}'><!--+--><h1>What the river did</h1><p>{LONG}.</p><p>{LONG}, until it fell again in spring.</p><p>{LONG}</p><!----></div><footer>Imprint</footer></body>"
+
+
+def _bare_pages():
+    """Short remarks that nothing marks, before and after main text of some length."""
+    remarks = ("Follow us on all networks", "Get our app now", "Free delivery from ten on", "Call us any time of the day", "You are the visitor number ten of today", "Stay in touch", "All prices with tax")
+    boxes = (("div", "div"), ("div class='u-7'", "div"), ("section", "section"), ("div id='x9'", "div"))
+    mains = (("article", "article"), ("main", "main"), ("div class='content'", "div"), ("main><article", "article></main"))
+    for k in range(56):
+        (x, y), (m, n), r, q = boxes[k % 4], mains[k // 4 % 4], remarks[k % 7], remarks[(k + 3) % 7]
+        put = (f"<{x}><p>{r}</p></{y}>", f"<{x}>{r}</{y}>", f"<{x}><{x}><p>{r}.</p></{y}></{y}>")[k % 3]
+        after = f"<{x}><p>{q}</p></{y}><{x}>{r}</{y}>" if k % 5 else ""
+        yield f"<body>{put if k % 3 else ''}<{m}><!--+--><h1>The title</h1><p>{LONG}.</p><p>{LONG}, until spring.</p><p>It went on.</p><!----></{n}>{after}{put}</body>"
+
+
+#: Pages in other styles: a wiki, a forum, old tables, boxes in boxes, a shop, documentation.
+PAGES += [
+    f"""<body><div id="mw-head"><ul><li><a href="/t">Talk</a></li><li><a href="/e">Edit</a></li></ul></div><div id="bodyContent"><!--+--><h1>River</h1><p>A river is water that flows, and {LONG}.</p><h2>Course</h2><p>It <a href="/b">begins</a> in hills.</p><ul><li>the upper course</li><li>the lower course</li></ul><p>{LONG}.</p><!----></div><div id="catlinks"><a href="/c">Categories</a></div></body>""",
+    f"""<table width="100%"><tr><td bgcolor="red"><font size="1"><a href="a.htm">Home</a> <a href="b.htm">Links</a></font></td></tr></table><table><tr><td><!--+--><font size="2">{LONG}.<br>It was cold.</font><br><br>{LONG}.<!----></td></tr></table><center><font size="1">You are visitor 1000</font></center>""",
+    f"""<body><div class="w1"><div class="w2"><div><a href="/">Brand</a></div></div></div><div class="w3"><div class="w4"><!--+--><div><div>{LONG}.</div></div><div><div>They came back in May.</div></div><div><div>{LONG}</div></div><!----></div></div><div class="w5"><div>Stay in touch</div><div><a href="/x">All offers</a></div></div></body>""",
+    f"""<body><header><a href="/">Docs</a></header><aside><ul><li><a href="/1">Install</a></li><li><a href="/2">Use</a></li></ul></aside><main><!--+--><h1>Install</h1><p>Run the command.</p><pre>pip install it</pre><ol><li>First do this.</li><li>Then do that.</li></ol><blockquote>{LONG}.</blockquote><!----><div><a href="/2">Next: Use</a></div></main></body>""",
+    f"""<article><!--+--><h1>The storm</h1><p>{LONG}.</p><p>It was over by noon.</p><!----></article><div class="u-7"><span>Follow us on all networks</span></div><div class="u-8">Get our app</div>""",
+    f"""<div class="u-1">Free delivery from ten on</div><div class="u-2">Call us any time</div><div id="t"><!--+--><h2>Teapot</h2><p>{LONG}.</p><dl><dt>Size</dt><dd>one litre</dd></dl><!----></div><div class="u-3">More from this shop</div>""",
+]
 
 
 def _header_pages():
@@ -69,5 +104,5 @@ def _header_pages():
         yield f"<body><header>{name}</header><main><article><header><!--+--><h1>Its title</h1><p>A lead</p><!----></header><!--+-->{text}<!----></article></main></body>"
 
 
-PAGES += [*_noise_pages(), *_header_pages()]
+PAGES += [*_noise_pages(), *_misnamed_pages(), *_bare_pages(), *_header_pages()]
 PAGES += ["<!--+-->Bare text without any markup.<!---->", "<body><!--+--><p>One</p><p>Two words</p><!----></body>"]
