@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomline.functions import dims
+
 # Patterns and characters that the filters look for.
 URL = r"https?://\S+|www\.\S+"
 CODE = r"```[\s\S]*?```|`[^`\n]+`"
 MATH_CHARACTERS = r"$\{}^_="
 TOKEN = r"[\p{L}\p{N}_]+"
 REPEATED = r"(?iU)(\b\w+\b)( \1){3,}"
-CLAIM_PREFIX = "Generate a counter-argument to this claim:\n\n"
+CLAIM_PREFIX = dims.USER_TEMPLATES["contrarian"]
 
 
 def n_words(t: Column) -> Column:
-    return F.regexp_count(F.coalesce(t, F.lit("")), F.lit(r"\S+"))
+    return F.regexp_count(F.coalesce(t, F.lit("")), F.lit(r"(?U)\S+"))
 
 
 def is_empty(t: Column) -> Column:
-    return t.isNull() | ~t.rlike(r"\S")
+    return t.isNull() | ~t.rlike(r"(?U)\S")
 
 
 def has_deleted_marker(t: Column) -> Column:

@@ -74,6 +74,13 @@ def reason_counts(df: DataFrame, reason: str = "reason") -> DataFrame:
     return df.groupBy(F.coalesce(F.col(reason), F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def totals(df: DataFrame, reason: str = "reason") -> DataFrame:
+    """One row: total_seen, total_kept, total_filtered, and the counts of reasons that occur."""
+    per = reason_counts(df, reason).agg(F.map_from_entries(F.collect_list(F.struct("reason", "n"))).alias("_m"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_seen"))
+    kept = F.coalesce(F.try_element_at("_m", F.lit("kept")), F.lit(0))
+    return per.select("total_seen", kept.alias("total_kept"), (F.col("total_seen") - kept).alias("total_filtered"), F.map_filter("_m", lambda k, _: k != "kept").alias("filter_counts"))
+
+
 def keep_limited(df: DataFrame, order: str, limit: int, reason: str = "reason", bucket_rows: int = 4096) -> DataFrame:
     """Rows up to and with the limit-th kept one, in the order of an integer column.
 

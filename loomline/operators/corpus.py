@@ -18,8 +18,8 @@ def profile(df: DataFrame, **distinct: str) -> DataFrame:
 
 
 def dataset_summary(df: DataFrame, by: list[str], prompt: str, response: str) -> DataFrame:
-    """Records and mean words of prompts and of responses."""
-    words = [F.coalesce(F.avg(T.n_words(F.col(c))), F.lit(0.0)).alias(f"avg_{name}_words") for c, name in ((prompt, "prompt"), (response, "response"))]
+    """Records and mean words of prompts and of responses, to one decimal."""
+    words = [F.round(F.coalesce(F.avg(T.n_words(F.col(c))), F.lit(0.0)), 1).alias(f"avg_{name}_words") for c, name in ((prompt, "prompt"), (response, "response"))]
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("total_records"), *words)
 
 
@@ -42,16 +42,14 @@ def question_of(t: Column) -> Column:
     return F.regexp_replace(F.when(t.rlike(QUESTION), found).otherwise(t), r"^\s+|\s+$", "")
 
 
-def as_text(value: Column) -> Column:
-    """Trimmed text; null becomes empty."""
-    return F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"^\s+|\s+$", "")
-
-
-def delta_references(df: DataFrame, text: str, score: str, low: int = 20, high: int = 300, enough: int = 100) -> DataFrame:
-    """Rows whose text has a mark or whose score is above 0, of low to high words; with
+def delta_references(df: DataFrame, text: str, score: str, meta: str | None = None, low: int = 20, high: int = 300, enough: int = 100) -> DataFrame:
+    """Rows whose text has a mark, whose score is above 0, or of which a value of the map `meta`
+    has the word of the mark, of low to high words; with
     fewer than `enough` of them, rows scoring over 5 follow, as further rows. Null: no mark."""
     fit = df.where(T.n_words(F.col(text)).between(low, high))
     marked = F.coalesce(F.col(text).rlike(DELTA), F.lit(False)) | F.coalesce(F.col(score) > 0, F.lit(False))
+    if meta:
+        marked |= F.coalesce(F.exists(F.map_values(meta), lambda v: F.lower(v).contains("delta")), F.lit(False))
     first = fit.where(marked)
     few = first.agg((F.count(F.lit(1)) < enough).alias("_few")).where("_few")  # a row, or none
     more = fit.where(F.col(score) > 5).join(F.broadcast(few), how="cross").drop("_few")

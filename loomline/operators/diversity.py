@@ -52,12 +52,12 @@ def self_bleu(df: DataFrame, by: list[str], text: str, key: str, max_n: int = 4)
     most = F.when(F.col("_k") == F.col("k1"), F.col("m2")).otherwise(F.col("m1"))
     clipped = counts.join(best, gram).groupBy(*by, "_k", F.col("x.n").alias("n")).agg(F.sum(F.least(F.col("c"), most)).alias("hit"), F.sum("c").alias("total"))
     per_text = clipped.groupBy(*by, "_k").agg(F.map_from_entries(F.collect_list(F.struct("n", F.struct("hit", "total")))).alias("p"))
-    # Closest reference length, ties to the shorter: from the group's distinct lengths.
-    lengths = own.groupBy(*by, "_len").agg(F.count(F.lit(1)).alias("_c"))
-    others = own.select(*by, "_k", "_len").join(lengths.select(*by, F.col("_len").alias("_r"), "_c"), by)
-    others = others.where((F.col("_r") != F.col("_len")) | (F.col("_c") > 1))
-    ref = others.groupBy(*by, "_k", "_len").agg(F.min(F.struct(F.abs(F.col("_r") - F.col("_len")), F.col("_r").alias("r"))).alias("b"))
-    joined = ref.select(*by, "_k", "_len", F.col("b.r").alias("r")).join(per_text, [*by, "_k"], "left")
+    # Closest reference length, ties to the shorter: the neighbours among the group's lengths.
+    w = Window.partitionBy(*by).orderBy("_len")
+    lengths = own.groupBy(*by, "_len").agg(F.count(F.lit(1)).alias("_c")).select(*by, "_len", "_c", F.lag("_len").over(w).alias("_low"), F.lead("_len").over(w).alias("_high"))
+    near = F.when(F.col("_high").isNull() | (F.col("_len") - F.col("_low") <= F.col("_high") - F.col("_len")), F.col("_low")).otherwise(F.col("_high"))
+    ref = lengths.select(*by, "_len", F.when(F.col("_c") > 1, F.col("_len")).otherwise(near).alias("r")).where("r is not null")
+    joined = own.select(*by, "_k", "_len").join(ref, [*by, "_len"]).join(per_text, [*by, "_k"], "left")
     zeros, logs = F.lit(0), F.lit(0.0)
     for n in range(1, max_n + 1):
         at = F.try_element_at("p", F.lit(n))

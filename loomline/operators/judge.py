@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions import dims
 from loomline.functions import text as T
 
+#: What stands for no peers, and (in gate) the names of issues.
 NO_PEERS = "(no other arguments available)"
 
 
@@ -78,17 +80,57 @@ def cache_misses(wanted: DataFrame, cache: DataFrame, key: list[str]) -> DataFra
     return wanted.join(cache.select(*key), key, "left_anti")
 
 
-def score_with_cache(wanted: DataFrame, cache: DataFrame, key: list[str], prompt: str, call: Callable[[str], str], value: str = "response"):
-    """(results, new cache rows): cached answers are reused and each distinct miss is
-    asked once, in batches on the executors."""
+def score_with_cache(wanted: DataFrame, cache: DataFrame, key: list[str], prompt: str, call: Callable[[list[str]], list[str]], path: str, value: str = "response"):
+    """(results, new cache rows). Cached answers are reused; each distinct miss is asked once,
+    in batches on the executors, by call(prompts), which gives an answer for each.
+
+    The new rows are written to `path` (appended: a growing cache table) before anything is
+    returned, and both frames read what was written: however often they are used, the
+    scorer isn't asked again. A task that fails half-way is run again, its batch asked anew.
+    """
+    spark = wanted.sparkSession
     todo = cache_misses(wanted.select(*key, prompt).dropDuplicates(key), cache, key)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in todo.select(*key).schema.fields) + f", {value} string"
 
     def run(batches):
         for pdf in batches:
+            got = call(pdf[prompt].tolist())
+            if len(got) != len(pdf):
+                raise ValueError(f"{len(got)} answers to {len(pdf)} prompts")
             out = pdf[key].copy()
-            out[value] = [call(p) for p in pdf[prompt]]
+            out[value] = got
             yield out
 
-    new = todo.mapInPandas(run, schema)
+    batch = uuid.uuid4().hex
+    todo.mapInPandas(run, schema).withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch").parquet(path)
+    every = spark.read.schema(schema + ", batch string").parquet(path)
+    new = every.where(F.col("batch") == batch).drop("batch")
     return wanted.join(cache.select(*key, value).unionByName(new), key, "left"), new
+
+
+def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The cache table that score_with_cache has written; empty if there is none yet."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema + ", batch string").parquet(path).drop("batch")
+
+
+def judge_all(outputs: DataFrame, rubrics: dict[str, str], call: Callable[[list[str]], list[str]], cache_path: str, needs_persona: tuple[str, ...] = ("persona_fidelity",)) -> DataFrame:
+    """Outputs with a column a rubric: its answer as a JSON object's text, null where there is
+    none in the reply. Rubrics that need a persona are null where there isn't one.
+
+    outputs: output_id and the fields that the templates name (persona, if it is one of
+    them, as a description). Answers are cached by output_id and rubric under cache_path.
+    """
+    spark, wanted = outputs.sparkSession, None
+    fields = {c: F.col(c).cast("string") for c in outputs.columns}
+    for name, template in rubrics.items():
+        rows = outputs.where(F.col("persona").isNotNull()) if name in needs_persona else outputs
+        own = rows.select(F.col("output_id").cast("string").alias("output_id"), F.lit(name).alias("rubric"), render(template, **fields).alias("_prompt"))
+        wanted = own if wanted is None else wanted.unionByName(own)
+    cache = read_cache(spark, cache_path, "output_id string, rubric string, response string")
+    scored, _ = score_with_cache(wanted, cache, ["output_id", "rubric"], "_prompt", call, cache_path)
+    parsed = scored.groupBy("output_id").pivot("rubric", list(rubrics)).agg(F.first(parse_object(F.col("response"))))
+    return outputs.join(parsed.withColumnRenamed("output_id", "_id"), F.col("output_id").cast("string") == F.col("_id"), "left").drop("_id")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions import text as T
@@ -34,19 +36,59 @@ def with_rarity(df: DataFrame, pool: list[str], embedding: str = "embedding") ->
     return joined.withColumn("rarity", rare).drop("u", "n", "S")
 
 
-def minmax(x: str, pool: list[str]) -> Column:
-    """To 0..1 in the pool; a pool of one, or of no range, is all 1."""
-    w = Window.partitionBy(*pool)
-    low, high = F.min(x).over(w), F.max(x).over(w)
-    return F.when((F.count(F.lit(1)).over(w) < 2) | (high - low < 1e-9), F.lit(1.0)).otherwise((F.col(x) - low) / (high - low))
+def with_minmax(df: DataFrame, x: str, pool: list[str], out: str = "score") -> DataFrame:
+    """x to 0..1 in the pool; a pool of one, or of no range, is all 1. The pool's bounds are
+    partial aggregates, joined back."""
+    keys = [f"_pool_{k}" for k in range(len(pool))]
+    g = df.groupBy(*[F.col(c).alias(k) for c, k in zip(pool, keys, strict=True)]).agg(F.min(x).alias("_low"), F.max(x).alias("_high"), F.count(F.lit(1)).alias("_size"))
+    value = F.when((F.col("_size") < 2) | (F.col("_high") - F.col("_low") < 1e-9), F.lit(1.0)).otherwise((F.col(x) - F.col("_low")) / (F.col("_high") - F.col("_low")))
+    return df.join(g, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(pool, keys, strict=True)]).select(*df.columns, value.alias(out))
+
+
+def with_quality(df: DataFrame, pool: list[str], score_batch: Callable[[str, list[str]], list[float]], prompt: str = "prompt", order: str = "doc_id", text: str = "text") -> DataFrame:
+    """`quality` by an external scorer, asked once for a pool with all its texts, in order.
+    A number of scores other than that of the texts is an error. A pool (the candidates of one
+    prompt) is in one task's memory."""
+    schema = df.withColumn("quality", F.lit(0.0)).schema
+
+    def run(pdf):
+        pdf = pdf.sort_values(order)
+        got = score_batch(pdf[prompt].iloc[0], pdf[text].tolist())
+        if len(got) != len(pdf):
+            raise ValueError(f"{len(got)} scores for {len(pdf)} candidates")
+        pdf["quality"] = [float(x) for x in got]
+        return pdf[[f.name for f in schema.fields]]
+
+    return df.groupBy(*pool).applyInPandas(run, schema)
+
+
+def skip_reason(df: DataFrame, group: list[str], min_quality: float, quality_weight: float, rarity_weight: float, order: str, min_margin: float = 0.0) -> DataFrame:
+    """Each group with its reason for giving no pair, or null: few_eligible, identical_text,
+    rarity_margin."""
+    every = df.groupBy(*group).agg(F.sum((F.col("quality") >= min_quality).cast("int")).alias("_fit"))
+    best = select_pairs(df, group, order, min_quality, quality_weight, rarity_weight, None)
+    joined = every.join(best.select(*group, "chosen", "rejected"), group, "left")
+    margin = F.round(F.col("chosen.rarity") - F.col("rejected.rarity"), 9)
+    why = F.when(F.col("_fit") < 2, "few_eligible").when(F.col("chosen.text") == F.col("rejected.text"), "identical_text").when(margin < min_margin, "rarity_margin")
+    return joined.select(*group, why.alias("reason"))
+
+
+def pair_records(chosen: DataFrame, prompt: Column, persona: Column, weights: tuple[float, float], min_quality: float, min_margin: float, candidates: Column, cross_persona: bool, source: str = "heuristic") -> DataFrame:
+    """prompt, chosen, rejected, metadata: scores rounded to 4, weights, bounds, provenance."""
+    score = lambda side, name: F.round(F.col(side)[name], 4).alias(f"{side}_{name}")
+    meta = F.struct(
+        persona.alias("persona"), *[score(s, x) for s in ("chosen", "rejected") for x in ("quality", "rarity")], F.lit(weights[0]).alias("quality_weight"), F.lit(weights[1]).alias("rarity_weight"),
+        F.lit(min_quality).alias("min_quality"), F.lit(min_margin).alias("min_rarity_margin"), candidates.cast("int").alias("candidates_per_prompt"), F.lit(cross_persona).alias("cross_persona"), F.lit(source).alias("quality_source"),
+    )
+    return chosen.select(prompt.alias("prompt"), F.col("chosen.text").alias("chosen"), F.col("rejected.text").alias("rejected"), meta.alias("metadata"))
 
 
-def select_pairs(df: DataFrame, group: list[str], order: str, min_quality: float, quality_weight: float, rarity_weight: float, min_margin: float = 0.0) -> DataFrame:
+def select_pairs(df: DataFrame, group: list[str], order: str, min_quality: float, quality_weight: float, rarity_weight: float, min_margin: float | None = 0.0) -> DataFrame:
     """Chosen and rejected candidate of each group; df has quality, rarity, text.
 
     Candidates under the floor are out; of at least two left the best and the worst of the
     combined score, the first in `order` winning ties, are the pair. Equal texts and a
-    rarity margin under min_margin give no pair.
+    rarity margin under min_margin give no pair (None: they do).
     """
     combined = quality_weight * F.col("quality") + rarity_weight * F.col("rarity")
     fit = df.where(F.col("quality") >= min_quality).withColumn("combined", F.round(combined, 9))
@@ -54,6 +96,8 @@ def select_pairs(df: DataFrame, group: list[str], order: str, min_quality: float
     best = F.min(F.struct((-F.col("combined")).alias("c"), F.col(order).alias("o"), row.alias("r")))["r"]
     worst = F.min(F.struct(F.col("combined").alias("c"), F.col(order).alias("o"), row.alias("r")))["r"]
     g = fit.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), best.alias("chosen"), worst.alias("rejected")).where("n >= 2")
+    if min_margin is None:
+        return g
     margin = F.round(F.col("chosen.rarity") - F.col("rejected.rarity"), 9)
     return g.where((F.col("chosen.text") != F.col("rejected.text")) & (margin >= min_margin))
 

@@ -48,10 +48,76 @@ def normalise_messages(msgs: Column) -> Column:
     return F.when(F.coalesce(full & both, F.lit(False)), clean).otherwise(F.raise_error(F.lit("invalid messages")).cast(MESSAGE))
 
 
-def lift_legacy(msgs: Column, persona: Column, prompt: Column, response: Column) -> Column:
-    """messages if present, else a record built from a flat prompt and response."""
-    flat = F.array(message("system", persona), message("user", prompt), message("assistant", response))
-    return normalise_messages(F.when(msgs.isNotNull(), msgs).otherwise(flat))
+def as_text(value: Column, text: bool = True) -> Column:
+    """Trimmed text; null is empty, and so is, of columns that aren't text, what counts as
+    nothing (0, false, an empty list)."""
+    own = F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"(?U)^\s+|\s+$", "")
+    return own if text else F.when(own.isin("0", "0.0", "false", "[]", "{}"), F.lit("")).otherwise(own)
+
+
+def of_persona(persona: Column, values: dict[str, str], strict: bool = True) -> Column:
+    """The persona's value (system prompt, description); null stays null. Others are an error,
+    or null if not strict."""
+    case = F.raise_error(F.concat(F.lit("unknown persona: "), persona)).cast("string") if strict else F.lit(None).cast("string")
+    for name, value in values.items():
+        case = F.when(persona == name, F.lit(value)).otherwise(case)
+    return F.when(persona.isNotNull(), case)
+
+
+def lift_legacy(msgs: Column, persona: Column, prompt: Column, response: Column, prompts: dict[str, str] = dims.SYSTEM_PROMPTS) -> Column:
+    """messages if present, else a record built from a flat prompt and response, with the
+    persona's system prompt. Flat rows need a known persona, a prompt and a response."""
+    text, answer = as_text(prompt), as_text(response)
+    fail = lambda why: F.raise_error(F.lit(why)).cast(MESSAGE)
+    known = F.coalesce(persona.isin(*prompts), F.lit(False))
+    flat = F.array(message("system", of_persona(persona, prompts, strict=False)), message("user", text), message("assistant", answer))
+    flat = F.when(~known, fail("a flat record needs a known persona")).when((F.length(text) == 0) | (F.length(answer) == 0), fail("a record needs messages, or a prompt and a response")).otherwise(flat)
+    return F.when(msgs.isNotNull(), normalise_messages(msgs)).otherwise(flat)
+
+
+def metadata(raw: Column, persona: Column, source: Column, source_id: Column, id_: Column, given: str | None = None) -> Column:
+    """Metadata as text by name, without empty values. persona: the given one, else the column,
+    else the metadata's; source: the column, else the metadata's; source_id: the column, else
+    the id, else the metadata's. raw: map of texts, null if it was no object."""
+    kind = "map<string,string>"
+    own = F.coalesce(raw, F.create_map().cast(kind))
+    clean = F.map_filter(F.transform_values(own, lambda _, v: as_text(v)), lambda _, v: F.length(v) > 0)
+    first = lambda *options: F.coalesce(*[F.nullif(o, F.lit("")) for o in options])
+    values = {
+        "persona": first(F.lit(given).cast("string"), as_text(persona), F.try_element_at(clean, F.lit("persona"))),
+        "source": first(as_text(source), F.try_element_at(clean, F.lit("source"))),
+        "source_id": first(as_text(source_id), as_text(id_), F.try_element_at(clean, F.lit("source_id"))),
+    }
+    rest = F.map_filter(clean, lambda k, _: ~k.isin(*values))
+    return F.map_concat(rest, F.map_filter(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull()))
+
+
+def overlay(defaults: dict[str, str], arguments: list[str]) -> dict[str, str]:
+    """Values by method, replaced by METHOD=VALUE arguments; unknown methods are an error."""
+    out = dict(defaults)
+    for x in arguments:
+        method, found, value = x.partition("=")
+        if not found or method not in defaults:
+            raise ValueError(f"not METHOD=VALUE of a known method: {x}")
+        out[method] = value
+    return out
+
+
+def known_only(df: DataFrame, column: str, known: list[str], nulls: bool = False) -> DataFrame:
+    """The rows, each checked: another value (a null too, unless allowed) is an error."""
+    c = F.col(column)
+    ok = F.coalesce(c.isin(known), F.lit(nulls))
+    bad = F.raise_error(F.concat(F.lit(f"unknown {column}: "), F.coalesce(c, F.lit("null")))).cast("string")
+    return df.withColumn(column, F.when(ok, c).otherwise(bad))
+
+
+def union_personas(sets: dict[str, DataFrame], seed: int | None = None, key: str | None = None) -> DataFrame:
+    """Rows of all personas, in a seeded order if a seed and a key are given."""
+    out = None
+    for name, own in sets.items():
+        own = own.withColumn("persona", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out if seed is None else out.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
 
 
 def as_training_text(msgs: Column) -> Column:

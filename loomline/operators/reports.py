@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions import dims
 from loomline.functions import vectors as V
+from loomline.operators import metrics, stats
 
 
 def cross_group_matrix(df: DataFrame, group: str, dim: int) -> DataFrame:
@@ -30,34 +33,43 @@ def intra_group_distance(df: DataFrame, by: list[str], dim: int) -> DataFrame:
     return g.select(*by, "n", (1 - V.mean_pairwise(F.col("n"), F.col("S"), F.col("q"))).alias("distance"))
 
 
-def silhouette(df: DataFrame, label: str, dim: int) -> DataFrame:
-    """Cosine silhouette of each point from label sums; singletons are left out. df has u.
+def silhouette(df: DataFrame, label: str, dim: int, by: tuple[str, ...] = (), key: str = "vec_id", labels: int = 512) -> DataFrame:
+    """Cosine silhouette of each point from label sums, within `by`; singletons are left out.
+    Columns: by, label, key, silhouette. df has u and a unique key.
 
-    The label sums are as many as there are labels; the join with them is a broadcast
-    where Spark finds them small, and each point keeps only its nearest other label.
+    Label sums go to the points in blocks of about `labels`, each of which gives a point its
+    nearest other label; a point's minimum over the blocks is a partial aggregate.
     """
-    s = V.group_sums(df, [label], dim).select(F.col(label).alias("_l"), F.col("n").alias("_n"), F.col("S").alias("_S"))
-    packed = s.agg(F.collect_list(F.struct("_l", "_n", "_S")).alias("all"))
-    rows = df.crossJoin(F.broadcast(packed))  # one row: the label sums
-    own = F.filter("all", lambda x: x["_l"] == F.col(label))[0]
-    near = F.array_min(F.transform(F.filter("all", lambda x: x["_l"] != F.col(label)), lambda x: 1 - V.dot(F.col("u"), x["_S"]) / x["_n"]))
-    a = 1 - (V.dot(F.col("u"), own["_S"]) - V.dot(F.col("u"), F.col("u"))) / F.nullif(own["_n"] - 1, F.lit(0))
-    rows = rows.select(*df.columns, a.alias("_a"), near.alias("_b")).where("_a is not null and _b is not null and greatest(_a, _b) > 1e-9")
-    return rows.withColumn("silhouette", (F.col("_b") - F.col("_a")) / F.greatest("_a", "_b")).drop("_a", "_b")
-
-
-def nearest(left: DataFrame, right: DataFrame, k: int, block_rows: int = 2_000) -> DataFrame:
+    s = V.group_sums(df, [*by, label], dim)
+    blocks = max(1, -(-s.count() // labels))
+    packed = s.withColumn("_b", F.pmod(F.xxhash64(label), F.lit(blocks)).cast("int")).groupBy(*by, "_b").agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col("n"), F.col("S"))).alias("_near"))
+    rows = df.select(*by, label, key, "u").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, [*by, "_b"])
+    near = F.array_min(F.transform(F.filter("_near", lambda x: x["l"] != F.col(label)), lambda x: 1 - V.dot(F.col("u"), x["S"]) / x["n"]))
+    own = F.try_element_at(F.filter("_near", lambda x: x["l"] == F.col(label)), F.lit(1))
+    a = 1 - (V.dot(F.col("u"), own["S"]) - V.dot(F.col("u"), F.col("u"))) / F.nullif(own["n"] - 1, F.lit(0))
+    g = rows.groupBy(*by, label, key).agg(F.max(a).alias("_a"), F.min(near).alias("_n")).where("_a is not null and _n is not null and greatest(_a, _n) > 1e-9")
+    return g.select(*by, label, key, ((F.col("_n") - F.col("_a")) / F.greatest("_a", "_n")).alias("silhouette"))
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int, block_rows: int = 2_000, slice_rows: int = 50_000) -> DataFrame:
     """The k rows of `right` (ref_id, ru) most similar to each of `left` (id, u).
 
-    `right`, a stated reference set, is sent to the tasks in blocks of about block_rows
-    rows; each block's best k are kept, then the best k of all.
+    `right`, a stated reference set, goes to the tasks in blocks of about block_rows rows,
+    slice_rows at a time: so many are broadcast at once, whatever its size. Of each block the
+    best k are kept, then the best k of all.
     """
     from pyspark.sql import Window
 
-    blocks = max(1, -(-right.count() // block_rows))
-    block = right.withColumn("_b", F.pmod(F.xxhash64("ref_id"), F.lit(blocks))).groupBy("_b").agg(F.collect_list(F.struct("ref_id", "ru")).alias("refs"))
+    slices = max(1, -(-right.count() // slice_rows))
+    per = max(1, slice_rows // block_rows)
+    placed = right.withColumn("_b", F.pmod(F.xxhash64("ref_id"), F.lit(slices * per)).cast("int"))
+    blocks = placed.groupBy("_b").agg(F.collect_list(F.struct("ref_id", "ru")).alias("refs"))
     sims = F.transform("refs", lambda r: F.struct((-F.round(V.dot(F.col("u"), r["ru"]), 9)).alias("d"), r["ref_id"].alias("ref_id")))
-    some = left.join(block).select("id", F.explode(F.slice(F.array_sort(sims), 1, k)).alias("x"))
+    some = None
+    for n in range(slices):
+        own = left.withColumn("_b", F.explode(F.sequence(F.lit(n * per), F.lit((n + 1) * per - 1))))
+        got = own.join(F.broadcast(blocks.where(F.col("_b").between(n * per, (n + 1) * per - 1))), "_b").select("id", F.explode(F.slice(F.array_sort(sims), 1, k)).alias("x"))
+        some = got if some is None else some.union(got)
     rn = F.row_number().over(Window.partitionBy("id").orderBy("x.d", "x.ref_id"))
     return some.withColumn("rank", rn).where(F.col("rank") <= k).select("id", "rank", F.col("x.ref_id").alias("ref_id"), (-F.col("x.d")).alias("similarity"))
 
@@ -125,6 +137,46 @@ def significance_markdown(tests: DataFrame, reference: str) -> str:
     return "\n".join([*lines, "", *told])
 
 
+def breakdown_csv(rows: DataFrame) -> str:
+    """rows: metrics.breakdown(), of one run or several; 17 columns, in the report's order."""
+    names = ["run", "method", "persona", "n_outputs", "self_bleu", "distinct_1", "distinct_2", "sbert_cosine", "sbert_distance", "quality", "novelty", "utility", "persona_fidelity", "quality_n", "novelty_n", "utility_n", "persona_fidelity_n"]
+    lines = [",".join(names)]
+    lines += [",".join("" if r[c] is None else str(r[c]) for c in names) for r in rows.orderBy(*metrics.report_order()).collect()]
+    return "\n".join(lines) + "\n"
+
+
+def breakdown_markdown(rows: DataFrame) -> str:
+    head = ["Run", "Method", "Persona", "n", "Self-BLEU↓", "Distinct-1↑", "Distinct-2↑", "SBERT-cos↓", "Quality↑", "Novelty↑", "Utility↑", "Fidelity↑"]
+    names = ["self_bleu", "distinct_1", "distinct_2", "sbert_cosine", "quality", "novelty", "utility", "persona_fidelity"]
+    lines = ["# Diversity and quality by persona", "", "| " + " | ".join(head) + " |", "|" + "---|" * len(head)]
+    for r in rows.orderBy(*metrics.report_order()).collect():
+        lines.append("| " + " | ".join([r["run"], r["method"], r["persona"], str(r["n_outputs"]), *["—" if r[c] is None else f"{r[c]:.3f}" for c in names]]) + " |")
+    return "\n".join(lines) + "\n"
+
+
+def score_markdown(scores: DataFrame, methods: list[str], value: str = "score") -> str:
+    """A method a row, in the methods' order, 4 decimals."""
+    got = {r["method"]: r for r in stats.score_table(scores, methods, value).collect()}
+    cell = lambda x: "—" if x is None else f"{x:.4f}"
+    return "\n".join(["| Method | Mean | Std | n |", "|---|---|---|---|", *[f"| {m} | {cell(got[m]['mean'])} | {cell(got[m]['std'])} | {got[m]['n']} |" for m in methods if m in got]]) + "\n"
+
+
+def significance_json(tests: DataFrame, reference: str) -> str:
+    rows = [r.asDict() for r in tests.orderBy("method", "metric").collect()]
+    return json.dumps({"reference": reference, "comparisons": rows}, ensure_ascii=False, indent=2)
+
+
+def append_pair_examples(records: DataFrame, order: str, title: str, path: str, n: int = 3) -> None:
+    """The first n pair records (prompt, chosen, rejected, metadata), as markdown, appended."""
+    parts = [f"\n# {title}\n"]
+    for k, r in enumerate(records.orderBy(order).limit(n).collect(), 1):
+        m = r["metadata"]
+        parts += [f"\n## {k}\n\n**prompt:**\n```\n{r['prompt']}\n```\n"]
+        parts += [f"\n**{s}** (quality {m[f'{s}_quality']:.4f}, rarity {m[f'{s}_rarity']:.4f}):\n```\n{r[s]}\n```\n" for s in ("chosen", "rejected")]
+    with open(path, "a", encoding="utf-8") as f:
+        f.write("".join(parts))
+
+
 def append_examples(rows: DataFrame, order: str, title: str, path: str, n: int = 3) -> None:
     """The first n records' messages, as markdown at the end of a file on the driver."""
     parts = [f"\n# {title}\n"]

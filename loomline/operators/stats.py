@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-import random
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +15,18 @@ def summarise(obs: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     return obs.where(v.isNotNull()).groupBy(*by).agg(F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.count(v).alias("n"))
 
 
+def with_empty(stats: DataFrame, dimension: DataFrame, by: list[str]) -> DataFrame:
+    """A row for each of the dimension's values: (null, null, 0) where nothing was observed."""
+    return dimension.select(*by).distinct().join(stats, by, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+
+
+def score_table(scores: DataFrame, methods: list[str], value: str = "score") -> DataFrame:
+    """method, mean, std, n of each method, rounded to 4, in the methods' order; the standard
+    deviation of one score is null."""
+    s = scores.where(F.col(value).isNotNull()).groupBy("method").agg(F.round(F.avg(value), 4).alias("mean"), F.round(F.stddev_samp(value), 4).alias("std"), F.count(value).alias("n"))
+    return s.where(F.col("method").isin(methods)).orderBy(F.array_position(F.array(*map(F.lit, methods)), F.col("method")))
+
+
 def paired_differences(obs: DataFrame, reference: str, specs: DataFrame) -> DataFrame:
     """Differences by (metric, method, prompt), positive where the reference is better.
 
@@ -32,40 +44,33 @@ def draw_hash(resample: Column, draw: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", resample.cast("string"), draw.cast("string"))), 1, 8), 16, 10).cast("long")
 
 
-def bootstrap(diffs: DataFrame, resamples: int = 1000, by: tuple[str, ...] = ("metric", "method"), order: str = "prompt") -> DataFrame:
+def bootstrap(diffs: DataFrame, resamples: int = 1000, by: tuple[str, ...] = ("metric", "method"), order: str = "prompt", slice_: int = 50) -> DataFrame:
     """mean_diff, p_value (share of resampled means that aren't above 0), p_loss (not
     below 0), effect_size (mean over standard deviation), n.
 
     Draw k of resample r takes the pair of index md5(r:k) mod n, so results repeat.
-    Resamples are spread over the cluster; a group of n pairs makes n rows for each.
+    Resamples are spread over the cluster in slices. A group's pairs (one a prompt) stand in
+    one row: 8 bytes each, so a group of ten million prompts takes 80 MB.
     """
     own = diffs.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
     packed = own.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "diff"))), lambda x: x["diff"]).alias("d"))
-    each = packed.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    # Resamples go out in slices: a group's pairs are copied once a slice, not once a resample.
+    each = packed.withColumn("_from", F.explode(F.sequence(F.lit(0), F.lit(max(resamples - 1, 0)), F.lit(slice_))))
     n = F.size("d")
-    total = F.aggregate(
-        F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, k: s + F.element_at(F.col("d"), (draw_hash(F.col("r"), k) % n + 1).cast("int"))
-    )
-    means = each.withColumn("m", F.round(total / n, 9)).groupBy(*by).agg(
-        (1 - F.avg(F.when(F.col("m") > 0, 1.0).otherwise(0.0))).alias("p_value"), (1 - F.avg(F.when(F.col("m") < 0, 1.0).otherwise(0.0))).alias("p_loss")
+
+    def total(r):
+        return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, k: s + F.element_at(F.col("d"), (draw_hash(r, k) % n + 1).cast("int")))
+
+    drawn = F.transform(F.sequence(F.col("_from"), F.least(F.col("_from") + (slice_ - 1), F.lit(resamples - 1))), lambda r: F.round(total(r) / n, 9))
+    count = lambda keep: F.sum(F.size(F.filter("_m", keep)))
+    means = each.withColumn("_m", drawn).groupBy(*by).agg(
+        (1 - count(lambda m: m > 0) / resamples).alias("p_value"), (1 - count(lambda m: m < 0) / resamples).alias("p_loss")
     )
     std = F.coalesce(F.stddev_samp("diff"), F.lit(0.0))
     base = own.groupBy(*by).agg(F.avg("diff").alias("mean_diff"), F.when(std <= 1e-9, F.lit(0.0)).otherwise(F.avg("diff") / std).alias("effect_size"), F.count(F.lit(1)).alias("n"))
     return base.join(means, list(by))
 
 
-def bootstrap_exact(a: list[float], b: list[float], lower_is_better: bool, resamples: int = 1000, seed: int = 0) -> dict:
-    """The same for two short lists on the driver, with Python's own generator."""
-    d = [(y - x) if lower_is_better else (x - y) for x, y in zip(a, b, strict=False)]
-    if not d:
-        return {"mean_diff": 0.0, "p_value": 1.0, "effect_size": 0.0, "n": 0}
-    rng, n = random.Random(seed), len(d)
-    wins = sum(sum(d[rng.randrange(n)] for _ in range(n)) / n > 0 for _ in range(resamples))
-    mean = sum(d) / n
-    std = math.sqrt(sum((x - mean) ** 2 for x in d) / (n - 1)) if n > 1 else 0.0
-    return {"mean_diff": mean, "p_value": 1 - wins / resamples, "effect_size": mean / std if std > 1e-9 else 0.0, "n": n}
-
-
 def average_rank(value: str, by: list[str]) -> Column:
     """Ranks with ties averaged."""
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2
@@ -82,6 +87,23 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return g.select(*by, "n", rho.alias("rho"), label.alias("interpretation"))
 
 
+def spearman_by(df: DataFrame, rubrics: dict[str, tuple[str, str]], by: list[str] | None = None) -> DataFrame:
+    """Agreement of two judges by rubric: rubric, n, rho and p (rounded to 4), interpretation.
+
+    rubrics: the columns of both judges' scores, by rubric. Pairs with a null on either side
+    don't count. p is two-sided, from Student's t; null for fewer than three pairs.
+    """
+    by = by or []
+    pair = F.explode(F.array(*[F.struct(F.lit(r).alias("rubric"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) for r, (x, y) in rubrics.items()]))
+    out = spearman(df.select(*by, pair.alias("_p")).select(*by, "_p.*"), "x", "y", [*by, "rubric"])
+
+    @F.pandas_udf("double")
+    def p(rho: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None or r != r else spearman_p(r, int(m)) for r, m in zip(rho, n, strict=True)], dtype="float64")
+
+    return out.select(*by, "rubric", "n", F.round("rho", 4).alias("rho"), F.round(p("rho", "n"), 4).alias("p"), "interpretation")
+
+
 def spearman_p(rho: float, n: int) -> float:
     """Two-sided p value from Student's t with n - 2 degrees, by the incomplete beta."""
     if n < 3 or abs(rho) >= 1:

@@ -12,8 +12,8 @@ from loomline.functions import dims
 from loomline.functions import text as T
 from loomline.functions import vectors as V
 from loomline.operators import cascade, diversity, judge, pairs, records, reports, stats
-from loomline.plans import extended  # noqa: F401  (registers its queries)
-from loomline.plans.registry import QUERIES, SQL, query, read
+from loomline.plans import extended, reporting  # noqa: F401  (register their queries)
+from loomline.plans.registry import QUERIES, REPS, SQL, query, read
 
 KEEP_LIMIT = 200
 REFERENCE_LABEL = 0
@@ -290,13 +290,7 @@ def rarity_cross(spark, d):
     return pairs.with_rarity(_embedded(spark, d)[0].drop("u"), ["source"]).select("vec_id", F.round("rarity", 6).alias("rarity"))
 
 
-_QUALITY = rf"""
-p AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+')) AS s, generate_subscripts(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+'), 1) AS i FROM documents),
-w AS (SELECT doc_id, i, lower(s) AS s, lag(s) OVER (PARTITION BY doc_id ORDER BY i) AS gap, lag(lower(s), 2) OVER (PARTITION BY doc_id ORDER BY i) AS old, lead(lower(s), 2) OVER (PARTITION BY doc_id ORDER BY i) AS nxt, lead(s) OVER (PARTITION BY doc_id ORDER BY i) AS gap2 FROM p),
-v AS (SELECT * FROM w WHERE regexp_matches(s, '^[\p{{L}}\p{{N}}_]')),
-r AS (SELECT *, sum(CASE WHEN gap = ' ' AND s = old THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM v),
-g AS (SELECT doc_id, run, count(*) AS n, max(s) AS s, arg_max(CASE WHEN gap2 = ' ' THEN nxt END, i) AS nxt FROM r GROUP BY 1, 2),
-reps AS (SELECT doc_id, count(*) AS reps FROM g WHERE n >= 4 OR n = 3 AND starts_with(nxt, s) GROUP BY 1),
+_QUALITY = rf"""{REPS},
 q AS (SELECT doc_id, source, lang, text, {_WORDS("text")} AS n, greatest(0, 1 - 0.25 * coalesce(reps, 0)) AS c FROM documents LEFT JOIN reps USING (doc_id)),
 ql AS (SELECT *, CASE WHEN n < 10 OR n > 400 THEN 0 ELSE 0.6 * c + 0.4 * CASE WHEN n <= 100 THEN n / 100 ELSE 100 / n END END AS quality FROM q)"""
 
@@ -311,7 +305,7 @@ SELECT doc_id, round(CASE WHEN count(*) OVER w < 2 OR max(n_chars) OVER w - min(
   ELSE (n_chars - min(n_chars) OVER w) / (max(n_chars) OVER w - min(n_chars) OVER w) END, 6) AS score FROM documents WINDOW w AS (PARTITION BY source, lang)
 """)
 def pool_minmax(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.round(pairs.minmax("n_chars", ["source", "lang"]), 6).alias("score"))
+    return pairs.with_minmax(read(spark, d, "documents"), "n_chars", ["source", "lang"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def _pairs_sql(pool, floor, wq, wr):
@@ -422,9 +416,9 @@ def summarise_metrics(spark, d):
     return s.select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-RESAMPLES = 200
+RESAMPLES = 1000
 _DIFF = """
-o AS (SELECT event_type AS method, user_id % 40 AS prompt, avg(value) AS value FROM events GROUP BY 1, 2),
+o AS (SELECT event_type AS method, user_id AS prompt, avg(value) AS value FROM events GROUP BY 1, 2),
 ref AS (SELECT min(event_type) AS m FROM events),
 dd AS (SELECT b.method, a.prompt, a.value - b.value AS diff FROM o AS a JOIN ref ON a.method = ref.m JOIN o AS b ON a.prompt = b.prompt AND b.method <> a.method)"""
 _BOOT = rf"""
@@ -438,7 +432,7 @@ base AS (SELECT method, avg(diff) AS mean_diff, CASE WHEN stddev_samp(diff) <= 1
 
 def _bootstrap(spark, d):
     e = read(spark, d, "events")
-    obs = e.groupBy(F.col("event_type").alias("method"), (F.col("user_id") % 40).alias("prompt")).agg(F.avg("value").alias("value")).withColumn("metric", F.lit("value"))
+    obs = e.groupBy(F.col("event_type").alias("method"), F.col("user_id").alias("prompt")).agg(F.avg("value").alias("value")).withColumn("metric", F.lit("value"))
     reference = e.agg(F.min("event_type")).first()[0]
     specs = spark.createDataFrame([("value", False)], "metric string, lower_is_better boolean")
     return stats.bootstrap(stats.paired_differences(obs, reference, specs), RESAMPLES)

@@ -58,11 +58,11 @@ def corpus_profile(spark, d):
 
 @query(rf"""
 WITH u AS (SELECT q.conv_id, q.text AS question, a.text AS answer FROM conversations AS q JOIN conversations AS a ON q.conv_id = a.conv_id AND q.role = 'user' AND a.role = 'assistant' AND a.turn = q.turn + 1)
-SELECT count(*) AS total_records, round(coalesce(avg({_WORDS("question")}), 0), 6) AS avg_prompt_words, round(coalesce(avg({_WORDS("answer")}), 0), 6) AS avg_response_words FROM u
+SELECT count(*) AS total_records, round(coalesce(avg({_WORDS("question")}), 0), 1) AS avg_prompt_words, round(coalesce(avg({_WORDS("answer")}), 0), 1) AS avg_response_words FROM u
 """)
 def dataset_summary(spark, d):
     s = corpus.dataset_summary(records.question_answers(read(spark, d, "conversations")), [], "question", "answer")
-    return s.select("total_records", *[F.round(c, 6).alias(c) for c in ("avg_prompt_words", "avg_response_words")])
+    return s.select("total_records", "avg_prompt_words", "avg_response_words")
 
 
 def _candidates(spark, d):

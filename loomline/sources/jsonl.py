@@ -7,26 +7,74 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.functions import text as T
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).where(F.col("value").rlike(r"(?U)\S"))
+
 
 def read_lenient(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Blank lines are skipped, malformed ones dropped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """Blank lines are skipped; a malformed line fails the query, none is lost."""
+    return _lines(spark, path).select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def read_split(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(records, dropped): lines that don't parse by the schema are dropped, and returned as
+    (file, value)."""
+    parsed = _lines(spark, path).select("value", F.col("_metadata.file_path").alias("file"), _parsed(schema).alias("r"))
+    return parsed.where("r._bad is null").select("r.*").drop("_bad"), parsed.where("r._bad is not null").select("file", "value")
+
 
+def _parsed(schema: str):
+    row = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    object_ = F.col("value").rlike(r"^\s*\{")
+    return F.when(object_, row).otherwise(F.from_json(F.lit("{"), f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
 
-def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Blank lines are skipped; a line that is no object of the schema, or no line at all,
-    fails the query, naming the line's text."""
-    lines = spark.read.text(path).where(F.col("value").rlike(r"\S"))
-    if lines.isEmpty():
+
+def read_strict(spark: SparkSession, path: str, schema: str, check=None) -> DataFrame:
+    """Blank lines are skipped. A line that isn't an object of the schema (or for which
+    `check`, a condition on the fields, doesn't hold) raises ValueError with its file and line
+    number; so does input without a record. The check is a pass over the lines of its own."""
+    parsed = _lines(spark, path).select("value", F.col("_metadata.file_path").alias("file"), _parsed(schema).alias("r"))
+    rows = parsed.select("value", "file", "r.*")
+    wrong = F.col("_bad").isNotNull() if check is None else F.col("_bad").isNotNull() | ~F.coalesce(check, F.lit(False))
+    if rows.isEmpty():
         raise ValueError(f"no records in {path}")
-    row = F.from_json("value", schema, {"mode": "PERMISSIVE"})
-    object_ = F.col("value").rlike(r"^\s*\{") & F.try_parse_json("value").isNotNull()
-    bad = F.raise_error(F.concat(F.lit("invalid record: "), F.left("value", F.lit(200))))
-    return lines.select(F.when(object_, row).otherwise(bad).alias("r")).select("r.*")
+    if (bad := rows.where(wrong).select("file", "value", F.col("_bad").isNotNull().alias("syntax")).first()) is not None:
+        # Only now are lines numbered, and only those of the one file.
+        numbered = spark.read.text(bad["file"]).rdd.zipWithIndex().filter(lambda x: x[0]["value"] == bad["value"])
+        line = numbered.map(lambda x: x[1]).min() + 1
+        raise ValueError(f"{'invalid JSON object' if bad['syntax'] else 'invalid row'} in {bad['file']} line {line}: {bad['value'][:200]}")
+    return rows.drop("value", "file", "_bad")
+
+
+def parse_run(argument: str) -> tuple[str, str]:
+    """LABEL=PATH."""
+    label, found, path = argument.partition("=")
+    if not found or not label.strip() or not path.strip():
+        raise ValueError(f"not LABEL=PATH: {argument}")
+    return label.strip(), path.strip()
+
+
+def prompt_pool(spark: SparkSession, path: str, most: int, sentences: int = 0) -> DataFrame:
+    """The first `most` user prompts of a file of chat records, in the order of its lines.
+
+    Lines that don't parse, and records without a user turn, are passed over. sentences: a
+    claim is cut to so many, if over 0. (place: the line's place in the file.)
+    """
+    schema = "messages array<struct<role:string,content:string>>"
+    rows = spark.read.option("wholetext", False).text(path).withColumn("place", F.monotonically_increasing_id())
+    text = F.filter(F.from_json("value", schema)["messages"], lambda m: m["role"] == "user")
+    prompt = F.try_element_at(text, F.lit(1))["content"]
+    own = rows.select("place", prompt.alias("prompt")).where("prompt is not null and prompt <> ''").orderBy("place").limit(most)
+    return own.withColumn("prompt", T.truncate_claim(F.col("prompt"), sentences)) if sentences else own
 
 
-def read_runs(spark: SparkSession, runs: dict[str, str], schema: str) -> DataFrame:
-    """Several runs, their labels a column."""
+def read_runs(spark: SparkSession, runs: dict[str, str] | list[str], schema: str) -> DataFrame:
+    """Several runs, their labels a column. runs: a path by label, or LABEL=PATH arguments."""
+    if not isinstance(runs, dict):
+        runs = dict(map(parse_run, runs))
     out = None
     for label, path in runs.items():
         own = read_lenient(spark, path, schema).withColumn("run", F.lit(label))

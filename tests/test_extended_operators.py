@@ -3,7 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.operators import corpus, lexical, pairs, reports, routing
+from loomline.operators import corpus, records, lexical, pairs, reports, routing
 
 
 def brute_rarity(texts):
@@ -70,7 +70,7 @@ def test_delta_references(spark):
 def test_question_and_text(spark):
     df = spark.createDataFrame([("x\nQuestion:\n why \n me\n\nNow provide it",), (" whole ",), (None,)], "t string")
     assert [r[0] for r in df.select(corpus.question_of(F.col("t"))).collect()] == ["why \n me", "whole", None]
-    assert [r[0] for r in df.select(F.length(corpus.as_text(F.col("t")))).collect()][2] == 0
+    assert [r[0] for r in df.select(F.length(records.as_text(F.col("t")))).collect()][2] == 0
 
 
 def test_reports(spark, tmp_path):

@@ -101,7 +101,7 @@ def test_vectors(spark):
     got = {r["g"]: r["m"] for r in V.group_sums(df, ["g"], 2).select("g", V.mean_pairwise(F.col("n"), F.col("S"), F.col("q")).alias("m")).collect()}
     assert got == pytest.approx({"a": 0, "b": 1, "c": 0, "d": 0})
     assert {(r["a"], r["b"]) for r in reports.cross_group_matrix(df, "g", 2).collect()} == {("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("b", "d"), ("c", "d")}
-    s = reports.silhouette(df, "g", 2).select("g").collect()
+    s = reports.silhouette(df.withColumn("vec_id", F.monotonically_increasing_id()), "g", 2).select("g").collect()
     assert {r["g"] for r in s} == {"a", "b", "c"}
 
 
@@ -113,7 +113,7 @@ def test_pair_selection(spark):
     assert got == {"p": ("C", "A"), "tie": ("v", "w")}
     assert pairs.select_pairs(df.where("g = 'p'"), ["g"], "k", 0.35, 0.4, 0.6, min_margin=0.9).count() == 0
     m = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", 5.0), ("c", 2.0), ("c", 2.0)], "g string, x double")
-    assert sorted(r["s"] for r in m.withColumn("s", pairs.minmax("x", ["g"])).collect()) == [0.0, 0.5, 1.0, 1.0, 1.0, 1.0]
+    assert sorted(r["s"] for r in pairs.with_minmax(m, "x", ["g"], "s").collect()) == [0.0, 0.5, 1.0, 1.0, 1.0, 1.0]
     for n, want in ((9, 0.0), (10, 0.6 + 0.4 * 0.1), (400, 0.6 + 0.4 * 0.25), (401, 0.0)):
         text = " ".join(f"w{k}" for k in range(n))
         assert one(spark, pairs.quality(lit(text))) == pytest.approx(want)
@@ -129,9 +129,10 @@ def test_records(spark):
     assert [m["role"] for m in one(spark, records.messages(lit("hi"), lit("sys")))] == ["system", "user"]
     assert one(spark, records.messages(lit("hi"), lit(None), True))[0]["content"] == T.CLAIM_PREFIX + "hi"
     legacy = records.lift_legacy(F.lit(None).cast(records.MESSAGE), lit("minimalist"), lit(" q "), lit("a"))
-    assert [m["content"] for m in one(spark, legacy)] == ["minimalist", "q", "a"]
-    with pytest.raises(Exception, match="invalid"):
-        one(spark, records.lift_legacy(F.lit(None).cast(records.MESSAGE), lit("m"), lit("  "), lit("a")))
+    assert [m["content"] for m in one(spark, legacy)] == [dims.SYSTEM_PROMPTS["minimalist"], "q", "a"]
+    for persona, prompt, why in (("m", "q", "known persona"), (None, "q", "known persona"), ("minimalist", "  ", "messages, or a prompt")):
+        with pytest.raises(Exception, match=why):
+            one(spark, records.lift_legacy(F.lit(None).cast(records.MESSAGE), lit(persona), lit(prompt), lit("a")))
     df = spark.createDataFrame([("g", k, f"t{k}") for k in range(6)], "g string, k int, v string")
     got = {r["k"]: r["peers"] for r in records.peers(df, ["g"], "k", "v").collect()}
     assert got[0] == ["t1", "t2", "t3"] and got[2] == ["t0", "t1", "t3"] and got[5] == ["t0", "t1", "t2"]
@@ -155,11 +156,35 @@ def test_judge(spark):
     assert g(good)["passes_gate"] and g(bad)["issues"] == ["missing counter-argument signal"] and "empty output" in g("")["issues"]
 
 
-def test_cache_is_asked_once(spark):
+def test_cache_is_asked_once(spark, tmp_path):
     wanted = spark.createDataFrame([("a", "pa"), ("b", "pb"), ("b", "pb")], "k string, prompt string")
     cache = spark.createDataFrame([("a", "old")], "k string, response string")
-    got, new = judge.score_with_cache(wanted, cache, ["k"], "prompt", lambda p: p.upper())
-    assert sorted(r["response"] for r in got.collect()) == ["PB", "PB", "old"] and new.count() == 1
+    asked, path = str(tmp_path / "asked"), str(tmp_path / "cache")
+
+    def call(prompts):
+        with open(asked, "a") as f:
+            f.writelines(p + "\n" for p in prompts)
+        return [p.upper() for p in prompts]
+
+    got, new = judge.score_with_cache(wanted, cache, ["k"], "prompt", call, path)
+    for _ in range(2):
+        assert sorted(r["response"] for r in got.collect()) == ["PB", "PB", "old"] and new.count() == 1
+    assert open(asked).read() == "pb\n"
+    kept = judge.read_cache(spark, path, "k string, response string")
+    again, none = judge.score_with_cache(wanted.where("k = 'b'"), kept, ["k"], "prompt", call, path)
+    assert {r["response"] for r in again.collect()} == {"PB"} and none.count() == 0 and open(asked).read() == "pb\n"
+    with pytest.raises(Exception, match="1 answers to 2 prompts|0 answers"):
+        judge.score_with_cache(wanted, cache.limit(0), ["k"], "prompt", lambda prompts: prompts[1:], path)
+
+
+def test_judge_all(spark, tmp_path):
+    out = spark.createDataFrame([("1", "m", "p", "x", "one"), ("2", "m", "p", None, "two")], "output_id string, method string, prompt string, persona string, output string")
+    call = lambda prompts: ['Here: {"novelty": 4}' if p.startswith("N") else '```json\n{"persona_fidelity": 2}\n```' for p in prompts]
+    rubrics = {"novelty": "N {prompt} {output}", "persona_fidelity": "F {persona} {output}"}
+    for _ in range(2):
+        got = {r["output_id"]: r for r in judge.judge_all(out, rubrics, call, str(tmp_path / "c")).collect()}
+    assert got["1"]["persona_fidelity"] == '{"persona_fidelity": 2}' and got["2"]["persona_fidelity"] is None and got["2"]["novelty"] == '{"novelty": 4}'
+    assert judge.read_cache(spark, str(tmp_path / "c"), "output_id string, rubric string, response string").count() == 3
 
 
 def test_stats(spark):
@@ -168,7 +193,6 @@ def test_stats(spark):
     diffs = stats.paired_differences(spark.createDataFrame(obs, "method string, prompt string, metric string, value double"), "a", specs)
     r = stats.bootstrap(diffs, 50).first()
     assert r["mean_diff"] == pytest.approx(0.8) and r["p_value"] == 0 and r["p_loss"] == 1 and r["n"] == 5
-    assert stats.bootstrap_exact([], [], True)["p_value"] == 1.0 and stats.bootstrap_exact([5.0] * 4, [1.0] * 4, False)["mean_diff"] == 4
     v = reports.verdicts(stats.bootstrap(diffs.withColumn("diff", -F.col("diff")), 50)).first()
     assert (v["better"], v["worse_reference"], v["worse"]) == ("", "", "m")
     df = spark.createDataFrame([("g", 1.0, 2.0), ("g", 2.0, 4.0), ("g", 3.0, 9.0), ("h", 1.0, 1.0), ("c", 1.0, 1.0), ("c", 1.0, 2.0), ("c", 1.0, 3.0)], "g string, x double, y double")
@@ -192,7 +216,7 @@ def test_jsonl_and_stream(spark, tmp_path):
     assert jsonl.read_strict(spark, str(f), "reply string").count() == 2 == jsonl.read_lenient(spark, str(f), "reply string").count()
     bad = tmp_path / "bad.json"
     bad.write_text('{"reply": "x"}\n[1]\n')
-    with pytest.raises(Exception, match="invalid record"):
+    with pytest.raises(Exception, match="invalid JSON object"):
         jsonl.read_strict(spark, str(bad), "reply string").collect()
     rows = cascade_stream.filtered(spark, str(tmp_path / "in"), "reply string", lambda df: cascade.reply_rules(F.col("reply")))
     cascade_stream.start(rows, str(tmp_path / "kept"), str(tmp_path / "counts"), str(tmp_path / "ck")).awaitTermination()
