@@ -8,8 +8,8 @@
    on a segment come into one block (connected components): no similar pair is parted.
    (Below 88 percent, larger sets are blocked by min-hash bands instead; a pair at the
    threshold is then parted with probability 1e-11, about that of a hash collision.)
-3. In each block signature trees find the links; large blocks are cut into tiles, and all
-   pairs of tiles are joined.
+3. In each block signature trees find the links; large blocks are cut into tiles by size and
+   hash, and all pairs of tiles whose sizes can be similar are joined.
 4. Components of the links give each row its group.
 """
 
@@ -111,8 +111,11 @@ class Segments:
             kept = np.argsort(count, kind="stable")[s:] if s else np.arange(m)
             some = kept[count[kept] > 0]
             out.append(mix(total[some] ^ mix(some.astype(np.uint64) * _P[1] + np.uint64((c + 1) * int(_P[0]) % 2**64) + count[some].astype(np.uint64) * _P[2])))
-            if len(some) < len(kept):  # an empty segment can be what two sets agree on
-                out.append(mix(np.array([c + 1], np.uint64) * _P[3]))
+            if len(full) <= d:
+                # All that two sets agree on can be empty segments only if both have more than s of
+                # these (so that no other is left out) and differ in every other: then no more
+                # than d are full. Such sets go by their tokens, of which they share some.
+                out.append(mix(tokens ^ mix(np.array([c + 1], np.uint64) * _P[3])))
         return np.concatenate(out)
 
 
@@ -223,27 +226,38 @@ def _blocks(docs: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
     def _pairs(segs, ids):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(segs).view(np.int64)), pa.array(np.concatenate(ids))], names=["seg", "id"])
 
-    from pyspark.sql import Window
+    rows = materialise(docs.select(utf8(F.col(text_col)).alias("t")).mapInArrow(lean(run), "seg long, id long"), "ngram-segments")
+    # A segment's least id is a partial aggregate; joined back, a hot segment's rows stand on the
+    # side that adaptive execution splits. Few segments have two ids, so few rows are shuffled.
+    hubs = rows.groupBy("seg").agg(F.min("id").alias("b"), F.max("id").alias("_max")).where("b <> _max").select("seg", "b")
+    hubs = materialise(hubs, "ngram-hubs")
+    edges = _among(rows, hubs, "seg").join(hubs, "seg").select(F.col("id").alias("a"), "b").where("a <> b").distinct()
+    found = components(edges, "ngram-blocks")
+    discard(rows)
+    discard(hubs)
+    return found
 
-    rows = docs.select(utf8(F.col(text_col)).alias("t")).mapInArrow(lean(run), "seg long, id long")
-    hub = F.min("id").over(Window.partitionBy("seg"))
-    edges = rows.select(F.col("id").alias("a"), hub.alias("b")).where("a <> b").distinct()
-    return components(edges, "ngram-blocks")
 
+BITS = 27
 
-def _among(rows: DataFrame, col: str, some: DataFrame, of: str, bits: int = 27) -> DataFrame:
-    """`rows` without most of those whose `col` isn't in `of` of `some`; none that is goes.
 
-    A bitmap of fixed size (2^bits bits, 16 MB) of hashes is broadcast; where `some` is so
-    large that it fills up, fewer rows go, and the join that follows has more to do.
-    """
-    spark = rows.sparkSession
-    place = lambda c: F.pmod(F.xxhash64(F.lit(1), c), F.lit(1 << bits))
-    at = some.select(place(F.col(of)).alias("h"))
+def _bitmap(some: DataFrame, place):
+    """Broadcast bitmap of fixed size (2^BITS bits, 16 MB) of places from 0 to 2^BITS - 1."""
+    at = some.select(place.alias("h"))
     got = at.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("m")).toArrow()
-    bitmap = np.zeros(1 << (bits - 6), np.uint64)
+    bitmap = np.zeros(1 << (BITS - 6), np.uint64)
     bitmap[got.column("w").to_numpy()] = got.column("m").to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(bitmap)
+    return some.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def _among(rows: DataFrame, some: DataFrame, col: str) -> DataFrame:
+    """`rows` without most of those whose `col` isn't in that of `some`; none that is goes.
+
+    A bitmap of fixed size is broadcast; where `some` is so large that it fills up,
+    fewer rows go, and the join that follows has more to do.
+    """
+    place = F.pmod(F.xxhash64(F.lit(1), col), F.lit(1 << BITS))
+    shared = _bitmap(some, place)
 
     def run(batches):
         bitmap = shared.value
@@ -254,39 +268,60 @@ def _among(rows: DataFrame, col: str, some: DataFrame, of: str, bits: int = 27)
             if part.num_rows:
                 yield pa.RecordBatch.from_arrays(part.columns[:-1], names=part.schema.names[:-1])
 
-    return rows.withColumn("_h", place(F.col(col))).mapInArrow(lean(run), rows.schema)
+    return rows.withColumn("_h", place).mapInArrow(lean(run), rows.schema)
 
 
-def class_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: int, percent: int, tile_tokens: int) -> DataFrame:
-    """Links (a, b) between class keys. classes: _key, _rep (an id of the class), _n."""
+def class_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: int, percent: int, tile_tokens: int, every: bool = False) -> DataFrame:
+    """Links (a, b) between class keys: those that connect what all links connect, or every
+    one. classes: _key, _rep (an id of the class), _n."""
     spark = docs.sparkSession
     blocks = materialise(_blocks(docs, text_col, k, percent), "ngram-block-ids")
     short = F.conv(F.hex(F.substring("_key", 1, 8)), 16, -10).cast("long")
     members = materialise(classes.withColumn("node", short).join(blocks, "node").select("_key", "_rep", "_n", F.col("label").alias("block")), "ngram-members")
     discard(blocks)
-    # Tiles of a block: enough for each to hold about tile_tokens tokens.
-    tiles = members.groupBy("block").agg(F.ceil(F.sum("_n") / F.lit(tile_tokens)).cast("int").alias("tiles"))
-    members = members.join(tiles, "block").withColumn("tile", F.pmod(F.xxhash64("_key"), F.col("tiles")).cast("int"))
-    docs = docs.select(F.col(id_col).alias("_id"), utf8(F.col(text_col)).alias("_t"))
-    docs = _among(docs, "_id", members, "_rep")  # texts of no block aren't shuffled
-    rows = docs.join(members, F.col("_id").eqNullSafe(F.col("_rep"))).select("_key", "block", "tile", "tiles", "_t")
+    # Tiles of a block, by size and hash, enough for each to hold about tile_tokens tokens. Sets of
+    # sizes g and h, in steps of the threshold, can be similar only if g and h are neighbours.
+    size = F.floor(F.log("_n") / F.log(F.lit(100 / percent * (1 + 1e-6)))).cast("int")  # steps a little wider than the threshold
+    members = members.withColumn("g", size)
+    tiles = members.groupBy("block", "g").agg(F.ceil(F.sum("_n") / F.lit(tile_tokens)).cast("int").alias("tiles"))
+    own = tiles.select("block", "g", "tiles", F.explode(F.array(F.col("g") - 1, F.col("g"), F.col("g") + 1)).alias("h"))
+    others = own.join(tiles.select("block", F.col("g").alias("h"), F.col("tiles").alias("_t")), ["block", "h"])
+    others = others.groupBy("block", "g", "tiles").agg(F.collect_list(F.struct("h", "_t")).alias("others"))  # three at most
+    members = members.join(others, ["block", "g"])
+    place = lambda g, t: g.cast("long") * F.lit(1 << 32) + t
+    members = members.withColumn("tile", place(F.col("g"), F.pmod(F.xxhash64("_key"), F.col("tiles"))))
+    other = F.flatten(F.transform("others", lambda o: F.transform(F.sequence(F.lit(0), o["_t"] - 1), lambda t: place(o["h"], t))))
+    members = members.select("_key", "_rep", "block", "tile", other.alias("others"))
+    rows = docs.select(F.col(id_col).alias("_id"), utf8(F.col(text_col)).alias("_t"))
+    shared = _bitmap(members, F.shiftright(F.conv(F.hex(F.substring("_key", 1, 4)), 16, 10).cast("long"), 5))  # the key's first 27 bits
+    id_kind = rows.schema["_id"].dataType.simpleString()
+
+    def held(batches):  # texts of no block aren't shuffled
+        node = shared.value
+        for batch in batches:
+            keep, keys = [], []
+            for i, t in enumerate(batch.column(1)):
+                key = _key(words(t.as_py()))
+                h = int.from_bytes(key[:4], "big") >> 5
+                if node[h >> 6] >> np.uint64(h & 63) & np.uint64(1):
+                    keep.append(i)
+                    keys.append(key)
+            part = batch.take(pa.array(keep, pa.int64()))
+            if keep:
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), part.column(1)], names=["_id", "_key", "_t"])
+
+    rows = rows.mapInArrow(lean(held), f"_id {id_kind}, _key binary, _t binary")
+    rows = rows.join(members, (rows["_key"] == members["_key"]) & rows["_id"].eqNullSafe(members["_rep"])).select(rows["_key"], "block", "tile", "others", "_t")
 
     def shingled(batches):
         shingle = Shingler(k)
         for batch in batches:
-            keep, sets = [], []
-            for i, (key, t) in enumerate(zip(batch.column(0), batch.column(4), strict=True)):
-                ws = words(t.as_py())
-                if _key(ws) == key.as_py():  # else another text of the same id
-                    keep.append(i)
-                    sets.append(shingle(ws).view(np.int64))
-            part = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sets, pa.list_(pa.int64()))], names=["_key", "block", "tile", "tiles", "tokens"])
+            sets = [shingle(words(t.as_py())).view(np.int64) for t in batch.column(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.list_(pa.int64()))], names=["_key", "block", "tile", "others", "tokens"])
 
-    sets = rows.mapInArrow(lean(shingled), "_key binary, block long, tile int, tiles int, tokens array<long>")
-    # Each tile meets each tile of its block, itself included; a block of one tile has one task group.
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    dealt = sets.select("*", other).select("_key", "block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "tokens")
+    sets = rows.mapInArrow(lean(shingled), "_key binary, block long, tile long, others array<long>, tokens array<long>")
+    # Each tile meets each tile of its block that can hold similar sets, itself included.
+    dealt = sets.withColumn("other", F.explode("others")).select("_key", "block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "tokens")
     dealt = dealt.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
 
     def joined(batches):
@@ -300,9 +335,9 @@ def class_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
             part = [sets[x] for x in own]
             side = [sides[x] for x in own]
             if group[1] == group[2]:
-                found = join(part, percent)
+                found = join(part, percent, every=every)
             else:
-                found = join(part, percent, [x for x, s in enumerate(side) if s == group[1]], [x for x, s in enumerate(side) if s == group[2]])
+                found = join(part, percent, [x for x, s in enumerate(side) if s == group[1]], [x for x, s in enumerate(side) if s == group[2]], every)
             return [(keys[own[a]], keys[own[b]]) for a, b in found]
 
         for batch in batches:
@@ -338,6 +373,7 @@ def jaccard_groups(
     k: int = 5,
     percent: int = 80,
     tile_tokens: int = 2_000_000,
+    links: bool = False,
 ) -> DataFrame:
     """Groups of rows linked by 100 * intersection >= percent * union of k-word shingles.
 
@@ -346,6 +382,10 @@ def jaccard_groups(
     runs without ASCII white space, A-Z lower-cased; fewer than k words are one shingle.
     Shingles are compared as 64-bit hashes, word sequences as 128-bit ones.
 
+    links: n_links is added, the number of other rows that a row is linked with, copies of its
+    own text included. All links between different texts are then found, not only as many as
+    connect them, which takes time in proportion to their number.
+
     A text without words has an empty set and links with nothing: its component is its own
     id. Null texts are empty. Null ids take part, but are no component's id unless all of
     it are null. Of rows tied on a component's id, those of its least key are kept. An
@@ -358,21 +398,29 @@ def jaccard_groups(
     rows = materialise(rows.select("_id", F.col(key).alias("_key"), F.col(n).alias("_n")), "ngram-keys")
     classes = rows.where("_key is not null").groupBy("_key").agg(F.min("_id").alias("_rep"), F.first("_n").alias("_n"))
     classes = materialise(classes, "ngram-classes")
-    links = class_links(docs, classes, id_col, text_col, k, percent, tile_tokens)
-    groups = materialise(components(links, "ngram-components"), "ngram-groups")
+    found = class_links(docs, classes, id_col, text_col, k, percent, tile_tokens, links)
+    groups = materialise(components(found, "ngram-components"), "ngram-groups")
     member = classes.join(groups, F.col("_key") == F.col("node"), "left").select("_key", "_rep", F.coalesce("label", "_key").alias("_label"))
     least = member.groupBy("_label").agg(F.min("_rep").alias("_least"))
     # The class that stays: of the group's least id, and of the least key among those.
     stays = member.join(least, "_label").where(F.col("_rep").eqNullSafe(F.col("_least"))).groupBy("_label").agg(F.min("_key").alias("_stays"))
     by_class = member.join(least, "_label").join(stays, "_label").select("_key", "_least", (F.col("_key") == F.col("_stays")).alias("_own"))
     out = rows.where("_key is not null").join(by_class, "_key")
+    count = []
+    if links:
+        copies = rows.where("_key is not null").groupBy("_key").agg(F.count(F.lit(1)).alias("_copies"))
+        both = found.union(found.select("b", "a")).join(copies.select(F.col("_key").alias("b"), "_copies"), "b")
+        linked = copies.join(both.groupBy(F.col("a").alias("_key")).agg(F.sum("_copies").alias("_linked")), "_key", "left")
+        out = out.join(linked.select("_key", (F.col("_copies") - 1 + F.coalesce("_linked", F.lit(0))).alias("_links")), "_key")
+        count = [F.col("_links").alias("n_links")]
     return out.select(
         F.col("_id").alias(id_col),
         F.col("_n").alias("n_shingles"),
         F.col("_least").alias("component_id"),
         (F.col("_own") & F.col("_id").eqNullSafe(F.col("_least"))).alias("kept"),
         "_key",
-    ).union(rows.where("_key is null").select("_id", "_n", "_id", F.lit(True), "_key"))
+        *count,
+    ).union(rows.where("_key is null").select("_id", "_n", "_id", F.lit(True), "_key", *[F.lit(0).cast("long") for _ in count]))
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

@@ -83,12 +83,12 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def join(sets: Sequence[np.ndarray], percent: int, left: Sequence[int] | None = None, right: Sequence[int] | None = None):
-    """Links (i, j, i < j) that connect whatever similar pairs connect.
+def join(sets: Sequence[np.ndarray], percent: int, left: Sequence[int] | None = None, right: Sequence[int] | None = None, every: bool = False):
+    """Links (i, j, i < j) that connect whatever similar pairs connect, or every similar pair.
 
     All pairs of `sets` are covered, or those of a place in `left` with one in `right`.
-    A pair already connected by the links so far isn't compared, so copies of one text
-    cost about as much as their number. Sets must not be empty.
+    Unless every pair is asked for, one already connected by the links so far isn't compared,
+    so copies of one text cost about as much as their number. Sets must not be empty.
     """
     n = len(sets)
     if n < 2:
@@ -105,11 +105,11 @@ def join(sets: Sequence[np.ndarray], percent: int, left: Sequence[int] | None =
         return node.uniform
 
     def pair(a: Node, b: Node):
-        if same(a) and same(b) and forest.find(a.members[0]) == forest.find(b.members[0]) or apart(a, b, percent):
+        if not every and same(a) and same(b) and forest.find(a.members[0]) == forest.find(b.members[0]) or apart(a, b, percent):
             return
         if not a.children and not b.children:
             i, j = a.members[0], b.members[0]
-            if similar(sets[i], sets[j], percent) and forest.union(i, j):
+            if similar(sets[i], sets[j], percent) and (forest.union(i, j) or every):
                 links.append((min(i, j), max(i, j)))
         elif a.children and (not b.children or len(a.members) >= len(b.members)):
             for c in a.children:

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomline.llm import exact_dedup, ngram_join
 from loomline.llm.components import components
@@ -74,6 +75,32 @@ def test_jaccard_groups_against_all_pairs(spark, some_docs, k, percent, tile):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(least.values()))
 
 
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
+def test_a_thousand_documents_against_all_pairs(spark, k, percent):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    base = docs.orderBy("doc_id").collect()
+    group, size = brute_groups(base, k, percent)
+    least = {g: min(r["doc_id"] for r, x in zip(base, group, strict=True) if x == g) for g in set(group)}
+    got = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in ngram_join.jaccard_groups(docs, k=k, percent=percent).collect()}
+    assert got == {r["doc_id"]: (least[g], n) for r, g, n in zip(base, group, size, strict=True)}
+
+
+def test_links_of_every_row(spark):
+    """n_links counts all linked rows, in a block of many tiles as in one of one."""
+    words = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join(words[:-1] + [f"x{k % 7}"])) for k in range(30)] + [(100, "alone here"), (101, ""), (102, " ".join(f"y{k}" for k in range(40)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for tile in (2_000_000, 100):
+        got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in ngram_join.jaccard_groups(docs, k=3, percent=90, tile_tokens=tile, links=True).collect()}
+        assert all(got[k] == (0, 29) for k in range(30)) and got[100] == (100, 0) and got[101] == (101, 0) and got[102] == (102, 0)
+
+
+def test_ten_thousand_null_ids(spark):
+    docs = spark.range(10_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("one text of some words that all have in common number "), (F.col("id") % 100).cast("string"), F.lit(" and what follows it to the end")).alias("text"))
+    out = ngram_join.jaccard_groups(docs, k=3, percent=50)
+    assert out.count() == 10_000 and out.where("component_id is not null").count() == 0 and out.where("kept").count() >= 1
+
+
 def test_jaccard_edges(edge_docs, no_docs):
     out = ngram_join.jaccard_groups(edge_docs).collect()
     assert len(out) == edge_docs.count()
