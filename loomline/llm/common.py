@@ -89,6 +89,19 @@ def doc_fold(doc_id, modulus: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+def once_a_worker(key: str, make):
+    """make(), kept for further tasks of the same Python worker under a key; the last two stay.
+    Functions come to a worker anew with each task, so they are kept at a module that stays."""
+    import sys
+
+    held = sys.__dict__.setdefault("_loomline_held", {})
+    if key not in held:
+        while len(held) > 1:
+            held.pop(next(iter(held)))
+        held[key] = make()
+    return held[key]
+
+
 def lean(run):
     """The batch function `run`, returning freed memory to the system when it ends: Python
     workers live on, and the next task's peak would come on top of what this one left."""

@@ -18,8 +18,8 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
     Edges may repeat, run either way, and join a node with itself. Each round writes its
     edges to the shared folder. Large-star joins a node's larger neighbours to its least
     neighbour, small-star its smaller ones; rounds are logarithmic in a component's size.
-    The least neighbour is a partial aggregate, and joining it back leaves a hot node's
-    rows on the side that adaptive execution can split.
+    The least neighbour is a partial aggregate; it is written, and joining it back leaves a
+    hot node's rows on the side that adaptive execution can split.
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), what)
     seen = None
@@ -30,13 +30,16 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
         seen = own
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = materialise(least, what)
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialise(large.where("a <> b").distinct(), what)
         discard(now)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))  # edges lead to smaller nodes
+        discard(least)
+        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), what)  # edges lead to smaller nodes
         joined = large.join(least, "a")
         small = joined.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         now = materialise(small.where("a <> b").distinct(), what)
         discard(large)
+        discard(least)
     roots = now.select("b").distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(roots.select(F.col("b"), F.col("b")))

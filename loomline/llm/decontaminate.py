@@ -8,13 +8,14 @@ character offsets of the original text.
 
 from __future__ import annotations
 
+import uuid
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, table, tune, utf8
+from .common import lean, once_a_worker, table, tune, utf8
 
 #: ASCII bytes that are no letter or digit end a word; A-Z become a-z; other bytes stay.
 FOLD = bytes(
@@ -115,13 +116,13 @@ def decontaminate(
 
 
 def _pass(docs: DataFrame, text_col: str, block, window: int) -> DataFrame:
-    schema = docs.schema
+    schema, key = docs.schema, uuid.uuid4().hex
     at = docs.columns.index(text_col)
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
     def run(batches):
         items = block.value
-        automaton, number, least = build(items, window)
+        automaton, number, least = once_a_worker(key, lambda: build(items, window))
         ids = [i for i, _ in items]
         for batch in batches:
             hits = []

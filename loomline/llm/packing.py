@@ -101,7 +101,8 @@ def pack(
     last = F.greatest(F.ceil(F.col("_n") / F.lit(max_tokens)) - 1, F.lit(0)).cast("int")
     seq = docs.select(F.col(id_col).alias("_id"), n.alias("_n")).withColumn("_q", F.explode(F.sequence(F.lit(0), last)))
     seq = seq.select("_id", "_q", F.least(F.col("_n") - F.col("_q") * F.lit(max_tokens), F.lit(max_tokens)).cast("int").alias("_len"))
-    seq = materialise(seq, "packing-lengths")
+    # Written with a number of its own for each row, so that repeated ids are dealt out too.
+    seq = materialise(seq.withColumn("_row", F.monotonically_increasing_id()), "packing-lengths")
 
     histogram = [(r["_len"], r["n"]) for r in seq.groupBy("_len").agg(F.count(F.lit(1)).alias("n")).collect()]  # max_tokens + 1 at most
     bounds = best_boundaries(histogram, buckets)
@@ -117,13 +118,13 @@ def pack(
         "*",
         by_bucket(bounds).alias("_bound"),
         by_bucket([max(1, budget // max(1, b)) for b in bounds]).alias("_per"),
-        F.pmod(F.xxhash64("_id", "_q", "_len"), by_bucket([-(-s // shard_rows) for s in sizes]).cast("long") if bounds else F.lit(1)).alias("_shard"),
+        F.pmod(F.xxhash64("_row"), by_bucket([-(-s // shard_rows) for s in sizes]).cast("long") if bounds else F.lit(1)).alias("_shard"),
     )
     shards = rows.groupBy("_bound", "_shard").agg(F.count(F.lit(1)).alias("_c"))
     offsets = shards.select(
         "_bound", "_shard", (F.sum("_c").over(Window.partitionBy("_bound").orderBy("_shard")) - F.col("_c")).alias("_off")
     )
-    own = Window.partitionBy("_bound", "_shard").orderBy("_len", "_id", "_q")
+    own = Window.partitionBy("_bound", "_shard").orderBy("_len", "_id", "_q", "_row")
     at = F.col("_off") + F.col("_rn")
     return (
         rows.withColumn("_rn", F.row_number().over(own) - 1)

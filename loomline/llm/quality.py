@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_fold, table
+from .common import doc_fold, fresh, table
 
 SPACE = r"[ \t\n\x0B\f\r]+"
 STATISTICS = (
@@ -24,19 +24,29 @@ STATISTICS = (
 )
 
 
+def free_prefix(docs: DataFrame, prefix: str = "_s_") -> str:
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def statistics(docs: DataFrame, text_col: str = "text", prefix: str = "_s_") -> DataFrame:
     """Rows of `docs` with the STATISTICS, doubles named with the prefix, added.
 
     Null counts as empty; an empty text has statistics of 0. Lengths are in characters,
-    shares are of characters, words or lines of the whole text.
+    shares are of characters, words or lines of the whole text. A column of `docs` that begins
+    with the prefix is an error; free_prefix() gives one that none begins with.
     """
+    if any(c.lower().startswith(prefix.lower()) for c in docs.columns):
+        raise ValueError(f"columns begin with {prefix}; give another prefix")
     t = F.coalesce(F.col(text_col), F.lit(""))
     trimmed = F.regexp_replace(t, rf"^{SPACE}|{SPACE}$", "")
-    raw = docs.withColumn("_s_t", t).withColumn("_s_w", F.when(F.length(trimmed) > 0, F.split(trimmed, SPACE)).otherwise(F.array().cast("array<string>")))
-    raw = raw.withColumn("_s_l", F.split("_s_t", "\n"))
-    n, k, lines = F.length("_s_t").cast("double"), F.size("_s_w").cast("double"), F.size("_s_l").cast("double")
+    t_, w_, l_ = (fresh(docs, f"{prefix}_{x}") for x in "twl")
+    raw = docs.withColumn(t_, t).withColumn(w_, F.when(F.length(trimmed) > 0, F.split(trimmed, SPACE)).otherwise(F.array().cast("array<string>")))
+    raw = raw.withColumn(l_, F.split(t_, "\n"))
+    n, k, lines = F.length(t_).cast("double"), F.size(w_).cast("double"), F.size(l_).cast("double")
     per = lambda x, of: x.cast("double") / F.greatest(of, F.lit(1.0))
-    w, count = F.col("_s_w"), lambda p: F.regexp_count("_s_t", F.lit(p))
+    w, count = F.col(w_), lambda p: F.regexp_count(t_, F.lit(p))
     value = {
         "log_chars": F.log1p(n),
         "log_words": F.log1p(k),
@@ -50,7 +60,7 @@ def statistics(docs: DataFrame, text_col: str = "text", prefix: str = "_s_") ->
         "distinct": per(F.size(F.array_distinct(w)), k),
         "repeats": per(F.size(F.filter(F.arrays_zip(w.alias("a"), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))).alias("b")), lambda x: x["a"] == x["b"])), k),
         "lines": per(lines, k),
-        "repeated_lines": F.lit(1.0) - per(F.size(F.array_distinct("_s_l")), lines),
+        "repeated_lines": F.lit(1.0) - per(F.size(F.array_distinct(l_)), lines),
         "longest": F.log1p(F.coalesce(F.array_max(F.transform(w, F.length)), F.lit(0)).cast("double")),
     }
     return raw.select(*[F.col(c) for c in docs.columns], *[value[s].alias(prefix + s) for s in STATISTICS])
@@ -213,8 +223,8 @@ def quality(docs: DataFrame, model: RuleEnsemble, text_col: str = "text", out_co
     Null and empty texts are scored by their statistics, which are 0. Repeated rows get
     equal scores; an empty table gives no rows; columns of other names pass unchanged.
     """
-    keep = [c for c in docs.columns if c != out_col]
-    return statistics(docs, text_col).select(*[F.col(c) for c in keep], model.column().alias(out_col))
+    keep, prefix = [c for c in docs.columns if c != out_col], free_prefix(docs)
+    return statistics(docs, text_col, prefix).select(*[F.col(c) for c in keep], model.column(prefix).alias(out_col))
 
 
 def op1_quality(spark, sf_dir):

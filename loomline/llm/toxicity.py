@@ -227,9 +227,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logits - self.shift[langs], -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_each: int = 3_000, max_chars: int = 20_000, fold: int | None = 5) -> Model:
-    """Fit on a bounded sample: of each label at most max_each rows (those of the least
-    hash of the id), of texts of at most max_chars characters. fold: rows whose
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_each: int = 3_000, max_chars: int = 30_000_000, fold: int | None = 5) -> Model:
+    """Fit on a bounded sample: of each label the rows of the least hashes of the id, whole
+    texts of any length, max_each at most and max_chars characters in all. fold: rows whose
     crc32(doc_id) is divisible by it are left out; None uses all.
 
     Weights restore the labels' shares. Null labels, ids without a text and null texts
@@ -243,9 +243,16 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_each
     texts, y = [], []
     for k in sorted(shares):
         sample = known.where(F.col("_y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_each)
-        rows = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
-        got = [(r["doc_id"], r["text"]) for r in rows.collect()]
-        got.sort()
+        rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample.select("doc_id")), "doc_id")
+        sizes = rows.select("doc_id", F.length("text").alias("n"), F.xxhash64("doc_id").alias("h")).collect()
+        left, chosen = max_chars, set()
+        for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+            left -= r["n"]
+            if left < 0:
+                break
+            chosen.add(r["doc_id"])
+        few = docs.sparkSession.createDataFrame([(i,) for i in sorted(chosen)], sample.select("doc_id").schema)
+        got = sorted((r["doc_id"], r["text"]) for r in rows.join(F.broadcast(few), "doc_id", "left_semi").collect())
         texts += [t for _, t in got]
         y += [k] * len(got)
     y = np.array(y, np.float32)
