@@ -34,3 +34,25 @@ def test_registry():
     q = registry.queries()
     assert "pipeline" in q and all(any(x.startswith(f"op{n}_") for x in q) for n in range(1, 11))
     assert set(registry.oracle_sql()) <= set(q) and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_edges(spark, edge_docs, no_docs, tmp_path):
+    """Nulls, empties, repeated rows, clashing names and an empty table through every stage."""
+    import corpus_pipeline
+
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, 0, 0), (5, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, "six seven"), (2, None), (None, "one")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    counts = []
+    for docs in (edge_docs, no_docs):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, sf)
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == docs.columns
+                out.write.parquet(f"{sf}/{len(counts)}.parquet")
+                docs = spark.read.parquet(f"{sf}/{len(counts)}.parquet")
+                counts.append(docs.count())
+            else:
+                counts.append(out.count())
+    # 10 rows; of empty and of equal texts one each stays; the text of seven words holds an item
+    assert counts[:4] == [10, 6, 6, 5] and counts[5:] == [0] * 5 and counts[4] >= 5

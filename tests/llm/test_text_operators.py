@@ -295,6 +295,44 @@ def test_rules_compile_to_what_they_score(spark, some_docs):
     assert np.allclose(model.score(x), [r["got"] for r in rows])
 
 
+def test_statistics_against_python(spark, some_docs):
+    import re
+
+    rows = [("A b, c!", None), ("x x x\nx x x\n\n12 %% | é", None), ("", None), (None, None)] + [(r["text"], None) for r in some_docs.limit(30).collect()]
+    docs = spark.createDataFrame(rows, "text string, _s_digits double").withColumn("_s_t", F.lit("mine"))
+    with pytest.raises(ValueError):
+        quality.statistics(docs)
+    prefix = quality.free_prefix(docs)
+    for r in quality.statistics(docs, prefix=prefix).collect():
+        t = r["text"] or ""
+        w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", t) if x]
+        n, k, lines = len(t), len(w), t.split("\n")
+        per = lambda x, of: x / max(of, 1)
+        want = {
+            "log_chars": math.log1p(n), "log_words": math.log1p(k), "word_length": per(n, k), "upper": per(sum(c.isupper() for c in t), n), "digits": per(len(re.findall("[0-9]", t)), n),
+            "marks": per(len(re.findall("[.,;:?!]", t)), k), "symbols": per(len(re.findall(r"[%*&$#@^~_=+<>{}\[\]\\/|]", t)), n), "shouts": per(t.count("!"), k), "bars": per(t.count("|"), k),
+            "distinct": per(len(set(w)), k), "repeats": per(sum(a == b for a, b in zip(w, w[1:], strict=False)), k), "lines": per(len(lines), k), "repeated_lines": 1 - per(len(set(lines)), len(lines)),
+            "longest": math.log1p(max(map(len, w), default=0)),
+        }
+        assert {s: pytest.approx(r[prefix + s]) for s in quality.STATISTICS} == want and r["_s_t"] == "mine"
+
+
+def test_convolution_against_loops():
+    m = toxicity.Model(bits=8)
+    rng = np.random.default_rng(5)
+    m.E[1:] = rng.normal(0, 1, m.E[1:].shape)
+    m.b = [rng.normal(0, 0.1, len(b)).astype(np.float32) for b in m.b]
+    for text in ("one two three four", "a", "der Hund läuft über die Brücke und zurück " * 5):
+        x = np.array([m.E[list(toxicity.buckets(w, m.bits))].sum(0) for w in toxicity.words(text)])
+        x = np.concatenate([x, np.zeros((2, x.shape[1]))])  # what stands after the last word
+        pooled = []
+        for wide, W, b in zip(m.widths, m.W, m.b, strict=True):
+            z = [np.concatenate(x[i : i + wide]) @ W for i in range(len(x) - 2)]
+            pooled.append(np.max(z, 0) + b)
+        want = np.maximum(np.concatenate(pooled), 0) @ m.u + m.c
+        assert m.logits([text])[0][0] == pytest.approx(want, abs=1e-4)
+
+
 def test_convolution_slices_agree():
     m = toxicity.Model()
     texts = ["a b c " * 30_000 + "idiot", None, "", "x", "one two three " * 500]
