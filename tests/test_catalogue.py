@@ -23,7 +23,7 @@ def rows(frame):
     return sorted(str(["NULL" if null(v) else round(float(v), 5) if isinstance(v, int | float) else str(v) for v in r]) for r in frame[cols].astype(object).where(frame[cols].notna(), None).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query_equals_oracle(spark, duck, name):
     got, want = catalogue.queries()[name](spark, SF).toPandas(), duck.sql(catalogue.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
