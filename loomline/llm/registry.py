@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, exact_dedup, filter_audit, html_extract, license_scan, lm_score, ngram_join, packing, quality, quality_rules, toxicity, warc
+from . import collocations, decontaminate, exact_dedup, filter_audit, html_extract, license_scan, lm_score, ngram_join, packing, quality, quality_rules, toxicity, warc
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op8_html_extract": html_extract.op8_html_extract,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_collocations": collocations.op11_collocations,
         "op12_filter_audit": filter_audit.op12_filter_audit,
         "op13_quality_rules": quality_rules.op13_quality_rules,
     }
@@ -31,6 +32,7 @@ def oracle_sql() -> dict:
         "op4_exact_dedup": exact_dedup.SQL,
         "op7_warc": warc.SQL,
         "op10_decontaminate": decontaminate.SQL,
+        "op11_collocations": collocations.SQL,
         "op12_filter_audit": filter_audit.SQL,
         "op13_quality_rules": quality_rules.SQL,
     }
