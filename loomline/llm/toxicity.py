@@ -229,7 +229,8 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_each: int = 3_000, max_chars: int = 30_000_000, fold: int | None = 5) -> Model:
     """Fit on a bounded sample: of each label the rows of the least hashes of the id, whole
-    texts of any length, max_each at most and max_chars characters in all. fold: rows whose
+    texts, max_each at most and max_chars characters in all. A text that doesn't fit into what is
+    left of max_chars is passed over, but the first of a label is always taken. fold: rows whose
     crc32(doc_id) is divisible by it are left out; None uses all.
 
     Weights restore the labels' shares. Null labels, ids without a text and null texts
@@ -247,10 +248,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_each
         sizes = rows.select("doc_id", F.length("text").alias("n"), F.xxhash64("doc_id").alias("h")).collect()
         left, chosen = max_chars, set()
         for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
-            left -= r["n"]
-            if left < 0:
-                break
-            chosen.add(r["doc_id"])
+            if r["n"] <= left or not chosen:  # the first text counts even if it alone is longer
+                left -= r["n"]
+                chosen.add(r["doc_id"])
         few = docs.sparkSession.createDataFrame([(i,) for i in sorted(chosen)], sample.select("doc_id").schema)
         got = sorted((r["doc_id"], r["text"]) for r in rows.join(F.broadcast(few), "doc_id", "left_semi").collect())
         texts += [t for _, t in got]
@@ -272,12 +272,15 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text", out_col: str
     """
     spark = docs.sparkSession
     tune(spark)
-    shared = spark.sparkContext.broadcast(model)  # of fixed size: (2^bits + 1) rows
+    # Plain arrays, of fixed size, (2^bits + 1) rows: a broadcast of a Model would be pickled by
+    # the name of its class, which workers without this package can't import.
+    shared = spark.sparkContext.broadcast(vars(model))
     out = docs.withColumn(out_col, F.lit(None).cast("double"))
     at, put = docs.columns.index(text_col), out.columns.index(out_col)
 
     def run(batches):
-        model = shared.value
+        model = Model.__new__(Model)
+        vars(model).update(shared.value)
         vocabulary, by_word = Vocabulary(model.bits), [np.zeros((0, sum(model.widths) * len(model.b[0])), np.float32)]
         for batch in batches:
             columns = list(batch.columns)
