@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomline.functions import dims
 from loomline.functions import text as T
 from loomline.functions import vectors as V
-from loomline.operators import corpus, judge, lexical, pairs, records, routing, stats
+from loomline.operators import corpus, embedding, judge, lexical, pairs, records, routing, stats
 from loomline.plans.registry import query, read
 
 _TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
@@ -244,3 +244,32 @@ def parse_success(spark, d):
     raw = F.when(F.col("event_id") % 3 == 0, F.left("props", F.lit(1))).otherwise(F.col("props"))
     e = read(spark, d, "events").select("event_type", judge.parse_object(raw).isNotNull().alias("parse_success"))
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("parse_success"), 1)).alias("n_parsed"))
+
+
+_DIM = 8
+
+
+@query(f"""
+WITH h AS (SELECT doc_id, lang, text, range(0, {_DIM}) AS ks FROM documents),
+v AS (SELECT doc_id, lang, CASE WHEN text IS NOT NULL THEN list_transform(ks, lambda k: ('0x' || substr(md5(k || ':' || text), 1, 8))::ubigint / 2147483648.0::double - 1) END AS v FROM h)
+SELECT doc_id, round(v[1], 6) AS first, round(v[{_DIM}], 6) AS last, round(sqrt(list_dot_product(v, v)), 6) AS norm FROM v
+""")
+def embedded_texts(spark, d):
+    """Vectors of whole texts by the hook, with an embedder that any engine can follow."""
+    e = embedding.embed(read(spark, d, "documents").select("doc_id", "text"), embedding.hash_embedder(_DIM), _DIM)
+    v = F.col("embedding")
+    return e.select("doc_id", F.round(v[0], 6).alias("first"), F.round(v[_DIM - 1], 6).alias("last"), F.round(F.sqrt(V.dot(v, v)), 6).alias("norm"))
+
+
+@query(f"""
+WITH c AS (SELECT DISTINCT source, lang, doc_id, text FROM documents WHERE text IS NOT NULL AND length(text) < 600),
+e AS (SELECT source, lang, doc_id, list_transform(range(0, {_DIM}), lambda k: ('0x' || substr(md5(k || ':' || text), 1, 8))::ubigint / 2147483648.0::double - 1) AS v FROM c),
+p AS (SELECT a.source, a.lang, avg(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v))) AS cosine FROM e AS a JOIN e AS b ON a.source = b.source AND a.lang = b.lang AND a.doc_id <> b.doc_id GROUP BY 1, 2)
+SELECT source, lang, count(*) AS n, round(coalesce(any_value(cosine), 0), 6) AS cosine FROM e LEFT JOIN p USING (source, lang) GROUP BY 1, 2
+""")
+def embedded_cosine(spark, d):
+    """Raw texts to mean pairwise cosines of groups: the hook, then the closed form."""
+    short = read(spark, d, "documents").where("text is not null and length(text) < 600").select("source", "lang", "doc_id", "text").distinct()
+    u = V.with_unit(embedding.embed(short, embedding.hash_embedder(_DIM), _DIM))
+    g = V.group_sums(u, ["source", "lang"], _DIM)
+    return g.select("source", "lang", "n", F.round(V.mean_pairwise(F.col("n"), F.col("S"), F.col("q")), 6).alias("cosine"))
