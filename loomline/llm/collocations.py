@@ -203,11 +203,26 @@ def _partial(counts: dict):
 PARTIAL = "level int, chunk int, task int, places binary, counts binary"
 
 
+def tree(rows: DataFrame, tasks: int, add) -> DataFrame:
+    """Partial rows of a level and chunk brought together by add(tables) -> one row's places and
+    counts, FAN tasks' rows a group, until one group is left. A task may have several rows."""
+
+    def join(part: pa.Table) -> pa.Table:
+        places, counts = add(part)
+        first = part.slice(0, 1)
+        return pa.table({"level": first["level"], "chunk": first["chunk"], "task": first["task"], "places": pa.array([places], pa.binary()), "counts": pa.array([counts], pa.binary())})
+
+    while True:
+        rows = rows.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("level", "chunk", "task").applyInArrow(join, PARTIAL)
+        tasks = -(-tasks // FAN)
+        if tasks <= 1:
+            return rows
+
+
 def tree_sum(rows: DataFrame, tasks: int) -> DataFrame:
-    """Sums of partial counts by level and chunk, FAN tasks' arrays a group, until one is left:
-    level, chunk, counts (CHUNK int64 as bytes). A task may have several arrays of a chunk."""
+    """Sums of partial counts by level and chunk: level, chunk, counts (CHUNK int64 as bytes)."""
 
-    def add(part: pa.Table) -> pa.Table:
+    def add(part: pa.Table):
         total = np.zeros(CHUNK, np.int64)
         for places, counts in zip(part["places"], part["counts"], strict=True):
             if places.is_valid:
@@ -215,14 +230,9 @@ def tree_sum(rows: DataFrame, tasks: int) -> DataFrame:
                 total[at] += n
             else:
                 total += np.frombuffer(counts.as_buffer(), np.int64)
-        first = part.slice(0, 1)
-        return pa.table({"level": first["level"], "chunk": first["chunk"], "task": first["task"], "places": pa.array([None], pa.binary()), "counts": pa.array([total.tobytes()], pa.binary())})
+        return None, total.tobytes()
 
-    while True:
-        rows = rows.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("level", "chunk", "task").applyInArrow(add, PARTIAL)
-        tasks = -(-tasks // FAN)
-        if tasks <= 1:
-            return rows.select("level", "chunk", "counts")
+    return tree(rows, tasks, add).select("level", "chunk", "counts")
 
 
 def alive_bins(ids: DataFrame, bits: int, min_count: int) -> list[np.ndarray]:
@@ -252,7 +262,7 @@ def alive_bins(ids: DataFrame, bits: int, min_count: int) -> list[np.ndarray]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["level", "chunk", "bits"])
 
     out = [np.zeros(max(1, (1 << bits) // 8), np.uint8) for _ in range(2, LONGEST + 1)]
-    for r in sums.mapInArrow(bitmap, "level int, chunk int, bits binary").toLocalIterator():  # 2^bits bits a length in all
+    for r in sums.mapInArrow(bitmap, "level int, chunk int, bits binary").collect():  # 2^bits bits a length in all
         part = np.frombuffer(bytes(r["bits"]), np.uint8)
         own = out[r["level"] - 2][r["chunk"] * CHUNK // 8 :][: len(part)]
         own[:] = part[: len(own)]
@@ -260,39 +270,65 @@ def alive_bins(ids: DataFrame, bits: int, min_count: int) -> list[np.ndarray]:
 
 
 def candidates(ids: DataFrame, alive, bits: int) -> DataFrame:
-    """The distinct windows that are alive: `key`, their int32 numbers as bytes."""
+    """The distinct windows that are alive: `key`, their int32 numbers as bytes. Mappers give
+    arrays of them, cut by bin, and a tree brings those of all tasks together."""
+    cut = max(0, bits - 8)
 
     def run(batches):
         alive_now, held, size = alive.value, {k: [] for k in range(2, LONGEST + 1)}, 0
+        task = TaskContext.get().partitionId()
 
         def flush():
-            keys = []
-            for found in held.values():
-                if found:
-                    keys += [k.tobytes() for k in distinct(np.concatenate(found))]
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary())], names=["key"])
+            out = {k: [] for k in ("level", "chunk", "task", "places", "counts")}
+            for length, found in held.items():
+                if not found:
+                    continue
+                keys, bins = np.concatenate([k for k, _ in found]), np.concatenate([b for _, b in found])
+                first = distinct(keys)
+                first = first[np.argsort(bins[first] >> cut, kind="stable")]
+                chunks = bins[first] >> cut
+                cuts = np.flatnonzero(np.diff(chunks.astype(np.int64), prepend=-1))
+                for a, b in zip(cuts, np.append(cuts, len(first))[1:], strict=True):
+                    for name, v in zip(out, (length, int(chunks[a]), task, keys[first[a:b]].tobytes(), None), strict=True):
+                        out[name].append(v)
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
         for batch in batches:
             for raw in batch.column(0):
                 x = np.frombuffer(raw.as_buffer(), np.int32)
-                for length, at, _ in windows(x, bits, alive_now):
-                    own = distinct(x[at[:, None] + np.arange(length)])
-                    held[length].append(own)
-                    size += len(own)
+                for length, at, bins in windows(x, bits, alive_now):
+                    keys = x[at[:, None] + np.arange(length)]
+                    first = distinct(keys)
+                    held[length].append((keys[first], bins[first]))
+                    size += len(first)
                 if size > PENDING // 2:
                     yield flush()
                     held, size = {k: [] for k in held}, 0
         yield flush()
 
-    return ids.mapInArrow(lean(run), "key binary").distinct()
+    def unite(part: pa.Table):
+        keys = np.frombuffer(b"".join(part["places"].to_pylist()), np.int32).reshape(-1, part["level"][0].as_py())
+        return keys[distinct(keys)].tobytes(), None
+
+    def apart(batches):
+        for batch in batches:
+            for length, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                size = 4 * length
+                yield pa.RecordBatch.from_arrays([pa.array([packed[i : i + size] for i in range(0, len(packed), size)], pa.binary())], names=["key"])
+
+    united = tree(ids.mapInArrow(lean(run), PARTIAL), ids.rdd.getNumPartitions(), unite)
+    return united.select("level", "places").mapInArrow(apart, "key binary")
 
 
 def distinct(keys: np.ndarray) -> np.ndarray:
-    """Distinct rows: those alone under a hash, and of a hash's different rows all."""
+    """Places of the distinct rows: the first of each hash, and of a hash's different rows all."""
     h = perfect_hash.key_hash(keys, 1)
     _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    other = (keys[first[inverse]] != keys).any(axis=1)
-    return np.concatenate([keys[first], np.unique(keys[other], axis=0)]) if other.any() else keys[first]
+    other = np.flatnonzero((keys[first[inverse]] != keys).any(axis=1))
+    if not len(other):
+        return first
+    return np.concatenate([first, other[np.unique(keys[other], axis=0, return_index=True)[1]]])
 
 
 def wide(keys) -> np.ndarray:
@@ -337,7 +373,7 @@ def counted_phrases(ids: DataFrame, found: DataFrame, alive, bits: int, block_ke
             yield _partial({0: (some, total[some])})
 
         counts = np.zeros(-(-len(table_["keys"]) // CHUNK) * CHUNK, np.int64)
-        for r in tree_sum(ids.mapInArrow(lean(run), PARTIAL), tasks).toLocalIterator():  # 8 bytes a slot
+        for r in tree_sum(ids.mapInArrow(lean(run), PARTIAL), tasks).collect():  # 8 bytes a slot
             counts[r["chunk"] * CHUNK :][:CHUNK] = np.frombuffer(bytes(r["counts"]), np.int64)
         yield table_, counts[: len(table_["keys"])]
         shared.unpersist()
@@ -463,7 +499,7 @@ def collocations(
     totals = counts.where("word is null").select("lang", F.col("c").alias("n"))
     words = materialise(counts.where("word is not null").join(totals, "lang"), "collocation-words")
     total = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = max(14, min(max_bits, (6 * total // max(1, min_count)).bit_length()))
+    bits = max(14, min(max_bits, (12 * total // max(1, min_count)).bit_length()))
 
     ids = numbered(rows, words, block_bytes)
     discard(counts)
