@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import dims
 from loomline.functions import vectors as V
-from loomline.operators import metrics, stats
+from loomline.operators import metrics, neighbours, stats
 
 
 def cross_group_matrix(df: DataFrame, group: str, dim: int) -> DataFrame:
@@ -51,27 +51,10 @@ def silhouette(df: DataFrame, label: str, dim: int, by: tuple[str, ...] = (), ke
     return g.select(*by, label, key, ((F.col("_n") - F.col("_a")) / F.greatest("_a", "_n")).alias("silhouette"))
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, block_rows: int = 2_000, slice_rows: int = 50_000) -> DataFrame:
-    """The k rows of `right` (ref_id, ru) most similar to each of `left` (id, u).
-
-    `right`, a stated reference set, goes to the tasks in blocks of about block_rows rows,
-    slice_rows at a time: so many are broadcast at once, whatever its size. Of each block the
-    best k are kept, then the best k of all.
-    """
-    from pyspark.sql import Window
-
-    slices = max(1, -(-right.count() // slice_rows))
-    per = max(1, slice_rows // block_rows)
-    placed = right.withColumn("_b", F.pmod(F.xxhash64("ref_id"), F.lit(slices * per)).cast("int"))
-    blocks = placed.groupBy("_b").agg(F.collect_list(F.struct("ref_id", "ru")).alias("refs"))
-    sims = F.transform("refs", lambda r: F.struct((-F.round(V.dot(F.col("u"), r["ru"]), 9)).alias("d"), r["ref_id"].alias("ref_id")))
-    some = None
-    for n in range(slices):
-        own = left.withColumn("_b", F.explode(F.sequence(F.lit(n * per), F.lit((n + 1) * per - 1))))
-        got = own.join(F.broadcast(blocks.where(F.col("_b").between(n * per, (n + 1) * per - 1))), "_b").select("id", F.explode(F.slice(F.array_sort(sims), 1, k)).alias("x"))
-        some = got if some is None else some.union(got)
-    rn = F.row_number().over(Window.partitionBy("id").orderBy("x.d", "x.ref_id"))
-    return some.withColumn("rank", rn).where(F.col("rank") <= k).select("id", "rank", F.col("x.ref_id").alias("ref_id"), (-F.col("x.d")).alias("similarity"))
+def nearest(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """The k rows of `right` (ref_id, ru) most similar to each of `left` (id, u): id, rank,
+    ref_id, similarity; equal ones by ref_id. Edges and bounds as neighbours.search() says."""
+    return neighbours.search(left, right, k)[0]
 
 
 def classify(value: Column) -> Column:
