@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions import text as T
 from loomline.functions import vectors as V
+from loomline.sources.scratch import written
 
 
 def top(scores: dict[str, Column], k: int) -> Column:
@@ -47,25 +49,105 @@ def forced(personas: list[str], known: list[str]) -> Column:
     return F.array(*[F.struct(F.lit(p).alias("persona"), F.lit(1.0).alias("score")) for p in personas])
 
 
-def hysteresis(df: DataFrame, group: str, order: str, scores: dict[str, Column], margin: float = 0.05) -> DataFrame:
+def hysteresis(df: DataFrame, group: str, order: str, scores: dict[str, Column], margin: float = 0.05, segment: int = 4096) -> DataFrame:
     """(group, order, persona): the persona in force stays unless another's score is above
-    its own by the margin; the first row takes the best one. Null scores count as 0.
-
-    The state runs through a group, so a group's turns are folded in one row: narrow
-    structs of the order and a few scores, not the texts.
+    its own by the margin; the first row takes the best one. Null scores count as 0, a null
+    group is a group, and rows of equal order go by their scores.
+
+    A turn is a map from the persona in force before it to the one after it, and maps compose. So
+    turns are sorted into ranges and cut into segments of at most `segment`; segments are composed,
+    the states before them follow from the composed maps (cut into segments again where a group
+    has more than `segment` of them), and each segment is replayed from its own. No row, list or
+    task holds a group.
     """
     names = list(scores)
-    packed = F.array(*[F.round(F.coalesce(s.cast("double"), F.lit(0.0)), 9) for s in scores.values()])
-    turns = df.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), packed.alias("s")))).alias("t"))
-
-    def step(state, x):
-        best = F.array_position(x["s"], F.array_max(x["s"])).cast("int")
-        now = state["now"]
-        beaten = (now == 0) | (F.round(F.array_max(x["s"]) - F.element_at(x["s"], F.greatest(now, F.lit(1))), 9) > margin)
-        new = F.when(beaten, best).otherwise(now)
-        return F.struct(new.alias("now"), F.concat(state["all"], F.array(F.struct(x["o"].alias("o"), new.alias("p")))).alias("all"))
-
-    o_type = df.schema[order].dataType.simpleString()
-    start = F.struct(F.lit(0).alias("now"), F.array().cast(f"array<struct<o:{o_type},p:int>>").alias("all"))
-    run = turns.select(group, F.explode(F.aggregate("t", start, step, lambda s: s["all"])).alias("x"))
-    return run.select(group, F.col("x.o").alias(order), F.element_at(F.array(*[F.lit(n) for n in names]), F.col("x.p")).alias("persona"))
+    s = F.array(*[F.round(F.coalesce(x.cast("double"), F.lit(0.0)), 9) for x in scores.values()])
+    turns = df.select(F.col(group).alias("g"), F.col(order).alias("o"), s.alias("s"))
+    best = F.array_position("s", F.array_max("s")).cast("int")
+    beaten = F.transform("s", lambda x: F.round(F.array_max("s") - x, 9) > margin)
+    # The map as an array: from no persona (first) and from each.
+    to = F.concat(F.array(best), F.transform(beaten, lambda b, i: F.when(b, best).otherwise(i + 1)))
+    turns = turns.select("g", "o", "s", F.transform(to, lambda x: x.cast("int")).alias("map"))
+    after = _states(turns, ["o", "s"], segment)
+    return after.select(F.col("g").alias(group), F.col("o").alias(order), F.element_at(F.array(*[F.lit(n) for n in names]), F.col("after")).alias("persona"))
+
+
+def _states(rows: DataFrame, order: list[str], segment: int) -> DataFrame:
+    """rows (g, the order's columns, map) with `before` and `after`: the states before and after
+    each row of its group. Groups begin in state 0."""
+    kept = [c for c in rows.columns if c != "map"]
+    sorted_ = rows.repartitionByRange("g", *order).sortWithinPartitions("g", *order)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    cut = written(sorted_.mapInArrow(_segments(rows.columns.index("g"), rows.columns.index("map"), segment), f"{kinds}, seg long, place int, whole array<int>"), "route-segments")
+    whole = cut.where("whole is not null").select("g", F.col("seg").alias("o"), F.col("whole").alias("map"))
+    most = whole.groupBy("g").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > segment:
+        into = _states(whole, ["o"], segment).select(F.col("o").alias("seg"), F.col("before").alias("into"))
+    else:
+        into = _fold(whole).select("seg", "into")
+    replayed = cut.drop("whole").join(into, "seg").sortWithinPartitions("seg", "place")
+    out = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return replayed.select(*kept, "seg", "into", "map").mapInArrow(_replay(len(kept)), f"{out}, before int, after int")
+
+
+def _fold(whole: DataFrame) -> DataFrame:
+    """seg and the state into it, where a group has few segments."""
+    packed = whole.groupBy("g").agg(F.sort_array(F.collect_list(F.struct(F.col("o").alias("seg"), "map"))).alias("t"))
+    start = F.struct(F.lit(0).alias("now"), F.array().cast("array<struct<seg:bigint,into:int>>").alias("all"))
+    step = lambda a, x: F.struct(
+        F.element_at(x["map"], a["now"] + 1).alias("now"), F.concat(a["all"], F.array(F.struct(x["seg"].alias("seg"), a["now"].alias("into")))).alias("all")
+    )
+    return packed.select(F.explode(F.aggregate("t", start, step, lambda a: a["all"])).alias("x")).select("x.*")
+
+
+def _segments(g_at: int, map_at: int, segment: int):
+    """Sorted rows with the number and place of their segment, and on a segment's last row its
+    composed map. A segment is of one group and of at most `segment` rows."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        seg, place, group, composed, last = TaskContext.get().partitionId() << 40, -1, None, None, None
+        for batch in batches:
+            groups, maps = batch.column(g_at).to_pylist(), batch.column(map_at).to_pylist()
+            segs, places, whole = [], [], []
+            for g, m in zip(groups, maps, strict=True):
+                if place < 0 or g != group or place + 1 >= segment:
+                    if place >= 0:
+                        (whole if whole else last[2])[-1] = composed
+                        seg += 1
+                    group, place, composed = g, 0, list(m)
+                else:
+                    place, composed = place + 1, [m[x] for x in composed]
+                segs.append(seg)
+                places.append(place)
+                whole.append(None)
+            if last is not None:
+                yield _tagged(*last)
+            last = (batch, (segs, places), whole) if segs else last
+        if last is not None:
+            last[2][-1] = composed
+            yield _tagged(*last)
+
+    return run
+
+
+def _tagged(batch, tags, whole):
+    segs, places = tags
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(segs, pa.int64()), pa.array(places, pa.int32()), pa.array(whole, pa.list_(pa.int32()))], names=[*batch.schema.names, "seg", "place", "whole"])
+
+
+def _replay(kept: int):
+    def run(batches):
+        seg = now = None
+        for batch in batches:
+            before, after = [], []
+            for own, into, m in zip(batch.column(kept).to_pylist(), batch.column(kept + 1).to_pylist(), batch.column(kept + 2).to_pylist(), strict=True):
+                if own != seg:
+                    seg, now = own, into
+                before.append(now)
+                now = m[now]
+                after.append(now)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(before, pa.int32()), pa.array(after, pa.int32())], names=[*batch.schema.names[:kept], "before", "after"])
+
+    return run
