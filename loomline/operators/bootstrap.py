@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.functions.joins import null_join
 from loomline.sources.scratch import written
 
 
@@ -66,7 +67,7 @@ def bootstrap_split(diffs: DataFrame, resamples: int = 1000, by: tuple[str, ...]
     cells = F.greatest(F.lit(1), F.ceil(F.col("_k") / leaf)).cast("long")
     levels = F.when(cells > 1, F.length(F.bin(cells - 1))).otherwise(0)
     size = size.select(*by, "_n", "_mean", cells.alias("_cells"), levels.alias("_levels"))
-    dealt = _join(weights, size, by).withColumn("_cell", F.pmod(F.xxhash64("_d"), F.col("_cells")))
+    dealt = null_join(weights, size, by).withColumn("_cell", F.pmod(F.xxhash64("_d"), F.col("_cells")))
 
     # Sizes of the tree's nodes, then of both sides of every node on a cell's path.
     leaves = dealt.groupBy(*by, "_cell").agg(F.sum("_w").alias("_w"), F.first("_levels").alias("_levels"), F.first("_n").alias("_n"))
@@ -74,7 +75,7 @@ def bootstrap_split(diffs: DataFrame, resamples: int = 1000, by: tuple[str, ...]
     steps = leaves.where("_levels > 0").withColumn("_level", F.explode(F.sequence(F.lit(1), F.col("_levels"))))
     parent = F.call_function("shiftright", F.col("_cell"), F.col("_level"))
     sides = steps.select(*by, "_cell", "_n", F.col("_level").alias("_at"), (F.col("_level") - 1).alias("_level"), F.explode(F.array(2 * parent, 2 * parent + 1)).alias("_node"))
-    path = _join(sides, nodes, [*by, "_level", "_node"], "left").groupBy(*by, "_cell", "_at").agg(
+    path = null_join(sides, nodes, [*by, "_level", "_node"], "left").groupBy(*by, "_cell", "_at").agg(
         F.sum(F.when(F.col("_node") % 2 == 0, F.col("_size"))).alias("_left"), F.sum(F.when(F.col("_node") % 2 == 1, F.col("_size"))).alias("_right")
     )
     roots = leaves.select(*by, "_cell", F.lit(0).alias("_at"), F.col("_n").alias("_left"), F.lit(None).cast("long").alias("_right"))
@@ -93,16 +94,9 @@ def bootstrap_split(diffs: DataFrame, resamples: int = 1000, by: tuple[str, ...]
     each = dealt.select(*by, "_cell", "_d", "_w").groupBy(*by, "_cell").cogroup(path.groupBy(*path.columns[:-3])).applyInArrow(sums, f"{kinds}, _sums array<double>")
     total = each.select(*by, F.posexplode("_sums").alias("_r", "_s")).groupBy(*by, "_r").agg(F.sum("_s").alias("_s"))
     mean = F.round(F.col("_s") / F.col("_n"), 9)
-    wins = _join(total, size, by).groupBy(*by).agg(F.count(F.when(mean > 0, 1)).alias("_win"), F.count(F.when(mean < 0, 1)).alias("_loss"))
+    wins = null_join(total, size, by).groupBy(*by).agg(F.count(F.when(mean > 0, 1)).alias("_win"), F.count(F.when(mean < 0, 1)).alias("_loss"))
     base = dealt.groupBy(*by).agg(F.first("_mean").alias("mean_diff"), std.alias("_std"), F.first("_n").alias("n"))
     effect = F.when(F.col("_std") <= 1e-9, F.lit(0.0)).otherwise(F.col("mean_diff") / F.col("_std"))
-    return _join(base, wins, by).select(
+    return null_join(base, wins, by).select(
         *by, "mean_diff", (1 - F.col("_win") / resamples).alias("p_value"), (1 - F.col("_loss") / resamples).alias("p_loss"), effect.alias("effect_size"), "n"
     )
-
-
-def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """A join on keys of which null is a value."""
-    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
-    on = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys]
-    return left.join(renamed, on, how).drop(*[f"_r_{c}" for c in keys])

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.operators import ranks
+
 
 def summarise(obs: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """mean, sample standard deviation (0 for one value), n; nulls are left out."""
@@ -71,17 +73,10 @@ def bootstrap(diffs: DataFrame, resamples: int = 1000, by: tuple[str, ...] = ("m
     return base.join(means, list(by))
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    """Ranks with ties averaged."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2
-
-
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """rho, n and interpretation by group; fewer than three pairs are insufficient."""
-    ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", average_rank(x, by)).withColumn("_y", average_rank(y, by))
-    # corr() divides by zero for constant ranks; here they give null.
-    rho = F.covar_pop("_x", "_y") / F.nullif(F.stddev_pop("_x") * F.stddev_pop("_y"), F.lit(0.0))
-    g = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), rho.alias("rho"))
+    """rho, n and interpretation by group, of any size; fewer than three pairs are insufficient,
+    and constant ranks have no rho. Pairs with a null on either side don't count."""
+    g = ranks.rank_correlation(df, x, y, by)
     rho = F.when(F.col("n") >= 3, F.col("rho"))
     label = F.when(F.col("n") < 3, "insufficient").when(rho >= 0.8, "strong").when(rho >= 0.7, "good").when(rho >= 0.6, "moderate").otherwise("weak")
     return g.select(*by, "n", rho.alias("rho"), label.alias("interpretation"))
