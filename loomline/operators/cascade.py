@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import re
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import text as T
@@ -94,3 +96,46 @@ def keep_limited(df: DataFrame, order: str, limit: int, reason: str = "reason",
     inside = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     seen = F.col("_before") + F.sum("_k").over(inside) - F.col("_k")
     return rows.join(before, "_b").withColumn("_seen", seen).where(F.col("_seen") < limit).drop("_k", "_b", "_before", "_seen")
+
+
+def keep_first(spark: SparkSession, files: Sequence[str], read: Callable[[list[str]], DataFrame], rules: Sequence[Rule], limit: int) -> tuple[DataFrame, dict]:
+    """(rows up to and with the limit-th kept one, what was read), in the order of `files` and of
+    the rows in them, without reading files that this doesn't need.
+
+    read(paths) gives the rows of some files with their _metadata (any of Spark's file sources).
+    Files are read in runs: the first, then as many as the share of kept rows so far asks for, at
+    most as many as were read before. Each is read once to count, and those that count once more
+    by whoever uses the result. The report has files, files_read, runs and kept. Rows carry
+    `reason` (null: kept). limit 0, no files, or files without rows give no rows.
+    """
+    if limit < 0:
+        raise ValueError("limit must be 0 or more")
+    files, taken, kept, runs, parts = list(files), 0, 0, 0, []
+    while kept < limit and taken < len(files):
+        guess = taken if not kept else min(taken, math.ceil((limit - kept) * taken / kept))
+        some = files[taken : taken + max(1, guess)]
+        found = _placed(read(some), some, taken, rules).groupBy("_file", "_start").agg(F.count(F.when(F.col("reason").isNull(), 1)).alias("n")).collect()  # a row a split
+        parts += [(r["_file"], r["_start"], r["n"]) for r in found]
+        taken, kept, runs = taken + len(some), kept + sum(r["n"] for r in found), runs + 1
+    report = {"files": len(files), "files_read": taken, "runs": runs, "kept": min(kept, limit)}
+    if not files:
+        return spark.createDataFrame([], "reason string"), report
+    use = files[: max(1, taken)]
+    rows = _placed(read(use), use, 0, rules)
+    before, at = [], 0
+    for f, start, n in sorted(parts):
+        before.append((f, start, at))
+        at += n
+    before = spark.createDataFrame(before, "_file int, _start long, _before long")
+    own = Window.partitionBy("_file", "_start").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)  # of one split
+    seen = F.col("_before") + F.sum(F.when(F.col("reason").isNull(), 1).otherwise(0)).over(own) - F.when(F.col("reason").isNull(), 1).otherwise(0)
+    needed = rows.join(F.broadcast(before.where(F.col("_before") < limit)), ["_file", "_start"])  # a row a split of the files read
+    return needed.withColumn("_seen", seen).where(F.col("_seen") < limit).drop("_file", "_start", "_row", "_before", "_seen"), report
+
+
+def _placed(rows: DataFrame, files: list[str], first: int, rules: Sequence[Rule]) -> DataFrame:
+    """Rows with their reason, the number of their file, their split's start and their place in it."""
+    path = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^[a-z]+:/+", "/")
+    numbers = F.create_map(*[x for i, f in enumerate(files) for x in (F.lit("/" + re.sub("^[a-z]+:/+", "", f).lstrip("/")), F.lit(first + i))])
+    known = rows.select("*", numbers[path].alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
+    return with_reason(known, rules)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomline.functions import dims
 from loomline.functions import text as T
@@ -84,13 +86,14 @@ def score_with_cache(wanted: DataFrame, cache: DataFrame, key: list[str], prompt
     """(results, new cache rows). Cached answers are reused; each distinct miss is asked once,
     in batches on the executors, by call(prompts), which gives an answer for each.
 
-    The new rows are written to `path` (appended: a growing cache table) before anything is
-    returned, and both frames read what was written: however often they are used, the
-    scorer isn't asked again. A task that fails half-way is run again, its batch asked anew.
+    The new rows are written to `path` (a batch of the keyed cache, see AnswerCache) before
+    anything is returned, and both frames read what was written: however often they are used,
+    the scorer isn't asked again. A task that fails half-way is run again, its batch asked anew.
+    Whatever `cache` holds, a wanted row gets one answer: a cache with several rows of a key
+    gives its greatest answer.
     """
-    spark = wanted.sparkSession
     todo = cache_misses(wanted.select(*key, prompt).dropDuplicates(key), cache, key)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in todo.select(*key).schema.fields) + f", {value} string"
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in todo.select(*key).schema.fields)
 
     def run(batches):
         for pdf in batches:
@@ -101,20 +104,95 @@ def score_with_cache(wanted: DataFrame, cache: DataFrame, key: list[str], prompt
             out[value] = got
             yield out
 
-    batch = uuid.uuid4().hex
-    todo.mapInPandas(run, schema).withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch").parquet(path)
-    every = spark.read.schema(schema + ", batch string").parquet(path)
-    new = every.where(F.col("batch") == batch).drop("batch")
-    return wanted.join(cache.select(*key, value).unionByName(new), key, "left"), new
+    new = AnswerCache(wanted.sparkSession, path, kinds, f"{value} string").add(todo.mapInPandas(run, f"{kinds}, {value} string"))
+    known = cache.groupBy(*key).agg(F.max(value).alias(value))
+    return wanted.join(known.unionByName(new), key, "left"), new
+
+
+class AnswerCache:
+    """Answers by key, in batches under a folder that any number of jobs may write to.
+
+    A batch is a folder of its own, named by its time, and counts once Spark has marked it as
+    complete (_SUCCESS): what a killed writer leaves is never read. read() gives one row a key, the
+    answer of the latest batch that has one. compact() writes what is there as one batch, of the
+    time of the latest one in it, and deletes the batches it has read; a reader that meets
+    both sees the same answers, and later batches still win.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, value: str):
+        """key, value: columns as in "output_id string, rubric string"."""
+        self.spark, self.path, self.key, self.value = spark, path.rstrip("/"), key, value
+        self.keys = [f.name for f in StructType.fromDDL(key).fields]
+        self.schema = StructType.fromDDL(f"{key}, {value}")
+        self._folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._fs = self._folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _sub(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def batches(self) -> list[str]:
+        """Complete batches, the earliest first."""
+        if not self._fs.exists(self._folder):
+            return []
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._folder) if s.isDirectory())
+        return [n for n in names if n.startswith("batch-") and self._fs.exists(self._sub(f"{n}/_SUCCESS"))]
+
+    def _read(self, names: list[str]) -> DataFrame:
+        """key, the value's columns and the batch, as they were written."""
+        if not names:
+            return self.spark.createDataFrame([], self.schema).withColumn("_batch", F.lit(""))
+        # A batch that is compacted while it is being listed must not fail the reader.
+        rows = self.spark.read.schema(self.schema).option("ignoreMissingFiles", True).parquet(*[f"{self.path}/{n}" for n in names])
+        return rows.withColumn("_batch", F.regexp_extract(F.col("_metadata.file_path"), "/(batch-[^/]+)/[^/]*$", 1))
+
+    def _latest(self, rows: DataFrame) -> DataFrame:
+        rest = [f.name for f in self.schema.fields if f.name not in self.keys]
+        last = F.max(F.struct("_batch", *rest)).alias("_last")
+        return rows.groupBy(*self.keys).agg(last).select(*self.keys, *[F.col("_last")[c].alias(c) for c in rest])
+
+    def read(self) -> DataFrame:
+        """One row a key; no rows where there is no complete batch."""
+        return self._latest(self._read(self.batches()))
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Writes rows as a batch, and gives what was written. Keys are unique in a batch: of
+        several rows of a key the greatest answer is kept."""
+        name = f"batch-{time.time_ns():020d}-{uuid.uuid4().hex}"
+        rest = [f.name for f in self.schema.fields if f.name not in self.keys]
+        one = rows.groupBy(*self.keys).agg(F.max(F.struct(*rest)).alias("_v")).select(*self.keys, *[F.col("_v")[c].alias(c) for c in rest])
+        one.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}")
+
+    def compact(self) -> int:
+        """One batch in place of the complete ones there are; their number. Batches that other
+        jobs add meanwhile stay. If it is killed, the next one ends its work."""
+        names = self.batches()
+        if len(names) < 2:
+            return len(names)
+        to = f"{names[-1]}-all-{uuid.uuid4().hex}"
+        self._latest(self._read(names)).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.path}/{to}")
+        for n in names:
+            self._fs.delete(self._sub(n), True)
+        return len(names)
+
+    def sweep(self, older_than: float = 86_400.0) -> int:
+        """Deletes what writers have left incomplete for so many seconds; how many folders."""
+        if not self._fs.exists(self._folder):
+            return 0
+        whole, gone = set(self.batches()), 0
+        for s in self._fs.listStatus(self._folder):
+            name = s.getPath().getName()
+            if s.isDirectory() and name.startswith("batch-") and name not in whole and s.getModificationTime() / 1000 < time.time() - older_than:
+                gone += self._fs.delete(s.getPath(), True)
+        return gone
 
 
 def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The cache table that score_with_cache has written; empty if there is none yet."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema + ", batch string").parquet(path).drop("batch")
+    """What score_with_cache has written under `path`, one row a key (all columns of the schema
+    but the last); empty if there is nothing yet."""
+    columns = StructType.fromDDL(schema).fields
+    ddl = lambda fields: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
+    return AnswerCache(spark, path, ddl(columns[:-1]), ddl(columns[-1:])).read()
 
 
 def judge_all(outputs: DataFrame, rubrics: dict[str, str], call: Callable[[list[str]], list[str]], cache_path: str, needs_persona: tuple[str, ...] = ("persona_fidelity",)) -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from loomline.functions import dims
 from loomline.functions import text as T
 from loomline.functions import vectors as V
-from loomline.operators import corpus, embedding, judge, lexical, pairs, records, routing, stats
+from loomline.operators import cascade, corpus, embedding, judge, lexical, pairs, records, routing, stats
 from loomline.plans.registry import query, read
+from loomline.sources.scratch import files_of
 
 _TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 _WORDS = lambda c: rf"len(regexp_extract_all(coalesce({c}, ''), '\S+'))"
@@ -273,3 +274,20 @@ def embedded_cosine(spark, d):
     u = V.with_unit(embedding.embed(short, embedding.hash_embedder(_DIM), _DIM))
     g = V.group_sums(u, ["source", "lang"], _DIM)
     return g.select("source", "lang", "n", F.round(V.mean_pairwise(F.col("n"), F.col("S"), F.col("q")), 6).alias("cosine"))
+
+
+_EARLY = 200
+
+
+@query(f"""
+WITH a AS (SELECT doc_id, row_number() OVER () AS place, CASE WHEN {_WORDS("text")} < 80 THEN 'text_too_short' WHEN {_WORDS("text")} > 250 THEN 'text_too_long' END AS reason FROM documents),
+b AS (SELECT *, sum((reason IS NULL)::int) OVER (ORDER BY place) - (reason IS NULL)::int AS seen FROM a)
+SELECT doc_id, reason FROM b WHERE seen < {_EARLY}
+""")
+def early_stop_rows(spark, d):
+    """Documents in file order up to the 200th of 80 to 250 words; later files aren't read."""
+    n = T.n_words(F.col("text"))
+    rules = [("text_too_short", n < 80), ("text_too_long", n > 250)]
+    files = files_of(spark, f"{d}/documents.parquet", ".parquet")
+    rows, _ = cascade.keep_first(spark, files, lambda some: spark.read.parquet(*some), rules, _EARLY)
+    return rows.select("doc_id", "reason")

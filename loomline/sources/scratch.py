@@ -27,3 +27,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/loomline-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def files_of(spark: SparkSession, path: str, suffix: str = "") -> list[str]:
+    """The files of a folder (or the one file) in the order of their names, by Spark's own file
+    systems; names that begin with _ or . aren't data."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(where) if s.isFile()]
+    return sorted(str(p) for p in found if p.getName().endswith(suffix) and p.getName()[0] not in "_.")
