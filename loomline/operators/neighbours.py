@@ -27,20 +27,20 @@ def _matrix(column) -> np.ndarray:
 
 
 def _blocks(right: DataFrame, pivots: np.ndarray, block_rows: int, k: int) -> DataFrame:
-    """block, centre, radius, refs (ids), packed (the vectors, as bytes): one pass over `right`.
+    """block, g, centre, radius, refs (ids), packed (the vectors, as bytes): one pass over `right`.
     Of a block's references of one vector the first k are kept, for no more can be among the best."""
     spark, kind = right.sparkSession, right.schema["ref_id"].dataType.simpleString()
     shared = spark.sparkContext.broadcast(pivots)
 
     def nearest_pivot(batches):
         for batch in batches:
-            x, p = _matrix(batch.column(1)), shared.value
+            x, p = _matrix(batch.column(2)), shared.value
             at = (2 * x @ p.T - (p * p).sum(1)).argmax(1) if len(x) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], names=["ref_id", "ru", "pivot"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], names=["g", "ref_id", "ru", "pivot"])
 
-    dealt = written(right.select("ref_id", "ru").mapInArrow(nearest_pivot, f"ref_id {kind}, ru array<double>, pivot int"), "nearest-dealt")
-    parts = dealt.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))  # a row a pivot
-    cut = dealt.join(F.broadcast(parts), "pivot").withColumn("part", F.pmod(F.xxhash64("ref_id"), F.col("parts")).cast("int"))
+    dealt = written(right.select("g", "ref_id", "ru").mapInArrow(nearest_pivot, f"g string, ref_id {kind}, ru array<double>, pivot int"), "nearest-dealt")
+    parts = dealt.groupBy("g", "pivot").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
+    cut = dealt.join(parts, ["g", "pivot"]).withColumn("part", F.pmod(F.xxhash64("ref_id"), F.col("parts")).cast("int"))
 
     def pack(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("ref_id")
@@ -53,11 +53,12 @@ def _blocks(right: DataFrame, pivots: np.ndarray, block_rows: int, k: int) -> Da
         x, rows = x[few], rows.take(pa.array(few))
         centre = x.mean(0)
         radius = float(np.sqrt(((x - centre) ** 2).sum(1).max()))
-        block = rows["pivot"][0].as_py() * (1 << 32) + rows["part"][0].as_py()
+        g = rows["g"][0].as_py()
+        block = f"{rows['pivot'][0]} {rows['part'][0]} {g}"
         refs = pa.ListArray.from_arrays([0, len(x)], rows["ref_id"].combine_chunks())
-        return pa.table({"block": [block], "centre": [centre.tolist()], "radius": [radius], "refs": refs, "packed": pa.array([x.tobytes()], pa.binary())})
+        return pa.table({"block": [block], "g": [g], "centre": [centre.tolist()], "radius": [radius], "refs": refs, "packed": pa.array([x.tobytes()], pa.binary())})
 
-    return cut.groupBy("pivot", "part").applyInArrow(pack, f"block long, centre array<double>, radius double, refs array<{kind}>, packed binary")
+    return cut.groupBy("g", "pivot", "part").applyInArrow(pack, f"block string, g string, centre array<double>, radius double, refs array<{kind}>, packed binary")
 
 
 def _meet(asked: DataFrame, blocks: DataFrame, k: int, queries_a_task: int) -> DataFrame:
@@ -107,67 +108,86 @@ def _best(ids, u: np.ndarray, refs, x: np.ndarray, k: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), refs.take(pa.array(col)), pa.array(sims[row, col]), pa.array(met)], names=["id", "ref_id", "similarity", "met"])
 
 
-def search(left: DataFrame, right: DataFrame, k: int, block_rows: int = 2_000, pivots: int = 256, max_blocks: int = 20_000, queries_a_task: int = 50_000) -> tuple[DataFrame, DataFrame]:
+def search(left: DataFrame, right: DataFrame, k: int, by: bool = False, block_rows: int = 2_000, pivots: int = 256, max_blocks: int = 20_000, queries_a_task: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """(neighbours, work). neighbours: id, rank, ref_id, similarity of the k rows of `right`
     (ref_id, ru) of the greatest dot product with each of `left` (id, u); equal ones by ref_id.
     work: one row, the pairs that were computed and the pairs there are.
 
+    by: both sides have a string column g, and only rows of one g meet (a null meets none).
     Vectors of both sides have one dimension; null vectors are left out. `left` ids are unique.
     Fewer than k references give fewer rows, none give none. Blocks hold about block_rows
-    references, or more where max_blocks of them wouldn't do: what goes to every task, centre and
-    radius of each block, has that bound. Pivots are references of the least hash.
+    references, or more where max_blocks of them wouldn't do, and a block has one g: what goes to
+    every task, centre and radius of each block, has the bound of max_blocks and the g's times the
+    pivots. Pivots are references of the least hash.
     """
     spark = left.sparkSession
-    right = right.where("ru is not null").select("ref_id", F.col("ru").cast("array<double>").alias("ru"))
-    left = left.where("u is not null").select("id", F.col("u").cast("array<double>").alias("u"))
+    g = F.col("g") if by else F.lit("")
+    right = right.where("ru is not null").select(g.alias("g"), "ref_id", F.col("ru").cast("array<double>").alias("ru")).where("g is not null")
+    left = left.where("u is not null").select("id", F.col("u").cast("array<double>").alias("u"), g.alias("g")).where("g is not null")
     first = right.orderBy(F.xxhash64("ref_id"), "ref_id").limit(pivots).collect()
     shape = f"id {left.schema['id'].dataType.simpleString()}, rank int, ref_id {right.schema['ref_id'].dataType.simpleString()}, similarity double"
     if not first:
         return spark.createDataFrame([], shape), spark.createDataFrame([(0, 0)], "pairs long, of long")
     rows = right.count()
     blocks = written(_blocks(right, np.array([r["ru"] for r in first], float), max(block_rows, -(-rows // max_blocks)), k), "nearest-blocks")
-    known = blocks.select("block", "centre", "radius", F.size("refs").alias("n")).orderBy("block").collect()  # at most max_blocks and a few a pivot
-    # Any so many blocks hold k references: a query meets those of the greatest bounds first.
-    enough = min(len(known), 1 + int(np.searchsorted(np.cumsum(sorted(r["n"] for r in known)), k)))
-    shared = spark.sparkContext.broadcast((np.array([r["block"] for r in known]), np.array([r["centre"] for r in known]), np.array([r["radius"] for r in known])))
-
-    def bounds(u: np.ndarray) -> np.ndarray:
-        _, centre, radius = shared.value
-        return u @ centre.T + np.sqrt((u * u).sum(1))[:, None] * radius
+    known = blocks.select("block", "g", "centre", "radius", F.size("refs").alias("n")).orderBy("block").collect()
+    codes = {x: i for i, x in enumerate(sorted({r["g"] for r in known}))}
+    # Any so many blocks of one g hold k references: a query meets those of the greatest bounds first.
+    enough = max(min(len(v), 1 + int(np.searchsorted(np.cumsum(sorted(v)), k))) for v in _by_g(known).values())
+    shared = spark.sparkContext.broadcast(
+        (np.array([r["block"] for r in known], object), np.array([r["centre"] for r in known]), np.array([r["radius"] for r in known]), np.array([codes[r["g"]] for r in known]), codes)
+    )
+
+    def bounds(u: np.ndarray, gs: list) -> np.ndarray:
+        """Most that a query's product with a block's references can be; blocks of another g: -inf."""
+        _, centre, radius, of, codes = shared.value
+        own = np.array([codes.get(x, -1) for x in gs])
+        return np.where(own[:, None] == of[None], u @ centre.T + np.sqrt((u * u).sum(1))[:, None] * radius, -np.inf)
 
     def probed(bound: np.ndarray) -> np.ndarray:
         return np.argpartition(-bound, enough - 1, axis=1)[:, :enough] if enough < bound.shape[1] else np.tile(np.arange(bound.shape[1]), (len(bound), 1))
 
     id_kind = left.schema["id"].dataType.simpleString()
 
-    def best_first(batches):
-        for batch in batches:
-            u, names = _matrix(batch.column(1)), shared.value[0]
-            for a in range(0, len(u), 256):
-                at = probed(bounds(u[a : a + 256]))
-                rows = pa.array(np.repeat(np.arange(a, a + len(at)), enough))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(names[at.reshape(-1)])], names=["id", "u", "block"])
+    def asking(choose):
+        """Rows (id, u, g, ...) to (id, u, block) of the blocks that choose() marks."""
+
+        def run(batches):
+            for batch in batches:
+                u, gs, names = _matrix(batch.column(1)), batch.column(2).to_pylist(), shared.value[0]
+                for a in range(0, len(u), 256):
+                    bound = bounds(u[a : a + 256], gs[a : a + 256])
+                    row, col = np.nonzero(choose(bound, batch.slice(a, 256)) & np.isfinite(bound))
+                    for b in range(0, len(row), 4096):
+                        at = pa.array(row[b : b + 4096] + a)
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(names[col[b : b + 4096]], pa.string())], names=["id", "u", "block"])
+
+        return run
+
+    def best_first(bound, _):
+        out = np.zeros(bound.shape, bool)
+        np.put_along_axis(out, probed(bound), True, axis=1)
+        return out
 
-    asked = written(left.mapInArrow(best_first, f"id {id_kind}, u array<double>, block long"), "nearest-asked")
+    def rest(bound, batch):
+        low = np.nan_to_num(batch.column(3).to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)
+        return (bound >= low[:, None] - ROOM) & ~best_first(bound, None)
+
+    kinds = f"id {id_kind}, u array<double>, block string"
+    asked = written(left.mapInArrow(asking(best_first), kinds), "nearest-asked")
     found = written(_meet(asked, blocks, k, queries_a_task), "nearest-first")
     # The k-th best so far.
     kth = found.groupBy("id").agg(F.try_element_at(F.sort_array(F.collect_list("similarity"), asc=False), F.lit(k)).alias("least"))
-
-    def rest(batches):
-        for batch in batches:
-            u, least, names = _matrix(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False), shared.value[0]
-            for a in range(0, len(u), 256):
-                low, bound = np.nan_to_num(least[a : a + 256].astype(float), nan=-np.inf), bounds(u[a : a + 256])
-                able = bound >= low[:, None] - ROOM
-                np.put_along_axis(able, probed(bound), False, axis=1)
-                row, col = np.nonzero(able)
-                for b in range(0, len(row), 4096):
-                    at = pa.array(row[b : b + 4096] + a)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(names[col[b : b + 4096]])], names=["id", "u", "block"])
-
-    more = left.join(kth, "id", "left").select("id", "u", F.col("least").cast("double").alias("least")).mapInArrow(rest, f"id {id_kind}, u array<double>, block long")
+    more = left.join(kth, "id", "left").select("id", "u", "g", F.col("least").cast("double").alias("least")).mapInArrow(asking(rest), kinds)
     every = written(found.unionByName(_meet(written(more, "nearest-more"), blocks, k, queries_a_task)), "nearest-found")
     order = Window.partitionBy("id").orderBy(F.col("similarity").desc(), "ref_id")
     best = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "rank", "ref_id", "similarity")
-    work = every.agg(F.coalesce(F.sum("met"), F.lit(0)).alias("pairs")).withColumn("of", F.lit(rows) * F.lit(left.count()))
-    return best, work
+    of = left.groupBy("g").agg(F.count(F.lit(1)).alias("a")).join(right.groupBy("g").agg(F.count(F.lit(1)).alias("b")), "g").agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0)).alias("of"))
+    return best, every.agg(F.coalesce(F.sum("met"), F.lit(0)).alias("pairs")).crossJoin(of)  # a row each
+
+
+def _by_g(known) -> dict:
+    out: dict = {}
+    for r in known:
+        out.setdefault(r["g"], []).append(r["n"])
+    return out

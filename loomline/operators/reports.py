@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import dims
 from loomline.functions import vectors as V
+from loomline.functions.joins import null_join
 from loomline.operators import metrics, neighbours, stats
 
 
@@ -33,21 +34,25 @@ def intra_group_distance(df: DataFrame, by: list[str], dim: int) -> DataFrame:
     return g.select(*by, "n", (1 - V.mean_pairwise(F.col("n"), F.col("S"), F.col("q"))).alias("distance"))
 
 
-def silhouette(df: DataFrame, label: str, dim: int, by: tuple[str, ...] = (), key: str = "vec_id", labels: int = 512) -> DataFrame:
-    """Cosine silhouette of each point from label sums, within `by`; singletons are left out.
-    Columns: by, label, key, silhouette. df has u and a unique key.
+def silhouette(df: DataFrame, label: str, dim: int, by: tuple[str, ...] = (), key: str = "vec_id") -> DataFrame:
+    """Cosine silhouette of each point from label sums, within `by`; singletons are left out, and
+    so are null labels. Columns: by, label, key, silhouette. df has u and a unique key.
 
-    Label sums go to the points in blocks of about `labels`, each of which gives a point its
-    nearest other label; a point's minimum over the blocks is a partial aggregate.
+    A point's mean distance to a label is one less its product with the label's mean vector, so
+    its nearest other label is one of its two nearest mean vectors: an exact search, in which a
+    point meets only the blocks of labels that can be nearest, however many labels there are.
     """
+    df = df.where(F.col(label).isNotNull())
+    g = F.to_json(F.struct(*by)) if by else F.lit("")
     s = V.group_sums(df, [*by, label], dim)
-    blocks = max(1, -(-s.count() // labels))
-    packed = s.withColumn("_b", F.pmod(F.xxhash64(label), F.lit(blocks)).cast("int")).groupBy(*by, "_b").agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col("n"), F.col("S"))).alias("_near"))
-    rows = df.select(*by, label, key, "u").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, [*by, "_b"])
-    near = F.array_min(F.transform(F.filter("_near", lambda x: x["l"] != F.col(label)), lambda x: 1 - V.dot(F.col("u"), x["S"]) / x["n"]))
-    own = F.try_element_at(F.filter("_near", lambda x: x["l"] == F.col(label)), F.lit(1))
-    a = 1 - (V.dot(F.col("u"), own["S"]) - V.dot(F.col("u"), F.col("u"))) / F.nullif(own["n"] - 1, F.lit(0))
-    g = rows.groupBy(*by, label, key).agg(F.max(a).alias("_a"), F.min(near).alias("_n")).where("_a is not null and _n is not null and greatest(_a, _n) > 1e-9")
+    means = s.select(g.alias("g"), F.col(label).alias("ref_id"), F.transform("S", lambda x: x / F.col("n")).alias("ru"))
+    near, _ = neighbours.search(df.select(F.col(key).alias("id"), "u", g.alias("g")), means, 2, by=True)
+    own = F.col("u")
+    points = null_join(df.select(*by, label, key, "u"), s.select(*by, label, "n", "S"), [*by, label])
+    a = 1 - (V.dot(own, F.col("S")) - V.dot(own, own)) / F.nullif(F.col("n") - 1, F.lit(0))
+    rows = points.select(*by, label, key, a.alias("_a")).join(near.select(F.col("id").alias(key), "ref_id", "similarity"), key)
+    other = F.min(F.when(F.col("ref_id") != F.col(label), 1 - F.col("similarity")))
+    g = rows.groupBy(*by, label, key).agg(F.max("_a").alias("_a"), other.alias("_n")).where("_a is not null and _n is not null and greatest(_a, _n) > 1e-9")
     return g.select(*by, label, key, ((F.col("_n") - F.col("_a")) / F.greatest("_a", "_n")).alias("silhouette"))
 
 

@@ -67,3 +67,37 @@ def test_edges(spark):
     assert run(spark, [], [(5, [0.5, 0.5])], 3)[0] == []
     frames = spark.createDataFrame([(1, None), (2, [1.0])], LEFT), spark.createDataFrame([("b", None), ("a", [2.0])], "ref_id string, ru array<double>")
     assert [tuple(r) for r in neighbours.search(*frames, 1)[0].collect()] == [(2, 1, "a", 2.0)]
+
+
+def test_groups_meet_only_themselves(spark):
+    r = np.random.default_rng(1)
+    left = [(i, "ab"[i % 2] if i % 5 else None, v.tolist()) for i, v in enumerate(unit(r.normal(size=(60, 5))))] + [(99, "c", [1.0] * 5)]
+    right = [(j, "ab"[j % 2], v.tolist()) for j, v in enumerate(unit(r.normal(size=(90, 5))))]
+    got, work = neighbours.search(spark.createDataFrame(left, "id int, g string, u array<double>"), spark.createDataFrame(right, "ref_id int, g string, ru array<double>"), 3, by=True, block_rows=6, pivots=5)
+    want = [x for g in "ab" for x in brute([(i, u) for i, h, u in left if h == g], [(j, v) for j, h, v in right if h == g], 3)]
+    same(sorted((x["id"], x["rank"], x["ref_id"], x["similarity"]) for x in got.collect()), sorted(want))
+    assert work.first()["of"] == 48 * 45
+
+
+def test_silhouette_of_many_labels(spark):
+    """Thousands of labels: equal to all pairs of points on a sample, and no point meets all labels."""
+    from loomline.functions import vectors as V
+    from loomline.operators import reports
+
+    r = np.random.default_rng(7)
+    centres = unit(r.normal(size=(40, 8)))
+    means = unit(centres[r.integers(0, 40, 3_000)] + 0.1 * r.normal(size=(3_000, 8)))
+    label = r.integers(0, 3_000, 9_000)
+    points = unit(means[label] + 0.05 * r.normal(size=(9_000, 8)))
+    df = spark.createDataFrame([(k, int(c), v.tolist()) for k, (c, v) in enumerate(zip(label, points, strict=True))], "vec_id int, label int, embedding array<double>")
+    got = {x["vec_id"]: x["silhouette"] for x in reports.silhouette(V.with_unit(df), "label", 8).collect()}
+    sums, n = np.zeros((3_000, 8)), np.bincount(label, minlength=3_000)
+    np.add.at(sums, label, points)
+    for k in range(0, 9_000, 37):
+        c = label[k]
+        if n[c] < 2:
+            assert k not in got
+            continue
+        dist = 1 - points[k] @ (sums / np.maximum(n, 1)[:, None]).T
+        a, b = 1 - (points[k] @ sums[c] - 1) / (n[c] - 1), min(d for j, d in enumerate(dist) if j != c and n[j])
+        assert got[k] == pytest.approx((b - a) / max(a, b), abs=1e-6)
