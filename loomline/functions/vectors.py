@@ -13,8 +13,9 @@ def dot(a: Column, b: Column) -> Column:
 def unit(v: Column) -> Column:
     """The vector over its norm; a vector of almost no length becomes zeros."""
     d = F.transform(v, lambda x: x.cast("double"))
-    norm = F.sqrt(dot(d, d))
-    return F.transform(d, lambda x: F.when(norm < 1e-9, F.lit(0.0)).otherwise(x / norm))
+    # A list of one binds the norm: inside transform(d, ...) it would be taken anew for each value.
+    held = F.array(F.struct(d.alias("d"), F.sqrt(dot(d, d)).alias("n")))
+    return F.transform(held, lambda h: F.transform(h["d"], lambda x: F.when(h["n"] < 1e-9, F.lit(0.0)).otherwise(x / h["n"])))[0]
 
 
 def dimension(df: DataFrame, col: str) -> int:

@@ -118,17 +118,19 @@ def search(left: DataFrame, right: DataFrame, k: int, by: bool = False, block_ro
     Fewer than k references give fewer rows, none give none. Blocks hold about block_rows
     references, or more where max_blocks of them wouldn't do, and a block has one g: what goes to
     every task, centre and radius of each block, has the bound of max_blocks and the g's times the
-    pivots. Pivots are references of the least hash.
+    pivots. Pivots, one for block_rows references and at most `pivots`, are those of the least hash.
     """
     spark = left.sparkSession
     g = F.col("g") if by else F.lit("")
     right = right.where("ru is not null").select(g.alias("g"), "ref_id", F.col("ru").cast("array<double>").alias("ru")).where("g is not null")
+    right = written(right, "nearest-right")
     left = left.where("u is not null").select("id", F.col("u").cast("array<double>").alias("u"), g.alias("g")).where("g is not null")
-    first = right.orderBy(F.xxhash64("ref_id"), "ref_id").limit(pivots).collect()
+    left = written(left, "nearest-left")
+    rows = right.count()
+    first = right.orderBy(F.xxhash64("ref_id"), "ref_id").limit(min(pivots, -(-rows // block_rows))).collect() if rows else []
     shape = f"id {left.schema['id'].dataType.simpleString()}, rank int, ref_id {right.schema['ref_id'].dataType.simpleString()}, similarity double"
     if not first:
         return spark.createDataFrame([], shape), spark.createDataFrame([(0, 0)], "pairs long, of long")
-    rows = right.count()
     blocks = written(_blocks(right, np.array([r["ru"] for r in first], float), max(block_rows, -(-rows // max_blocks)), k), "nearest-blocks")
     known = blocks.select("block", "g", "centre", "radius", F.size("refs").alias("n")).orderBy("block").collect()
     codes = {x: i for i, x in enumerate(sorted({r["g"] for r in known}))}
