@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,21 +46,55 @@ def with_minmax(df: DataFrame, x: str, pool: list[str], out: str = "score") -> D
     return df.join(g, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(pool, keys, strict=True)]).select(*df.columns, value.alias(out))
 
 
-def with_quality(df: DataFrame, pool: list[str], score_batch: Callable[[str, list[str]], list[float]], prompt: str = "prompt", order: str = "doc_id", text: str = "text") -> DataFrame:
-    """`quality` by an external scorer, asked once for a pool with all its texts, in order.
-    A number of scores other than that of the texts is an error. A pool (the candidates of one
-    prompt) is in one task's memory."""
-    schema = df.withColumn("quality", F.lit(0.0)).schema
+def with_quality(df: DataFrame, pool: list[str], score_batch: Callable[[str, list[str]], list[float]], prompt: str = "prompt", order: str = "doc_id", text: str = "text", batch_rows: int = 1024, batch_bytes: int = 8 << 20) -> DataFrame:
+    """`quality` by an external scorer, asked with a pool's prompt and texts, in order.
 
-    def run(pdf):
-        pdf = pdf.sort_values(order)
-        got = score_batch(pdf[prompt].iloc[0], pdf[text].tolist())
-        if len(got) != len(pdf):
-            raise ValueError(f"{len(got)} scores for {len(pdf)} candidates")
-        pdf["quality"] = [float(x) for x in got]
-        return pdf[[f.name for f in schema.fields]]
-
-    return df.groupBy(*pool).applyInPandas(run, schema)
+    A pool of at most batch_rows rows and batch_bytes of text is asked about once, with all its
+    texts; a larger one in slices of so many, each slice in order, by as many tasks as its rows
+    need. A task holds one slice. A number of scores other than that of the texts is an error, and
+    so is a score that isn't a number. Null texts are asked about as empty. A null in `pool` is a
+    pool, and rows of equal order stand in any order. `quality` of the input, if any, is replaced.
+    """
+    df = df.drop("quality")
+    keys = [f"_pool_{k}" for k in range(len(pool))]
+    size = df.groupBy(*[F.col(c).alias(k) for c, k in zip(pool, keys, strict=True)]).agg(F.count(F.lit(1)).alias("_rows"))
+    large = size.where(F.col("_rows") > batch_rows).drop("_rows").withColumn("_large", F.lit(True))
+    marked = df.join(large, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(pool, keys, strict=True)], "left").drop(*keys)
+    # Small pools have one key, so that no range cuts them; large ones may be cut anywhere.
+    cut = F.when(F.col("_large"), F.col(order))
+    ranged = marked.withColumn("_cut", cut).repartitionByRange(*pool, "_cut").sortWithinPartitions(*pool, order).drop("_large", "_cut")
+    at = {c: df.columns.index(c) for c in (*pool, prompt, text)}
+
+    def run(batches):
+        held, key, rows, size = [], None, 0, 0  # slices of batches, all of one pool
+
+        def scored():
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            texts = [t or "" for t in whole.column(at[text]).to_pylist()]
+            got = [float(x) for x in score_batch(whole.column(at[prompt])[0].as_py(), texts)]
+            if len(got) != len(texts):
+                raise ValueError(f"{len(got)} scores for {len(texts)} candidates")
+            if any(x != x for x in got):
+                raise ValueError("a score that isn't a number")
+            return pa.RecordBatch.from_arrays([*whole.columns, pa.array(got, pa.float64())], names=[*whole.schema.names, "quality"])
+
+        for batch in batches:
+            of = list(zip(*[batch.column(at[c]).to_pylist() for c in pool], strict=True))
+            lengths = [len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(at[text])]
+            start = 0
+            for i in range(len(batch)):
+                if (rows or i > start) and (of[i] != key or rows + i - start >= batch_rows or size + lengths[i] > batch_bytes):
+                    if i > start:
+                        held.append(batch.slice(start, i - start))
+                    yield scored()
+                    held, rows, size, start = [], 0, 0, i
+                key, size = of[i], size + lengths[i]
+            held.append(batch.slice(start))
+            rows += len(batch) - start
+        if rows:
+            yield scored()
+
+    return ranged.mapInArrow(run, df.withColumn("quality", F.lit(0.0)).schema)
 
 
 def skip_reason(df: DataFrame, group: list[str], min_quality: float, quality_weight: float, rarity_weight: float, order: str, min_margin: float = 0.0) -> DataFrame:

@@ -47,7 +47,7 @@ def _checked(spark: SparkSession, path: str | list[str], schema: str, check=None
 def _holding(rows: DataFrame) -> DataFrame:
     """The rows, behind a filter that fails at a wrong line. A filter decides how many rows there
     are, so no optimiser can leave it out, whatever columns (or none) are asked for."""
-    said = F.concat(F.col("_why"), F.lit(" in "), F.col("file"), F.lit(" "), F.col("place"), F.lit(": "), F.left("value", F.lit(200)))
+    said = F.concat(F.lit("malformed line: "), F.col("_why"), F.lit(" in "), F.col("file"), F.lit(" "), F.col("place"), F.lit(": "), F.left("value", F.lit(200)))
     held = rows.where(F.when(F.col("_why").isNull(), F.lit(True)).otherwise(F.raise_error(said).cast("boolean")))
     return held.drop("value", "file", "place", "_why")
 
