@@ -20,19 +20,22 @@ from pyspark.sql import functions as F
 from .common import materialise, scratch, table, tune, utf8
 
 CHUNK = 1 << 20
+#: Parts that a payload's rows are dealt over where the payloads that occur again can't be broadcast.
+SALTS = 32
 
 
-def record(kind: str, page_id: str | None, url: str | None, payload: bytes, digest: str, n: int, refers_to: str | None, date: str) -> bytes:
-    """An uncompressed record; a revisit's block has the HTTP header but no payload."""
+def record(kind: str, page_id: str | None, url: str | None, payload: bytes, digest: str, n: int, refers_to: str | None, date: str, row: int = 0, of_row: int = 0) -> bytes:
+    """An uncompressed record; a revisit's block has the HTTP header but no payload. row, of_row:
+    numbers of the page's row and of that it refers to, which tell rows of one id apart."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % n
     block = http + (payload if kind == "response" else b"")
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <{_urn(page_id)}>",
+        f"WARC-Record-ID: <{_urn(page_id, row)}>",
         f"WARC-Date: {date}",
         *([f"WARC-Target-URI: {quote(url, safe=_PRINTED)}"] if url is not None else []),
-        *([f"WARC-Refers-To: <{_urn(refers_to)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if kind == "revisit" else []),
+        *([f"WARC-Refers-To: <{_urn(refers_to, of_row)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if kind == "revisit" else []),
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
         "Content-Type: application/http; msgtype=response",
@@ -44,12 +47,12 @@ def record(kind: str, page_id: str | None, url: str | None, payload: bytes, dige
 _PRINTED = "".join(chr(c) for c in range(33, 127))
 
 
-def _urn(page_id: str | None) -> str:
-    return "urn:page" if page_id is None else f"urn:page:{quote(page_id, safe='')}"
+def _urn(page_id: str | None, row: int) -> str:
+    return f"urn:row:{row}" if page_id is None else f"urn:page:{quote(page_id, safe='')}:{row}"
 
 
 def _page(urn: str | None) -> str | None:
-    return unquote(urn[10:-1]) if urn and urn.startswith("<urn:page:") else None
+    return unquote(urn[10:-1].rpartition(":")[0]) if urn and urn.startswith("<urn:page:") else None
 
 
 def read_members(stream) -> Iterator[bytes]:
@@ -105,6 +108,7 @@ def write_warc(
     dedup_bytes: int = 100,
     archive_bytes: int = 64 << 20,
     date: str = "1970-01-01T00:00:00Z",
+    max_broadcast: int = 200_000,
 ) -> DataFrame:
     """Write a record for each row to .warc.gz files under `path`; return their manifest.
 
@@ -115,27 +119,41 @@ def write_warc(
 
     Null payloads count as empty, a null url leaves its header out. A null id is larger
     than any other, so its record revisits any equal payload; if all ids of a payload are
-    null, or rows tie on the smallest id, each such row is a response. No rows, no files.
+    null, or rows tie on the smallest id, each such row is a response. Record ids have the row's
+    number in the input's plan behind the page's id, so repeated and null ids give different ones, and
+    a revisit names one response's. No rows, no files.
+
+    Payloads are written where they are read: what is joined to them, a row for each payload that
+    occurs twice or more, is broadcast up to max_broadcast rows; beyond that payloads are
+    shuffled by digest, each digest dealt over SALTS parts.
     """
     tune(pages.sparkSession)
     rows = pages.select(
         F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), utf8(F.col(payload_col)).alias("_body")
-    ).select("*", F.sha2("_body", 256).alias("_sha"), F.length("_body").cast("long").alias("_n"))
+    ).select("*", F.sha2("_body", 256).alias("_sha"), F.length("_body").cast("long").alias("_n"), F.monotonically_increasing_id().alias("_row"))
     firsts = (
         rows.where(F.col("_n") >= dedup_bytes)
         .groupBy("_sha")
-        .agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_c"))
-        .where("_c > 1 and _first is not null")
-        .drop("_c")
+        .agg(F.min(F.when(F.col("_id").isNotNull(), F.struct("_id", "_row"))).alias("_f"), F.count(F.lit(1)).alias("_c"))
+        .where("_c > 1 and _f is not null")
+        .select("_sha", F.col("_f._id").alias("_first"), F.col("_f._row").alias("_first_row"))
     )
+    firsts = materialise(firsts, "warc-firsts")
+    if firsts.count() <= max_broadcast:
+        joined = rows.join(F.broadcast(firsts), "_sha", "left")
+    else:
+        salted = firsts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("_salt", F.pmod("_row", F.lit(SALTS)).cast("int")).join(salted, ["_sha", "_salt"], "left")
     again = ~F.col("_id").eqNullSafe(F.col("_first")) & F.col("_first").isNotNull()
-    todo = rows.join(firsts, "_sha", "left").select(
+    todo = joined.select(
         F.col("_id").cast("string"),
         "_url",
         F.when(~again, F.col("_body")).otherwise(F.lit(b"")).alias("_body"),
         "_sha",
         "_n",
         F.when(again, F.col("_first")).cast("string").alias("_ref"),
+        "_row",
+        F.when(again, F.col("_first_row")).alias("_ref_row"),
     )
 
     def write(batches):
@@ -146,13 +164,13 @@ def write_warc(
         made = count = size = 0
         out: list[tuple] = []
         for batch in batches:
-            for page_id, url, body, sha, n, ref in zip(*(batch.column(i) for i in range(6)), strict=True):
+            for page_id, url, body, sha, n, ref, row, ref_row in zip(*batch.columns, strict=True):
                 if sink is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     store.create_dir(root, recursive=True)
                     sink, count, size = store.open_output_stream(f"{root}/{name}", compression=None), 0, 0
                 ref = ref.as_py()
-                raw = record("response" if ref is None else "revisit", page_id.as_py(), url.as_py(), body.as_py(), sha.as_py(), n.as_py(), ref, date)
+                raw = record("response" if ref is None else "revisit", page_id.as_py(), url.as_py(), body.as_py(), sha.as_py(), n.as_py(), ref, date, row.as_py(), ref_row.as_py() or 0)
                 deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
                 data = deflate.compress(raw) + deflate.flush()
                 sink.write(data)
@@ -215,6 +233,7 @@ def read_warc(manifest: DataFrame, path_col: str = "path", payload: bool = True)
 
 
 def op7_warc(spark, sf_dir):
+    """Writes `pages` as archives and reads them back; edge cases as write_warc() and read_warc() say."""
     pages = table(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType
     manifest = write_warc(pages, scratch(spark, "warc"))
