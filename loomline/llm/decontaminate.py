@@ -8,14 +8,15 @@ character offsets of the original text.
 
 from __future__ import annotations
 
-import uuid
 import re
+import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, once_a_worker, table, tune, utf8
+from .common import discard, lean, materialise, once_a_worker, table, tune, utf8
 
 #: ASCII bytes that are no letter or digit end a word; A-Z become a-z; other bytes stay.
 FOLD = bytes(
@@ -73,13 +74,14 @@ def char_offsets(text: bytes, spans: list[list[int]]) -> list[tuple[int, int]]:
     return [(len(text[: at[a][0]].decode()), len(text[: at[b - 1][1]].decode())) for a, b in spans]
 
 
-def _blocks(bench: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks of about block_bytes; each block becomes one automaton."""
+def _blocks(bench: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
+    """The number of blocks of about block_bytes, and their items, a block at a time: the driver
+    holds no more than one. Each block becomes one automaton."""
     rows = bench.select(F.col(id_col).cast("string").alias("i"), utf8(F.col(text_col)).alias("t")).where("i is not null")
     total = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     n = max(1, -(-total // block_bytes))
     part = F.pmod(F.xxhash64("i"), F.lit(n))
-    return [[(r["i"], bytes(r["t"])) for r in rows.where(part == k).orderBy("i", "t").collect()] for k in range(n)]
+    return n, ([(r["i"], bytes(r["t"])) for r in rows.where(part == k).orderBy("i", "t").toLocalIterator()] for k in range(n))
 
 
 def decontaminate(
@@ -98,8 +100,9 @@ def decontaminate(
     sorted, of items with an occurring window), spans (start, end: characters of the
     original text, merged).
 
-    The automaton is broadcast; its items are cut into blocks of about block_bytes, each
-    scanned by an automaton of its own, so what is broadcast at once has a bound. Null and
+    The items are cut into blocks of about block_bytes, each scanned by an automaton of its own.
+    Of several blocks one after the other is collected, broadcast, scanned for and dropped, its
+    hits written, so that driver and tasks hold one block however large the benchmark is. Null and
     empty texts have no words; items without words or id match nothing; repeated items
     count by id; rows and other columns pass unchanged; empty tables give empty results.
     """
@@ -110,8 +113,16 @@ def decontaminate(
     out = docs.withColumn(
         out_col, F.lit(None).cast("struct<n_words:long,n_hit:long,items:array<string>,spans:array<struct<start:int,end:int>>>")
     )
-    for block in _blocks(bench, item_id_col, item_text_col, block_bytes):
-        out = _pass(out, text_col, spark.sparkContext.broadcast(block), window)
+    n, blocks = _blocks(bench, item_id_col, item_text_col, block_bytes)
+    for k, block in enumerate(blocks):
+        shared, before = spark.sparkContext.broadcast(block), out
+        del block
+        out = _pass(out, text_col, shared, window)
+        if n > 1:
+            out = materialise(out, "decontaminate")
+            shared.destroy()
+            if k:
+                discard(before)
     return out
 
 
@@ -153,6 +164,7 @@ def _merged(a: dict, b: dict, raw: bytes) -> dict:
 
 
 def op10_decontaminate(spark, sf_dir):
+    """Hits of ten-word windows of `benchmark` in `documents`; edge cases as decontaminate() says."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     h = F.col("hits")
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(
