@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]"
 
 
 def best_boundaries(histogram: Sequence[tuple[int, int]], buckets: int) -> list[int]:
@@ -79,6 +79,7 @@ def pack(
     buckets: int = 16,
     budget: int = 65_536,
     shard_rows: int = 50_000,
+    text_out: str | None = None,
 ) -> DataFrame:
     """Assign each document's sequences to batches; one row per sequence.
 
@@ -89,6 +90,10 @@ def pack(
     slot (place in the batch), padding. A batch's rows times bucket_tokens is at most
     `budget` (at least one row); only the last batch of a bucket may be less than full.
 
+    text_out: name of a further column with each sequence's own text: its words, with the white
+    space before them, and in the last sequence that after the last word; a document's
+    sequences, joined, are its text. It needs the default length.
+
     Rows are numbered in shards of about shard_rows rows, then shifted by the shards'
     offsets, so no task sees a whole bucket. Null or negative lengths count as 0; a
     document of length 0 is one empty sequence. Null texts are empty. Repeated rows, ids
@@ -98,9 +103,18 @@ def pack(
     if budget < 1 or max_tokens < 1 or buckets < 1:
         raise ValueError("max_tokens, buckets and budget must be positive")
     n = words_and_end(F.col(text_col)) if length is None else F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long")
+    if text_out is not None and length is not None:
+        raise ValueError("text_out needs tokens that are words: leave out length")
     last = F.greatest(F.ceil(F.col("_n") / F.lit(max_tokens)) - 1, F.lit(0)).cast("int")
-    seq = docs.select(F.col(id_col).alias("_id"), n.alias("_n")).withColumn("_q", F.explode(F.sequence(F.lit(0), last)))
-    seq = seq.select("_id", "_q", F.least(F.col("_n") - F.col("_q") * F.lit(max_tokens), F.lit(max_tokens)).cast("int").alias("_len"))
+    if text_out is None:
+        seq = docs.select(F.col(id_col).alias("_id"), n.alias("_n")).withColumn("_q", F.explode(F.sequence(F.lit(0), last)))
+    else:
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        parts = docs.select(F.col(id_col).alias("_id"), n.alias("_n"), F.regexp_extract_all(text, F.lit(f"{SPACE}*{WORD}"), F.lit(0)).alias("_w"), F.regexp_extract(text, f"{SPACE}*$", 0).alias("_tail"))
+        cut = lambda q: F.struct(q.alias("q"), F.concat(F.array_join(F.slice("_w", q * max_tokens + 1, F.lit(max_tokens)), ""), F.when(q == last, F.col("_tail")).otherwise("")).alias("t"))
+        seq = parts.select("_id", "_n", F.explode(F.transform(F.sequence(F.lit(0), last), cut)).alias("_x")).select("_id", "_n", F.col("_x.q").alias("_q"), F.col("_x.t").alias("_text"))
+    own_text = [] if text_out is None else ["_text"]
+    seq = seq.select("_id", "_q", F.least(F.col("_n") - F.col("_q") * F.lit(max_tokens), F.lit(max_tokens)).cast("int").alias("_len"), *own_text)
     # Written with a number of its own for each row, so that repeated ids are dealt out too.
     seq = materialise(seq.withColumn("_row", F.monotonically_increasing_id()), "packing-lengths")
 
@@ -138,9 +152,11 @@ def pack(
             F.floor(at / F.col("_per")).cast("long").alias("batch"),
             (at % F.col("_per")).cast("int").alias("slot"),
             (F.col("_bound") - F.col("_len")).alias("padding"),
+            *[F.col("_text").alias(text_out) for _ in own_text],
         )
     )
 
 
 def op6_packing(spark, sf_dir):
+    """Sequences of `documents` in buckets and batches; edge cases as pack() says."""
     return pack(table(spark, sf_dir, "documents"))
