@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import decontaminate, exact_dedup, ngram_join, packing, toxicity
-from loomline.llm.common import discard, fresh, materialise, table
+from . import decontaminate, exact_dedup, ngram_join, packing, toxicity
+from .common import discard, fresh, materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

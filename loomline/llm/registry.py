@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import collocations, decontaminate, exact_dedup, filter_audit, html_extract, license_scan, lm_score, ngram_join, packing, quality, quality_rules, toxicity, warc
+from . import collocations, decontaminate, exact_dedup, filter_audit, html_extract, license_scan, lm_score, ngram_join, packing, pipeline, quality, quality_rules, toxicity, warc
 
 
 def queries() -> dict:
     return {
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
         "op1_quality": quality.op1_quality,
         "op2_ngram_join": ngram_join.op2_ngram_join,
         "op3_lm_score": lm_score.op3_lm_score,
