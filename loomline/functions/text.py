@@ -68,6 +68,6 @@ def slug(t: Column) -> Column:
 
 def truncate_claim(t: Column, sentences: int) -> Column:
     """Keep the first sentences of a claim that carries the prefix; other texts stay."""
-    body = F.regexp_replace(F.substr(t, F.lit(len(CLAIM_PREFIX) + 1)), r"^\s+|\s+$", "")
-    short = F.array_join(F.slice(F.split(body, r"(?<=[.!?])\s+"), 1, sentences), " ")
+    body = F.regexp_replace(F.substr(t, F.lit(len(CLAIM_PREFIX) + 1)), r"(?U)^\s+|\s+$", "")
+    short = F.array_join(F.slice(F.split(body, r"(?U)(?<=[.!?])\s+"), 1, sentences), " ")
     return F.when(t.startswith(CLAIM_PREFIX), F.concat(F.lit(CLAIM_PREFIX), short)).otherwise(t)

@@ -39,7 +39,7 @@ def pair_summary(candidates: DataFrame, chosen: DataFrame, group: list[str], by:
 def question_of(t: Column) -> Column:
     """The text between the markers, or the whole text; trimmed."""
     found = F.regexp_extract(t, QUESTION, 1)
-    return F.regexp_replace(F.when(t.rlike(QUESTION), found).otherwise(t), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.when(t.rlike(QUESTION), found).otherwise(t), r"(?U)^\s+|\s+$", "")
 
 
 def delta_references(df: DataFrame, text: str, score: str, meta: str | None = None, low: int = 20, high: int = 300, enough: int = 100) -> DataFrame:

@@ -2,55 +2,102 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import text as T
+from loomline.functions.joins import null_join
+from loomline.sources.scratch import written
 
 
-def _orders(orders) -> Column:
-    """All n-grams of the token column _t, with their order."""
+GRAM = ["n", "h", "h2"]
 
-    def one(n: int) -> Column:
-        return F.transform(T.ngrams(F.col("_t"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
 
-    return F.flatten(F.array(*[one(n) for n in orders]))
+def gram_counts(df: DataFrame, by: list[str], text: str, key: str | None, orders) -> DataFrame:
+    """by, _k, n, h, h2, c: how often a text has each of its n-grams, of which 128 bits of hash
+    stand for the words. Counted within each row, so that a text's own repeats aren't shuffled.
+    A text shorter than an order has none of it, and grams don't span texts."""
+    tok = T.tokens(F.coalesce(F.col(text), F.lit("")))
+    k = F.lit(0) if key is None else F.col(key)
+    both = [F.transform("_t", lambda w: F.xxhash64(w)), F.transform("_t", lambda w: F.xxhash64(F.lit(1), w))]
+    rows = df.select(F.struct(*by, k.alias("_k")).alias("g"), tok.alias("_t")).select("g", *[x.alias(f"w{i}") for i, x in enumerate(both)])
+    kind = f"g {rows.schema['g'].dataType.simpleString()}"
+    counts = rows.mapInArrow(_counter(tuple(orders)), f"{kind}, n int, h long, h2 long, c long")
+    return counts.select(*[F.col("g")[c].alias(c) for c in [*by, "_k"]], *GRAM, "c")
+
+
+def _counter(orders: tuple[int, ...]):
+    mul = np.uint64(0x9E3779B97F4A7C15)
+
+    def mix(h, w):
+        h = (h ^ w) * mul
+        return h ^ (h >> np.uint64(29))
+
+    def run(batches):
+        for batch in batches:
+            words = [batch.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in (1, 2)]
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            row = np.repeat(np.arange(len(batch)), sizes)
+            hashes = [np.full(len(row), seed, np.uint64) for seed in (1, 2)]
+            for n in range(1, max(orders) + 1):
+                if len(row) < n:
+                    break
+                hashes = [mix(h[: len(row) - n + 1], w[n - 1 :]) for h, w in zip(hashes, words, strict=True)]
+                if n not in orders:
+                    continue
+                whole = np.flatnonzero(row[: len(row) - n + 1] == row[n - 1 :])
+                of, h, h2 = row[whole], hashes[0][whole], hashes[1][whole]
+                at = np.lexsort((h, of))
+                of, h, h2 = of[at], h[at], h2[at]
+                new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (h[1:] != h[:-1])])) if len(of) else np.zeros(0, np.int64)
+                c = np.diff(np.append(new, len(of)))
+                for a in range(0, len(new), 100_000):
+                    some = new[a : a + 100_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(of[some])), pa.array(np.full(len(some), n, np.int32)), pa.array(h[some].view(np.int64)), pa.array(h2[some].view(np.int64)), pa.array(c[a : a + 100_000])],
+                        names=["g", "n", "h", "h2", "c"],
+                    )
+
+    return run
 
 
 def distinct_n(df: DataFrame, by: list[str], text: str, orders: tuple[int, ...] = (1, 2)) -> DataFrame:
     """Distinct over all n-grams of each group, 0 if it has none; grams don't span texts.
 
-    Grams are counted by (group, gram) first: partial aggregates carry a hot group.
+    Grams are counted by text, then by (group, gram): partial aggregates carry a hot group.
     """
-    own = df.select(*by, T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    grams = _orders(orders)
-    counts = own.select(*by, F.explode_outer(grams).alias("x")).groupBy(*by, "x").agg(F.count("x").alias("c"))
+    counts = gram_counts(df, by, text, None, orders).groupBy(*by, *GRAM).agg(F.sum("c").alias("c"))
 
     def share(n):
-        of = F.col("x.n") == n
+        of = F.col("n") == n
         return F.coalesce(F.sum(F.when(of, 1)) / F.sum(F.when(of, F.col("c"))), F.lit(0.0)).alias(f"distinct_{n}")
 
-    return counts.groupBy(*by).agg(*[share(n) for n in orders])
+    shares = counts.groupBy(*by).agg(*[share(n) for n in orders])
+    out = null_join(df.select(*by).distinct(), shares, by, "left")
+    return out.select(*by, *[F.coalesce(f"distinct_{n}", F.lit(0.0)).alias(f"distinct_{n}") for n in orders])
 
 
 def self_bleu(df: DataFrame, by: list[str], text: str, key: str, max_n: int = 4) -> DataFrame:
-    """Mean sentence BLEU of each text against the others of its group; 0 for one text.
+    """Mean sentence BLEU of each text against the others of its group; 0 for one text. Keys are
+    unique in a group.
 
     The most that any other text has of a gram comes from the two largest counts of
     (group, gram), so no pairs are formed. Zero orders are smoothed by doubling.
     """
-    own = df.select(*by, F.col(key).alias("_k"), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t")).withColumn("_len", F.size("_t"))
-    grams = _orders(range(1, max_n + 1))
-    counts = own.select(*by, "_k", F.explode(grams).alias("x")).groupBy(*by, "_k", "x").agg(F.count(F.lit(1)).alias("c"))
+    own = df.select(*by, F.col(key).alias("_k"), F.size(T.tokens(F.coalesce(F.col(text), F.lit("")))).alias("_len"))
+    own = written(own, "bleu-lengths")
+    counts = gram_counts(df, by, text, key, range(1, max_n + 1))
     # Spark keeps two rows a gram in each task before the shuffle, so common grams are no load.
-    gram = [*by, "x"]
+    gram = [*by, *GRAM]
     ranked = counts.withColumn("_rn", F.row_number().over(Window.partitionBy(*gram).orderBy(F.col("c").desc(), "_k"))).where("_rn <= 2")
     first, second = F.col("_rn") == 1, F.col("_rn") == 2
     best = ranked.groupBy(*gram).agg(
         F.max(F.when(first, F.col("_k"))).alias("k1"), F.max(F.when(first, F.col("c"))).alias("m1"), F.coalesce(F.max(F.when(second, F.col("c"))), F.lit(0)).alias("m2")
     )
     most = F.when(F.col("_k") == F.col("k1"), F.col("m2")).otherwise(F.col("m1"))
-    clipped = counts.join(best, gram).groupBy(*by, "_k", F.col("x.n").alias("n")).agg(F.sum(F.least(F.col("c"), most)).alias("hit"), F.sum("c").alias("total"))
+    clipped = counts.join(best, gram).groupBy(*by, "_k", "n").agg(F.sum(F.least(F.col("c"), most)).alias("hit"), F.sum("c").alias("total"))
     per_text = clipped.groupBy(*by, "_k").agg(F.map_from_entries(F.collect_list(F.struct("n", F.struct("hit", "total")))).alias("p"))
     # Closest reference length, ties to the shorter: the neighbours among the group's lengths.
     w = Window.partitionBy(*by).orderBy("_len")

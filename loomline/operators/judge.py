@@ -42,7 +42,7 @@ def numbered_peers(peers: Column) -> Column:
 def parse_object(raw: Column) -> Column:
     """JSON object of a judge's reply as a string: fences are stripped, else the text from
     the first { to the last } is taken; null where there is no object."""
-    clean = F.regexp_replace(F.regexp_replace(raw, r"(?im)^\s*```(?:json)?\s*$", ""), r"^\s+|\s+$", "")
+    clean = F.regexp_replace(F.regexp_replace(raw, r"(?im)^\s*```(?:json)?\s*$", ""), r"(?U)^\s+|\s+$", "")
     inner = F.regexp_extract(clean, r"(?s)\{.*\}", 0)
     ok = lambda c: F.when(F.startswith(F.trim(c), F.lit("{")) & F.try_parse_json(c).isNotNull(), c)
     return F.coalesce(ok(clean), ok(inner))
@@ -66,10 +66,10 @@ def gate(t: Column) -> list[Column]:
     t = F.coalesce(t, F.lit(""))
     n, low = T.n_words(t), F.lower(t)
     signal = F.exists(F.array(*[F.lit(s) for s in dims.COUNTER_SIGNALS]), lambda s: F.contains(low, s))
-    ended = t.rlike(r"[.!?\"']\s*$")
+    ended = t.rlike(r"(?U)[.!?\"']\s*$")
     issues = F.array_compact(
         F.array(
-            F.when(~t.rlike(r"\S"), "empty output"),
+            F.when(~t.rlike(r"(?U)\S"), "empty output"),
             F.when(n < 10, "too short"),
             F.when(~signal, "missing counter-argument signal"),
             F.when(~ended, "possibly truncated"),

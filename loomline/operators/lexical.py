@@ -15,7 +15,7 @@ def word_overlap(df: DataFrame, by: list[str], text: str, key: str) -> DataFrame
     A word is shared unless one member alone has it, so counts by (group, word) are enough:
     no pair of members meets, and a frequent word is one row after partial aggregation.
     """
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"\S+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?U)\S+"), F.lit(0))
     rows = df.select(*by, F.col(key).alias("_k"), words.alias("_w"))
     each = rows.select(*by, "_k", F.explode("_w").alias("w")).groupBy(*by, "_k", "w").agg(F.count(F.lit(1)).alias("tf"))
     alone = each.groupBy(*by, "w").agg(F.count(F.lit(1)).alias("m"), F.min("_k").alias("_k"), F.sum("tf").alias("tf")).where("m = 1")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from loomline.functions import dims
 from loomline.functions import vectors as V
-from loomline.operators import diversity, judge
+from loomline.functions.joins import null_join
+from loomline.operators import diversity, judge, neighbours
 
 #: The members of each rubric's answer that make its score.
 RUBRIC_KEYS = {"quality": ("relevance", "coherence", "substance"), "novelty": ("novelty",), "utility": ("prewriting_utility",), "persona_fidelity": ("persona_fidelity",)}
@@ -101,6 +102,22 @@ def flat_evaluation(gen: DataFrame, dim: int, base: str) -> DataFrame:
     return out.join(F.broadcast(ref), how="left")  # one row
 
 
+def evaluate_outputs(gen: DataFrame, dim: int, references: DataFrame, prompts: DataFrame, by: list[str]) -> DataFrame:
+    """The seven metrics of a set of outputs, one row a group: distinct_1, distinct_2, self_bleu,
+    sbert_pairwise_mean, corpus_novelty_mean and corpus_novelty_min (one less the similarity with
+    the nearest reference), quality_proxy (mean cosine of outputs with their prompt).
+
+    gen: `by`, output_id (unique), prompt, output, u. references: ref_id, ru. prompts: prompt, pu.
+    Without references there is no novelty; outputs without a prompt's vector don't count in the proxy.
+    """
+    near = neighbours.search(gen.select(F.col("output_id").alias("id"), "u"), references, 1)[0]
+    novelty = gen.select(*by, "output_id").join(near.select(F.col("id").alias("output_id"), (1 - F.col("similarity")).alias("nov")), "output_id").groupBy(*by)
+    novelty = novelty.agg(F.avg("nov").alias("corpus_novelty_mean"), F.min("nov").alias("corpus_novelty_min"))
+    proxy = gen.join(prompts, "prompt").groupBy(*by).agg(F.avg(V.dot(F.col("u"), F.col("pu"))).alias("quality_proxy"))
+    out = automated(gen, by, dim).withColumnRenamed("sbert_cosine", "sbert_pairwise_mean").drop("sbert_distance")
+    return null_join(null_join(out, novelty, by, "left"), proxy, by, "left")
+
+
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     """Rows in an order that a seed fixes; ties in the hash by key."""
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)

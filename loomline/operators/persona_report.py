@@ -112,11 +112,15 @@ def _table(head: list[str], rows: list[list[str]]) -> list[str]:
     return ["| " + " | ".join(head) + " |", "|" + "---|" * len(head), *["| " + " | ".join(r) + " |" for r in rows], ""]
 
 
+#: What a reader of the report must know.
+CAVEAT = "Groups of one output have no distance, and persona comparisons are only controlled for the prompt in the first two tables."
+
+
 def report_markdown(rows: DataFrame, run: str) -> str:
     """Four tables, a row a method. rows: wide()."""
     got = rows.orderBy("method").collect()
     cells = lambda *names: [[r["method"], *[_cell(r[c], 3) for c in names]] for r in got]
-    out = [f"# Persona diversity: {run}", "", "Distances are 1 - cosine.", "", "## Between personas, same prompt", ""]
+    out = [f"# Persona diversity: {run}", "", "Distances are 1 - cosine.", "", f"**Caveat:** {CAVEAT}", "", "## Between personas, same prompt", ""]
     out += _table(["Method", "Mean ↑", "Std", "Prompts", "Over base sampling ↑", "Minus base sampling ↑"], cells("inter_mean", "inter_std", "inter_n", "base_ratio_mean", "base_diff_mean"))
     out += ["## Within a persona, same prompt", ""]
     out += _table(["Method", "Mean ↑", "Std", "Groups", "Available"], [[*c, "yes" if r["available"] else "no"] for c, r in zip(cells("same_prompt_intra_mean", "same_prompt_intra_std", "same_prompt_intra_n"), got, strict=True)])
@@ -149,11 +153,12 @@ def distinctness(df: DataFrame, group: str, prompt: list[str], dim: int) -> Data
 
 def distinctness_verdict(matrix: DataFrame) -> DataFrame:
     """One row: pairs, how many are under the bound of distinct ones, and over that of
-    collapsed ones; "pass" if some are distinct and none has collapsed, else "review"."""
+    collapsed ones; "pass" if some are distinct and none has collapsed, else "review"; and the
+    stricter rule, all_distinct: there are pairs and all are under the bound of distinct ones."""
     own = matrix.where("a < b")
     count = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0))
     g = own.agg(F.count(F.lit(1)).alias("n_pairs"), count(F.col("cosine") < dims.DISTINCT_BELOW).alias("n_distinct"), count(F.col("cosine") > dims.BORDERLINE_BELOW).alias("n_collapsed"))
-    return g.select("*", F.when((F.col("n_distinct") >= 1) & (F.col("n_collapsed") == 0), "pass").otherwise("review").alias("verdict"))
+    return g.select("*", F.when((F.col("n_distinct") >= 1) & (F.col("n_collapsed") == 0), "pass").otherwise("review").alias("verdict"), ((F.col("n_pairs") > 0) & (F.col("n_distinct") == F.col("n_pairs"))).alias("all_distinct"))
 
 
 def pair_findings(matrix: DataFrame) -> DataFrame:
@@ -161,10 +166,17 @@ def pair_findings(matrix: DataFrame) -> DataFrame:
     return matrix.where("a < b").orderBy(F.col("cosine").desc(), "a", "b")
 
 
-def distinctness_json(matrix: DataFrame) -> str:
-    """The matrix, its findings and their verdict as one document (groups are few)."""
+def distinctness_json(matrix: DataFrame, records: DataFrame | None = None, most: int = 10_000) -> str:
+    """The matrix, its findings and their verdict as one document (groups are few), with the
+    records it was made from, if given; more than `most` records are an error."""
     cells: dict[str, dict[str, float]] = {}
     for r in matrix.orderBy("a", "b").collect():
         cells.setdefault(r["a"], {})[r["b"]] = r["cosine"]
     found = [{"pair": [r["a"], r["b"]], "cosine": r["cosine"], "label": r["verdict"]} for r in pair_findings(matrix).collect()]
-    return json.dumps({"matrix": cells, "pair_findings": found, **distinctness_verdict(matrix).first().asDict()}, ensure_ascii=False, indent=2)
+    out = {"matrix": cells, "pair_findings": found, **distinctness_verdict(matrix).first().asDict()}
+    if records is not None:
+        got = [r.asDict(recursive=True) for r in records.limit(most + 1).collect()]
+        if len(got) > most:
+            raise ValueError(f"more than {most} records; write them as a table")
+        out |= {"total_outputs": len(got), "records": got}
+    return json.dumps(out, ensure_ascii=False, indent=2, default=str)

@@ -41,7 +41,7 @@ def first_content(msgs: Column, role: str) -> Column:
 
 def normalise_messages(msgs: Column) -> Column:
     """Trimmed messages; an error if a role or content is empty, or a side is missing."""
-    strip = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    strip = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
     clean = F.transform(msgs, lambda m: F.struct(strip(m["role"]).alias("role"), strip(m["content"]).alias("content")))
     full = F.forall(clean, lambda m: (F.length(m["role"]) > 0) & (F.length(m["content"]) > 0))
     both = F.exists(clean, lambda m: m["role"] == "user") & F.exists(clean, lambda m: m["role"] == "assistant")
@@ -75,10 +75,17 @@ def lift_legacy(msgs: Column, persona: Column, prompt: Column, response: Column,
     return F.when(msgs.isNotNull(), normalise_messages(msgs)).otherwise(flat)
 
 
+def metadata_object(value: Column) -> Column:
+    """Metadata that is a string of a JSON object, as a map of texts; null for other strings."""
+    whole = F.json_array_length(F.concat(F.lit("["), value, F.lit(",1]"))) == 2
+    return F.when(whole & value.rlike(r"(?U)^\s*\{.*\}\s*$") & F.try_parse_json(value).isNotNull(), F.from_json(value, "map<string,string>"))
+
+
 def metadata(raw: Column, persona: Column, source: Column, source_id: Column, id_: Column, given: str | None = None) -> Column:
     """Metadata as text by name, without empty values. persona: the given one, else the column,
     else the metadata's; source: the column, else the metadata's; source_id: the column, else
-    the id, else the metadata's. raw: map of texts, null if it was no object."""
+    the id, else the metadata's. raw: map of texts, null if it was no object; metadata_object()
+    gives it for metadata that is a string."""
     kind = "map<string,string>"
     own = F.coalesce(raw, F.create_map().cast(kind))
     clean = F.map_filter(F.transform_values(own, lambda _, v: as_text(v)), lambda _, v: F.length(v) > 0)

@@ -149,9 +149,18 @@ def score_markdown(scores: DataFrame, methods: list[str], value: str = "score")
     return "\n".join(["| Method | Mean | Std | n |", "|---|---|---|---|", *[f"| {m} | {cell(got[m]['mean'])} | {cell(got[m]['std'])} | {got[m]['n']} |" for m in methods if m in got]]) + "\n"
 
 
-def significance_json(tests: DataFrame, reference: str) -> str:
-    rows = [r.asDict() for r in tests.orderBy("method", "metric").collect()]
-    return json.dumps({"reference": reference, "comparisons": rows}, ensure_ascii=False, indent=2)
+def significance_json(tests: DataFrame, reference: str, resamples: int | None = None, summary: DataFrame | None = None) -> str:
+    """The comparisons as one document, with n_resamples and, by method and metric, the summary
+    (method, metric, mean, std, n), if given."""
+    out = {"reference": reference, "comparisons": [r.asDict() for r in tests.orderBy("method", "metric").collect()]}
+    if resamples is not None:
+        out["n_resamples"] = resamples
+    if summary is not None:
+        cells: dict[str, dict] = {}
+        for r in summary.orderBy("method", "metric").collect():
+            cells.setdefault(r["method"], {})[r["metric"]] = {c: r[c] for c in ("mean", "std", "n")}
+        out["summary"] = cells
+    return json.dumps(out, ensure_ascii=False, indent=2)
 
 
 def append_pair_examples(records: DataFrame, order: str, title: str, path: str, n: int = 3) -> None:

@@ -23,9 +23,9 @@ def with_empty(stats: DataFrame, dimension: DataFrame, by: list[str]) -> DataFra
 
 
 def score_table(scores: DataFrame, methods: list[str], value: str = "score") -> DataFrame:
-    """method, mean, std, n of each method, rounded to 4, in the methods' order; the standard
-    deviation of one score is null."""
-    s = scores.where(F.col(value).isNotNull()).groupBy("method").agg(F.round(F.avg(value), 4).alias("mean"), F.round(F.stddev_samp(value), 4).alias("std"), F.count(value).alias("n"))
+    """method, mean, std, n of each method, rounded to 4 (ties to even), in the methods' order; the
+    standard deviation of one score is null."""
+    s = scores.where(F.col(value).isNotNull()).groupBy("method").agg(F.bround(F.avg(value), 4).alias("mean"), F.bround(F.stddev_samp(value), 4).alias("std"), F.count(value).alias("n"))
     return s.where(F.col("method").isin(methods)).orderBy(F.array_position(F.array(*map(F.lit, methods)), F.col("method")))
 
 

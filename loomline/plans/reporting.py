@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import dims
 from loomline.functions import vectors as V
-from loomline.operators import cascade, coauthor, corpus, metrics, pairs, persona_report, records, stats
+from loomline.operators import bootstrap, cascade, coauthor, corpus, metrics, pairs, persona_report, records, stats
 from loomline.plans.registry import REPS, query, read
 
 _TOK = r"regexp_extract_all(lower(coalesce(output, '')), '[\p{L}\p{N}_]+')"
@@ -205,7 +205,7 @@ def distinctness_matrix(spark, d):
 
 @query(f"""
 WITH {_MATRIX}, v AS (SELECT count(*) AS n_pairs, count(*) FILTER (cosine < 0.5) AS n_distinct, count(*) FILTER (cosine > 0.7) AS n_collapsed FROM mat WHERE a < b)
-SELECT *, CASE WHEN n_distinct >= 1 AND n_collapsed = 0 THEN 'pass' ELSE 'review' END AS verdict FROM v
+SELECT *, CASE WHEN n_distinct >= 1 AND n_collapsed = 0 THEN 'pass' ELSE 'review' END AS verdict, n_pairs > 0 AND n_distinct = n_pairs AS all_distinct FROM v
 """)
 def distinctness_verdict(spark, d):
     return persona_report.distinctness_verdict(distinctness_matrix(spark, d))
@@ -382,6 +382,69 @@ def older_prompts(spark, d):
     return t.select("conv_id", "turn", F.md5(coauthor.thread_prompt(F.col("text"))).alias("thread"), F.md5(coauthor.question_prompt(F.col("text"))).alias("question"))
 
 
+_AGREE = """
+p AS (SELECT lang, 'quality' AS rubric, n_chars AS x, quality AS y FROM documents JOIN labels USING (doc_id) UNION ALL SELECT lang, 'utility', n_chars, toxic FROM documents JOIN labels USING (doc_id)),
+k AS (SELECT lang, rubric, rank() OVER (PARTITION BY lang, rubric ORDER BY x) + (count(*) OVER (PARTITION BY lang, rubric, x) - 1) / 2 AS a, rank() OVER (PARTITION BY lang, rubric ORDER BY y) + (count(*) OVER (PARTITION BY lang, rubric, y) - 1) / 2 AS b FROM p WHERE x IS NOT NULL AND y IS NOT NULL),
+s AS (SELECT lang, rubric, count(*) AS n, CASE WHEN count(*) >= 3 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS rho FROM k GROUP BY 1, 2)"""
+
+
+@query(f"""
+WITH {_AGREE} SELECT lang, rubric, n, round(rho, 4) AS rho, CASE WHEN n < 3 THEN 'insufficient' WHEN rho >= 0.8 THEN 'strong' WHEN rho >= 0.7 THEN 'good' WHEN rho >= 0.6 THEN 'moderate' ELSE 'weak' END AS interpretation FROM s
+""")
+def judge_agreement_rho(spark, d):
+    """judge_agreement without p, which has no SQL form."""
+    return judge_agreement(spark, d).drop("p")
+
+
+@query(f"""
+WITH {GEN}, {_automated_sql("method")},
+u AS (SELECT vec_id, label, embedding::double[] AS v, sqrt(list_dot_product(embedding::double[], embedding::double[])) AS norm FROM embeddings),
+nov AS (SELECT g.method, g.output_id, 1 - max(round(list_dot_product(g.v, r.v) / g.norm / r.norm, 9)) AS nov FROM gen AS g, u AS r WHERE r.label = 0 GROUP BY 1, 2),
+nv AS (SELECT method, avg(nov) AS a, min(nov) AS b FROM nov GROUP BY 1),
+pv AS (SELECT prompt, arg_min(v, output_id) AS v, arg_min(norm, output_id) AS norm FROM gen GROUP BY 1),
+px AS (SELECT g.method, avg(list_dot_product(g.v, pv.v) / g.norm / pv.norm) AS q FROM gen AS g JOIN pv USING (prompt) GROUP BY 1)
+SELECT method, n, round(self_bleu, 6) AS self_bleu, round(distinct_1, 6) AS distinct_1, round(distinct_2, 6) AS distinct_2, round(sbert_cosine, 6) AS sbert_pairwise_mean, round(a, 6) AS corpus_novelty_mean, round(b, 6) AS corpus_novelty_min, round(q, 6) AS quality_proxy
+FROM auto LEFT JOIN nv USING (method) LEFT JOIN px USING (method)
+""")
+def evaluation_suite(spark, d):
+    """All seven metrics of each method's outputs; vectors of label 0 are the corpus, and a
+    prompt's first output stands for its vector."""
+    gen, dim = generations(spark, d)
+    refs = V.with_unit(read(spark, d, "embeddings").where("label = 0")).select(F.col("vec_id").alias("ref_id"), F.col("u").alias("ru"))
+    prompts = gen.groupBy("prompt").agg(F.min_by("u", "output_id").alias("pu"))
+    e = metrics.evaluate_outputs(gen, dim, refs, prompts, ["method"])
+    names = ["self_bleu", "distinct_1", "distinct_2", "sbert_pairwise_mean", "corpus_novelty_mean", "corpus_novelty_min", "quality_proxy"]
+    return e.select("method", "n", *[F.round(c, 6).alias(c) for c in names])
+
+
+@query("""
+SELECT method, persona, output_id, rank FROM (SELECT 'm' AS method, lang AS persona, doc_id AS output_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 5
+""")
+def longest_by_persona(spark, d):
+    """The five longest outputs of each persona, for reading."""
+    docs = read(spark, d, "documents").select(F.lit("m").alias("method"), F.col("lang").alias("persona"), F.col("doc_id").alias("output_id"), "n_chars")
+    return metrics.top_by_persona(docs, "n_chars", "output_id", 5).select("method", "persona", "output_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""
+SELECT conv_id, sha256(string_agg('[' || upper(role) || ']' || chr(10) || text, chr(10) ORDER BY turn, role)) AS sha FROM conversations WHERE text IS NOT NULL GROUP BY 1
+""")
+def training_texts(spark, d):
+    """Conversations as the text that a trainer reads."""
+    c = read(spark, d, "conversations").where("text is not null")
+    msgs = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    return c.groupBy("conv_id").agg(msgs.alias("m")).select("conv_id", F.sha2(records.as_training_text(F.col("m")), 256).alias("sha"))
+
+
+@query()
+def bootstrap_by_split(spark, d):
+    """Paired bootstrap of order lines' prices by return flag, part by part, for groups of any
+    size: draws by recursive splitting, which SQL can't make; the tests make the same ones."""
+    lines = read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("method"), F.col("l_partkey").alias("prompt")).agg(F.avg(F.col("l_extendedprice").cast("double")).alias("value")).withColumn("metric", F.lit("price"))
+    specs = spark.createDataFrame([("price", False)], "metric string, lower_is_better boolean")
+    return bootstrap.bootstrap_split(stats.paired_differences(lines, "N", specs), 1000)
+
+
 @query()
 def judge_agreement(spark, d):
     """Spearman's rho and p by rubric; p has no SQL form."""
