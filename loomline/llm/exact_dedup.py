@@ -112,6 +112,7 @@ def survivors(docs: DataFrame, **options) -> DataFrame:
 
 
 def op4_exact_dedup(spark, sf_dir):
+    """Groups of equal texts of `documents`; edge cases as content_sort() says."""
     return content_sort(table(spark, sf_dir, "documents"), keep="max")
 
 

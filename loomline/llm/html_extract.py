@@ -338,5 +338,6 @@ def html_extract(pages: DataFrame, html_col: str = "html", labelled: Sequence[st
 
 
 def op8_html_extract(spark, sf_dir):
+    """Main text of every page of `pages`; edge cases as html_extract() says."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_extract(pages).select("page_id", "url", F.col("main.text").alias("text"), F.col("main.n_chars").alias("n_chars"))

@@ -308,6 +308,7 @@ def classify(paragraph: str, m: Model) -> tuple[str, float, float] | None:
 
 
 def op5_license_scan(spark, sf_dir):
+    """Licence notices in `documents`; edge cases as license_scan() says."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     each = F.col("licences")
     return license_scan(docs).select(

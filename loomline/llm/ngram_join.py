@@ -434,6 +434,7 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
 
 def op2_ngram_join(spark, sf_dir):
+    """Groups of similar texts of `documents`; edge cases as jaccard_groups() says."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_groups(docs, k=3, percent=90).select("doc_id", "n_shingles", "component_id")
 

@@ -228,6 +228,7 @@ def quality(docs: DataFrame, model: RuleEnsemble, text_col: str = "text", out_co
 
 
 def op1_quality(spark, sf_dir):
+    """Quality of every text of `documents`; edge cases as quality() says."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     return quality(docs, model, out_col="score").select(
